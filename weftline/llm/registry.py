@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import bitext_queries, encode_queries, judging_queries, leakage_queries, pairs_queries, repetition_queries, truncation_queries
+from weftline.llm import bitext_queries, encode_queries, judging_queries, leakage_queries, markup_queries, pairs_queries, repetition_queries, truncation_queries
 
-_MODULES = (encode_queries, pairs_queries, truncation_queries, bitext_queries, judging_queries, leakage_queries, repetition_queries)
+_MODULES = (markup_queries, encode_queries, pairs_queries, truncation_queries, bitext_queries, judging_queries, leakage_queries, repetition_queries)
 
 
 def queries() -> dict:
