@@ -16,3 +16,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.hookimpl(hookwrapper=True)
+def pytest_runtest_call(item):
+    """A test that hangs fails after five minutes and shows where."""
+    import faulthandler
+
+    faulthandler.dump_traceback_later(40, exit=True)
+    yield
+    faulthandler.cancel_dump_traceback_later()
