@@ -50,7 +50,8 @@ class Consensus:
             raise ValueError(f"more than {MOST_LABELS} labels")
         self.width = range(len(self.labels))
         self.annotators = self.votes.agg(F.count_distinct("annotator")).first()[0]
-        self._centre()
+        if self.labels:
+            self._centre()
 
     def _centre(self) -> None:
         """One row an item and annotator with its centred vote, and how many others voted on the item."""
