@@ -23,6 +23,6 @@ def pytest_runtest_call(item):
     """A test that hangs fails after five minutes and shows where."""
     import faulthandler
 
-    faulthandler.dump_traceback_later(40, exit=True)
+    faulthandler.dump_traceback_later(300, exit=True)
     yield
     faulthandler.cancel_dump_traceback_later()
