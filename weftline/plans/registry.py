@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import evaluation_queries, incremental_queries, segment_queries, text_queries
+from weftline.plans import document_queries, evaluation_queries, incremental_queries, segment_queries, text_queries
 
-_MODULES = (incremental_queries, segment_queries, text_queries, evaluation_queries)
+_MODULES = (incremental_queries, segment_queries, text_queries, evaluation_queries, document_queries)
 
 
 def queries() -> dict:

@@ -83,7 +83,7 @@ def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = No
             blocks.append(_paragraphs(kind, run))
             run.clear()
 
-    i = 0
+    i, table = 0, False
     if lines and lines[0][2].strip() == "---":
         end = next((k for k in range(1, len(lines)) if lines[k][2].strip() in ("---", "...")), None)
         if end:
@@ -101,6 +101,7 @@ def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = No
         bare = body.replace("\0", "")
         if not bare.strip():
             close()
+            table = False
         elif (head := _ATX.match(body)) and head[2].strip():
             close()
             blocks.append(Block("heading", start + head.start(2), start + head.end(2), len(head[1])))
@@ -111,8 +112,9 @@ def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = No
         elif _RULE.match(body):
             close()
             blocks.append(Block("rule", start, end, offered=False))
-        elif "|" in body and (_TABLE_RULE.match(body) or (i + 1 < len(lines) and _TABLE_RULE.match(lines[i + 1][2])) or (blocks and blocks[-1].kind == "cell" and not run and seen.count("\n", blocks[-1].end, start) == 1)):
+        elif "|" in body and (_TABLE_RULE.match(body) or (i + 1 < len(lines) and _TABLE_RULE.match(lines[i + 1][2])) or table):
             close()
+            table = True
             if not _TABLE_RULE.match(body):
                 for m in re.finditer(r"[^|]+", body):
                     cell = m.group().strip()
