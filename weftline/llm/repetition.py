@@ -37,30 +37,29 @@ _SPACE = re.compile(r"[\W_\d]+")
 
 def repeated_passages(text: str) -> float:
     """Share of the characters in second or later occurrences of a passage of at least PHRASE words, apart from case, punctuation, white space and numbers."""
-    starts, words, plain = [], [], 0
-    for m in _TOKEN.finditer(text):
-        w = m.group()
-        if not w.isdecimal():
-            starts.append(m.start())
-            words.append(w)
-            plain += len(w) == 1 and w >= "぀"
-    n = CHARACTERS if 2 * plain > len(words) else PHRASE
+    words = [w for w in _TOKEN.findall(text.casefold()) if not w.isdecimal()]
+    n = PHRASE if text.isascii() or 2 * sum(len(w) == 1 and w >= "぀" for w in words) <= len(words) else CHARACTERS
     if len(words) <= n:
         return 0.0
-    known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known) + 1) for w in (words if text.islower() else [w.casefold() for w in words])), np.uint64, len(words))
+    known = {w: k for k, w in enumerate(set(words), 1)}
+    ids = np.array([known[w] for w in words], np.uint64)
     h = ids[: len(ids) - n + 1].copy()
     for k in range(1, n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k]
-    first = np.zeros(len(h), bool)
-    first[np.unique(h, return_index=True)[1]] = True
-    again = np.flatnonzero(~first)
-    if not len(again):
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if not same.any():
         return 0.0
-    change = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(change, again, 1)
-    np.add.at(change, again + n, -1)
-    covered = np.cumsum(change[:-1]) > 0
+    # places are looked up only where something repeats
+    starts = [m.start() for m in _TOKEN.finditer(text) if not m.group().isdecimal()]
+    if len(starts) != len(words):
+        # folding the case split or joined words: measure the folded text, whose places are its own
+        text = text.casefold()
+        starts = [m.start() for m in _TOKEN.finditer(text) if not m.group().isdecimal()]
+    covered = np.zeros(len(ids), bool)
+    again = order[1:][same]
+    for k in range(n):
+        covered[again + k] = True
     edge = np.array([*starts, len(text)])
     return float((np.diff(edge) * covered).sum() / len(text))
 
@@ -70,7 +69,7 @@ def _repeated(parts: list[str], total: int) -> float:
     again = 0
     for part in parts:
         bare = _SPACE.sub(" ", part).strip().casefold()
-        if not bare:
+        if bare.count(" ") < PHRASE - 1 and bare.isascii() or len(bare) < PHRASE:
             continue
         if bare in seen:
             again += len(part)
@@ -84,8 +83,11 @@ def measure(text: str | None) -> tuple[float, float, float]:
         return 0.0, 0.0, 0.0
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    lines = text.split("\n")
-    return _repeated(lines, len(text)) if len(lines) > 1 else 0.0, _repeated(_SENTENCE.split(text), len(text)), repeated_passages(text)
+    passages = repeated_passages(text)
+    if not passages:
+        # a repeated line or sentence of a phrase's length would be a repeated passage
+        return 0.0, 0.0, 0.0
+    return _repeated(text.split("\n"), len(text)), _repeated(_SENTENCE.split(text), len(text)), passages
 
 
 def shares(documents: DataFrame, key: str, text: str, host: str) -> DataFrame:
