@@ -50,3 +50,24 @@ def glossary_terms(glossary: G.Glossary):
         return pd.Series([None if v is None else glossary.find(v) for v in values], dtype=object)
 
     return run
+
+
+@F.pandas_udf(STRINGS)
+def quality_issues(source: pd.Series, rendering: pd.Series) -> pd.Series:
+    from weftline.functions import quality
+
+    return pd.Series([None if s is None or r is None else quality.evaluate(s, r) for s, r in zip(source, rendering)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def repaired_emphasis(source: pd.Series, rendering: pd.Series) -> pd.Series:
+    from weftline.functions import quality
+
+    return pd.Series([r if s is None or r is None else quality.repair_emphasis(s, r) for s, r in zip(source, rendering)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def tagged(source: pd.Series) -> pd.Series:
+    from weftline.functions import quality
+
+    return pd.Series([None if s is None else quality.tagify(s)[0] for s in source], dtype=object)

@@ -168,7 +168,26 @@ def known_projects(spark: SparkSession, folder: str) -> DataFrame:
     return kind(a.intersect(b), "both").unionByName(kind(a.exceptAll(b), "documents")).unionByName(kind(b.exceptAll(a), "registry"))
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects)}
+def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of every translated segment against its source."""
+    rows = spread(table(spark, folder, "segment_states", "feed_id", "source", "translation"), "feed_id").filter("translation is not null")
+    return rows.select("feed_id", F.explode(U.quality_issues("source", "translation")).alias("issue"))
+
+
+def quality_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of each candidate without an issue."""
+    rows = spread(table(spark, folder, "translation_pairs", "pair_id", "candidate", "source", "translation"), "pair_id")
+    found = rows.withColumn("issues", F.size(F.coalesce(U.quality_issues("source", "translation"), F.array(F.lit("missing")))))
+    return found.groupBy("candidate").agg(F.count("*").alias("pairs"), F.count_if(F.col("issues") == 0).alias("passed"))
+
+
+def inline_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with their inline markup as numbered tags."""
+    rows = spread(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id")
+    return rows.select("raw_id", U.tagged("source").alias("tagged"))
+
+
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
