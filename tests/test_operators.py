@@ -100,3 +100,20 @@ def test_capped_sample(spark):
     rows = spark.createDataFrame([(f"i{k % 3}", f"b{k}", k % 2 == 0) for k in range(30)], "item string, block string, hard boolean")
     got = E.capped_sample(rows, 1, ["item", "block"], "item", 4, F.col("hard"), 5, 10).collect()
     assert len(got) == 10 and max(sum(r.item == f"i{k}" for r in got) for k in range(3)) <= 4 and sum(r.hard for r in got) >= 5
+
+
+def test_tables(spark):
+    from weftline.operators import tables as B
+
+    text = "x\n| Name | Note |\n|---|---|\n| a | b |\n\n| 1 |\n"
+    cells = B.pipe_tables(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string"), "id", "t")
+    assert {(r.table_no, r.table_row, r.column, r.text) for r in cells.collect()} == {(1, 0, 0, "Name"), (1, 0, 1, "Note"), (1, 1, 0, "a"), (1, 1, 1, "b"), (2, 0, 0, "1")}
+    ruled = B.apply_rules(cells, ["id", "table_no"], [{"headers": ["NOTE"], "skip": ["name"]}])
+    assert {r.text for r in ruled.filter("not offered").collect()} == {"a"}
+    assert B.table_profile(ruled, ["id", "table_no"]).filter("excluded = 1").first().samples == ["a"]
+
+
+def test_human_pairs(spark):
+    rows = spark.createDataFrame([(f"i{k}", "b", k < 3) for k in range(20)], "item string, block string, hard boolean")
+    got = E.human_pairs(rows, ["x", "y"], 1, 10, F.col("hard")).collect()
+    assert len(got) == 10 and sum(r.candidate == "x" for r in got) == 5

@@ -104,3 +104,22 @@ def capped_sample(rows: DataFrame, seed: int, key: list[str], cap_by: str, cap:
     two = rest.join(taken, cap_by, "left").withColumn("_c", F.row_number().over(Window.partitionBy(cap_by).orderBy("_k")) + F.coalesce("_t", F.lit(0))).filter(F.col("_c") <= cap).orderBy("_k").limit(total).drop("_c", "_t")
     ordered = one.withColumn("_o", F.lit(0)).unionByName(two.withColumn("_o", F.lit(1))).orderBy("_o", "_k").limit(total)
     return ordered.drop("_k", "_p", "_o")
+
+
+def human_pairs(passing: DataFrame, candidates: list[str], seed: int, count: int, special: Column) -> DataFrame:
+    """Blocks for human judging: a fifth special ones, the rest others, in seeded order; each gets one candidate in turn and a side by the parity of its hash. `candidates` is a small list; the count is the size of the sample."""
+    keyed = passing.withColumn("_k", seeded_key(seed, "item", "block")).withColumn("_s", F.coalesce(special, F.lit(False)))
+    first = keyed.filter("_s").orderBy("_k").limit(count // 5)
+    rest = keyed.filter("not _s").orderBy("_k").limit(count - count // 5)
+    place = F.row_number().over(Window.orderBy(F.desc("_s"), "_k")) - 1
+    names = F.array(*(F.lit(c) for c in candidates))
+    chosen = first.unionByName(rest).withColumn("place", place)
+    return chosen.select("item", "block", "place", F.get(names, F.pmod("place", F.lit(len(candidates)))).alias("candidate"), (F.pmod(F.conv(F.substring("_k", 1, 8), 16, 10).cast("bigint"), F.lit(2)) == 0).alias("baseline_first"))
+
+
+def decision(rates: DataFrame, tallies: DataFrame, baseline: str, trusted: float = 0.5) -> DataFrame:
+    """(candidate, gates_hold, judges_hold): a candidate's final and first gate rates are at least the baseline's, and the lower bound of its win rate lies above `trusted`."""
+    own = rates.filter(F.col("candidate") == baseline).select("variant", F.col("rate").alias("base"))
+    gates = rates.join(own, "variant").groupBy("candidate").agg(F.every(F.col("rate") >= F.col("base")).alias("gates_hold"))
+    wins = tallies.filter(F.col("baseline") == baseline).select("candidate", (F.col("low") > trusted).alias("judges_hold"))
+    return gates.filter(F.col("candidate") != baseline).join(wins, "candidate", "left").na.fill(False, ["judges_hold"])

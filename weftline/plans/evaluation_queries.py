@@ -163,7 +163,20 @@ def segment_references(spark: SparkSession, folder: str) -> DataFrame:
     return fin.join(ref, ["item", "pos"]).select("out_id", "pos", F.levenshtein("translation", "reference").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references)}
+def human_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    names = [r[0] for r in _gates(spark, folder).select("candidate").distinct().orderBy("candidate").limit(1000).collect()]
+    passing = passing_blocks(spark, folder)
+    return E.human_pairs(passing, names, 7, 30, F.col("candidates") >= 3)
+
+
+def report_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates against the system that is the baseline most often."""
+    pairs = _pairs(spark, folder)
+    base = pairs.groupBy("baseline").count().orderBy(F.desc("count"), "baseline").first()
+    return E.decision(gate_rates(spark, folder), win_rates(spark, folder), base["baseline"] if base else "")
+
+
+QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions)}
 
 _LAST = """
 (select pick_id as pick, judge, judge_model as model, baseline, candidate, shown_order, side from (

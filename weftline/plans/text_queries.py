@@ -9,6 +9,7 @@ from weftline.functions import columns as C
 from weftline.functions import glossary as G
 from weftline.functions import udfs as U
 from weftline.operators import coverage as V
+from weftline.operators import tables as B
 from weftline.operators import terms as M
 from weftline.session import spread
 from weftline.sources.tables import table
@@ -187,7 +188,18 @@ def inline_tags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("raw_id", U.tagged("source").alias("tagged"))
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags)}
+def table_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of pipe tables, with the second column's numbers left out by a rule on the header."""
+    cells = B.pipe_tables(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id", "source")
+    return B.apply_rules(cells, ["raw_id", "table_no"], [{"headerless": True, "skip": ["0"]}, {"headers": [], "skip": ["1"]}])
+
+
+def table_headers(spark: SparkSession, folder: str) -> DataFrame:
+    cells = B.pipe_tables(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id", "source")
+    return B.table_groups(cells, ["raw_id", "table_no"])
+
+
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -198,7 +210,19 @@ _FENCED = f"""
 _SENT = "greatest(1, len(regexp_extract_all({0} || ' ', '(?:^|[^0-9.?!。])[.?!。]\\s|[^0-9][.?!。]\\s')))"
 _PROSE = "length(regexp_replace(regexp_replace(regexp_replace({0}, '`[^`]*(`|$)', '', 'g'), '\\]\\([^)]*(\\)|$)', '', 'g'), '[^\\p{{L}}]', '', 'g'))"
 
+_CELLS = """
+(with l as (select raw_id, unnest(string_split(source, chr(10))) as body, generate_subscripts(string_split(source, chr(10)), 1) as line from raw_blocks),
+b as (select *, regexp_matches(body, '^\\s*\\|') as t, coalesce(lag(regexp_matches(body, '^\\s*\\|')) over (partition by raw_id order by line), false) as p from l),
+n as (select *, sum((t and not p)::int) over (partition by raw_id order by line rows unbounded preceding)::int as table_no from b),
+r as (select raw_id, table_no, body, (row_number() over (partition by raw_id, table_no order by line) - 1)::int as table_row from n
+  where t and not regexp_matches(body, '^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?\\s*$')),
+c as (select raw_id, table_no, table_row, string_split(regexp_replace(regexp_replace(body, '^\\s*\\|', ''), '\\|\\s*$', ''), '|') as cells from r)
+select raw_id, table_no, table_row, (generate_subscripts(cells, 1) - 1)::int as column, trim(unnest(cells), ' ') as text, table_row = 0 as label_row from c)
+"""
+
 ORACLE = {
+    "table_cells": f"select raw_id, table_no, table_row, \"column\", text, label_row, label_row or \"column\" <> 1 as offered from {_CELLS}",
+    "table_headers": f"select raw_id, table_no, list(text order by \"column\") filter (where label_row) as headers, max(\"column\") + 1 as columns, max(table_row) + 1 as rows from {_CELLS} group by 1, 2",
     "segment_lines": f"select doc_id, line::int as line, md5(body) as hash from {_LINES} where regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> ''",
     "sentence_counts": f"select feed_id, {_SENT.format('source')}::int as sentences from segment_states",
     "coverage_ratio": f"""
