@@ -146,7 +146,7 @@ class TerminalModel:
         return self.weights[matrix(rows, self.limits)].sum(1) if rows else np.zeros(0, np.float32)
 
 
-def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 5, rate: float = 0.2, batch: int = 128) -> np.ndarray:
+def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 5, rate: float = 0.2, batch: int = 384) -> np.ndarray:
     w, squares = np.zeros(DIMENSIONS, np.float32), np.full(DIMENSIONS, 1e-3, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -164,23 +164,27 @@ def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int =
     return w
 
 
-def _examples(whole: list[tuple[str | None, str]], rng: random.Random, cuts: int, limits: frozenset[int]) -> tuple[list[tuple[str | None, str]], np.ndarray]:
-    """Whole values, some of them again under a foreign source, and cut ones; with their labels."""
-    prose = [(s, t) for s, t in whole if s is not None and kind_of(s, "") == "t"]
-    kept = whole + [(s, rng.choice(prose)[1]) for s, _ in prose[::5]]
-    lost: list[tuple[str | None, str | None]] = []
-    for s, t in whole:
+def _examples(rows: list[tuple[str | None, str]], rng: random.Random, cuts: int, limits: frozenset[int]) -> tuple[list[tuple[str | None, str]], np.ndarray, np.ndarray]:
+    """Whole values, some of them again under a foreign source, and cut ones; with their labels and the row each comes from. The first len(rows) examples are the rows themselves."""
+    prose = [k for k, (s, _) in enumerate(rows) if s is not None and kind_of(s, "") == "t"]
+    kept: list[tuple[str | None, str | None, int]] = [(s, t, k) for k, (s, t) in enumerate(rows)]
+    for k in prose[::5]:
+        other = rng.choice(prose)
+        kept.append((rows[k][0], rows[other][1], other))
+    lost: list[tuple[str | None, str | None, int]] = []
+    for k, (s, t) in enumerate(rows):
         if s is not None and kind_of(s, "") == "h":
             # shorter than any limit, so seldom cut: fewer positives, and the whole value counts twice
-            kept.append((s, t))
+            kept.append((s, t, k))
             if rng.random() < 0.5:
-                lost.append((s, cut(t, rng, limits)))
+                lost.append((s, cut(t, rng, limits), k))
             continue
-        lost += [(s, cut(t, rng, limits)) for _ in range(cuts if s is not None else 3 * cuts)]
+        lost += [(s, cut(t, rng, limits), k) for _ in range(cuts if s is not None else 3 * cuts)]
         if s is not None:
-            lost.append((s, cut_after_sentence(t, rng)))
-    found = [(s, t) for s, t in lost if t and t.strip()]
-    return kept + found, np.r_[np.zeros(len(kept)), np.ones(len(found))].astype(np.float32)
+            lost.append((s, cut_after_sentence(t, rng), k))
+    found = [x for x in lost if x[1] and x[1].strip()]
+    every = kept + found
+    return [(s, t) for s, t, _ in every], np.r_[np.zeros(len(kept)), np.ones(len(found))].astype(np.float32), np.array([k for *_, k in every])
 
 
 def _supported(x: np.ndarray, least: int = 4) -> np.ndarray:
@@ -201,15 +205,18 @@ def fit(intact: list[tuple[str | None, str]], seed: int = 11, cuts: int = 2, fol
         return TerminalModel(np.zeros(DIMENSIONS, np.float32), frozenset())
     limits = common_limits([len(t) for t in {t for _, t in rows} if _closing(t.rstrip()).isalpha()])
     fold = np.array([crc32(t.encode("utf-8", "replace")) % folds for _, t in rows])
+    examples, y, origin = _examples(rows, rng, cuts, limits)
+    x = matrix(examples, limits)
+    # headings are too short to be judged by their fellows in a small sample; without a sign of omission they stay
+    fixed = np.array([s is not None and kind_of(s, "") == "h" and not strip_omission(t)[1] for s, t in rows])
     whole = np.ones(len(rows), bool)
     for _ in range(2):
         found = whole.copy()
         for k in range(folds):
-            rest = [r for r, f, w in zip(rows, fold, whole) if f != k and w]
-            held = [r for r, f in zip(rows, fold) if f == k]
-            if rest and held:
-                examples, y = _examples(rest, rng, cuts, limits)
-                found[fold == k] = TerminalModel(_train(_supported(matrix(examples, limits)), y, order), limits).margin(held) < 0
+            part = whole[origin] & (fold[origin] != k)
+            if part.any() and (fold == k).any():
+                weights = _train(_supported(x[part]), y[part], order)
+                found[fold == k] = (weights[x[: len(rows)][fold == k]].sum(1) < 0) | fixed[fold == k]
         whole = found if found.any() else whole
-    examples, y = _examples([r for r, w in zip(rows, whole) if w], rng, cuts, limits)
-    return TerminalModel(_train(_supported(matrix(examples, limits)), y, order), limits)
+    part = whole[origin]
+    return TerminalModel(_train(_supported(x[part]), y[part], order), limits)
