@@ -117,3 +117,14 @@ def test_human_pairs(spark):
     rows = spark.createDataFrame([(f"i{k}", "b", k < 3) for k in range(20)], "item string, block string, hard boolean")
     got = E.human_pairs(rows, ["x", "y"], 1, 10, F.col("hard")).collect()
     assert len(got) == 10 and sum(r.candidate == "x" for r in got) == 5
+
+
+def test_names_are_no_plurals(spark):
+    counted = spark.createDataFrame([("windows", 10, 10), ("window", 20, 1), ("tables", 4, 0), ("table", 3, 0)], "ngram string, n bigint, capitals bigint")
+    assert {r.ngram: r.n for r in M.fold_plurals(counted).collect()} == {"windows": 10, "window": 20, "table": 7}
+
+
+def test_whole_variants(spark):
+    rows = [("Abstract:", "초록"), ("**Abstract**", "요약"), ("Abstract", None), ("and so", "x"), ("and so", "y"), (None, "z")]
+    got = M.whole_variants(spark.createDataFrame(rows, "s string, t string"), "s", "t").collect()
+    assert [(r.term, r.n, r.variants) for r in got] == [("abstract", 3, ["요약", "초록"])]

@@ -105,7 +105,7 @@ class Glossary:
 
 
 # Words that neither begin nor end a term.
-STOPWORDS = frozenset("a about above after again against all also although always among an and another any are as at be because been before being below between both but by can cannot could did do does doing done down during each either else even ever every few first for from further get given had has have having he her here hers him his how however i if in instead into is it its just last least less like made make many may me might more most much must my need neither never next no nor not now of off often on once one only onto or other others our out over own per rather same shall she should since so some such than that the their theirs them then there these they this those though through thus to too two under until up upon us use used uses using very via was we were what when where whether which while who whom whose why will with within without would yet you your yours".split())
+STOPWORDS = frozenset("a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does doing down during each either else etc even ever every few for from further had has have having he her here hers him his how however i if in into is it its itself just let may me might more most much must my neither no nor not now of off on once one only or other our ours out over own per rather same shall she should since so some such than that the their theirs them then there these they this those though through thus to too under until up upon us very via was we were what when where whether which while who whom whose why will with within without would yet you your yours it's don't doesn't isn't can't won't we're you're that's there's let's i'm we'll you'll e.g i.e".split())
 
 _NOT_PROSE = re.compile(
     r"(?P<t>`+|\$+).*?(?P=t)|<[^>\n]{0,200}>|\]\([^)]*(?:\)|$)|https?://[^\s)>\]]*|(?<![\w-]):[A-Za-z0-9:+._-]{2,}:(?=`)|\\[A-Za-z]*",

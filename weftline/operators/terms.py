@@ -23,20 +23,23 @@ def ngrams(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def counts(grams: DataFrame, least: int = 1) -> DataFrame:
-    """(ngram, n): combined before the shuffle, so a frequent n-gram is no hot key."""
-    return grams.groupBy("ngram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """(ngram, n), and capitals if grams have spellings: how many begin with a capital. Combined before the shuffle, so a frequent n-gram is no hot key."""
+    capitals = [F.count_if(F.col("spelling").rlike(r"^\p{Lu}")).alias("capitals")] if "spelling" in grams.columns else []
+    return grams.groupBy("ngram").agg(F.count("*").alias("n"), *capitals).filter(F.col("n") >= least)
 
 
 def fold_plurals(counted: DataFrame) -> DataFrame:
-    """(ngram, n) with the counts of plurals added to their singular, where that occurs; one simultaneous step."""
+    """(ngram, n) with the counts of plurals added to their singular, where that occurs; one simultaneous step. A plural nearly always capitalised whose singular nearly never is stays a word of its own (at least 0.9 against at most 0.1)."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def stems(values: pd.Series) -> pd.Series:
         return pd.Series([G.singulars(v) for v in values], dtype=object)
 
-    tried = counted.select("ngram", F.posexplode(stems("ngram")).alias("k", "stem"))
-    known = tried.join(counted.select(F.col("ngram").alias("stem")), "stem").groupBy("ngram").agg(F.min_by("stem", "k").alias("stem"))
-    return counted.join(known, "ngram", "left").groupBy(F.coalesce("stem", "ngram").alias("ngram")).agg(F.sum("n").alias("n"))
+    share = F.col("capitals") / F.col("n") if "capitals" in counted.columns else F.lit(0.5)
+    tried = counted.select("ngram", share.alias("plural_share"), F.posexplode(stems("ngram")).alias("k", "stem"))
+    known = tried.join(counted.select(F.col("ngram").alias("stem"), share.alias("share")), "stem").groupBy("ngram", "plural_share").agg(F.min_by("stem", "k").alias("stem"), F.min_by("share", "k").alias("share"))
+    kept = known.filter(~((F.col("plural_share") >= 0.9) & (F.col("share") <= 0.1))).select("ngram", "stem")
+    return counted.join(kept, "ngram", "left").groupBy(F.coalesce("stem", "ngram").alias("ngram")).agg(F.sum("n").alias("n"))
 
 
 def open_ngrams(counted: DataFrame, share: float = 0.9) -> DataFrame:
@@ -58,11 +61,12 @@ def usual_spelling(grams: DataFrame) -> DataFrame:
 
 
 def whole_variants(segments: DataFrame, source: str, translation: str, words: int = 6, chars: int = 80, least: int = 3) -> DataFrame:
-    """(term, n, variants): short segments that recur at least `least` times with two or more translations, those ranked by count and text."""
-    text = F.col(source)
-    short = segments.filter(text.isNotNull() & F.col(translation).isNotNull() & (F.size(F.split(F.trim(text), r"\s+")) <= words) & (F.length(text) <= chars) & text.rlike(r"^[\p{Lu}]") & ~text.rlike(r",\s*$"))
+    """(term, n, variants): short segments that open with a capital, recur at least `least` times and have two or more translations; those ranked by count and text. Untranslated rows count for n only; nulls and empty keys are left out."""
+    text = F.regexp_replace(F.col(source), r"^\s+|\s+$", "")
+    short = segments.filter(text.isNotNull() & (F.size(F.split(text, r"\s+")) <= words) & (F.length(text) <= chars) & F.regexp_replace(text, r"^[^\p{L}\p{N}]+", "").rlike(r"^\p{Lu}") & ~text.rlike(r",$"))
     each = short.groupBy(normalize_whole(source).alias("term"), normalize_whole(translation).alias("variant")).agg(F.count("*").alias("c")).filter("term <> ''")
-    found = each.groupBy("term").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "variant"))).alias("v"))
+    ranked = F.sort_array(F.collect_list(F.when(F.col("variant").isNotNull(), F.struct((-F.col("c")).alias("c"), "variant"))))
+    found = each.groupBy("term").agg(F.sum("c").alias("n"), ranked.alias("v"))
     return found.filter((F.col("n") >= least) & (F.size("v") >= 2)).select("term", "n", F.transform("v", lambda x: x["variant"]).alias("variants"))
 
 

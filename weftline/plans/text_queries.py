@@ -268,10 +268,11 @@ p as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[
 select ngram, count(*) as n from p group by ngram having count(*) >= 4
 """,
     "whole_variants": """
-with s as (select regexp_replace(regexp_replace(source, '^[*_\\s]+', ''), '[*_\\s:.：]+$', '') as a, regexp_replace(regexp_replace(translation, '^[*_\\s]+', ''), '[*_\\s:.：]+$', '') as b from segment_states
-  where translation is not null and len(string_split_regex(trim(source, ' '), '\\s+')) <= 6 and length(source) <= 80 and regexp_matches(source, '^\\p{Lu}') and not regexp_matches(source, ',\\s*$')),
+with t as (select *, regexp_replace(source, '^\\s+|\\s+$', '', 'g') as t from segment_states),
+s as (select regexp_replace(regexp_replace(source, '^[*_\\s]+', ''), '[*_\\s:.：]+$', '') as a, regexp_replace(regexp_replace(translation, '^[*_\\s]+', ''), '[*_\\s:.：]+$', '') as b from t
+  where len(string_split_regex(t, '\\s+')) <= 6 and length(t) <= 80 and regexp_matches(regexp_replace(t, '^[^\\p{L}\\p{N}]+', ''), '^\\p{Lu}') and not regexp_matches(t, ',$')),
 v as (select lower(a) as term, lower(b) as variant, count(*) as c from s group by 1, 2)
-select term, sum(c)::bigint as n, list(variant order by c desc, variant) as variants from v where term <> '' group by term having sum(c) >= 3 and count(*) >= 2
+select term, sum(c)::bigint as n, list(variant order by c desc, variant) filter (where variant is not null) as variants from v where term <> '' group by term having sum(c) >= 3 and count(variant) >= 2
 """,
     "known_projects": """
 with a as (select distinct source as project from documents where source is not null), b as (select distinct project from source_registry where project is not null)
