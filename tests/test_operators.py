@@ -128,3 +128,14 @@ def test_whole_variants(spark):
     rows = [("Abstract:", "초록"), ("**Abstract**", "요약"), ("Abstract", None), ("and so", "x"), ("and so", "y"), (None, "z")]
     got = M.whole_variants(spark.createDataFrame(rows, "s string, t string"), "s", "t").collect()
     assert [(r.term, r.n, r.variants) for r in got] == [("abstract", 3, ["요약", "초록"])]
+
+
+def test_neighbours_across_chunks(spark):
+    rng = random.Random(5)
+    rows = [(f, p, None if rng.random() < 0.2 else rng.randrange(99)) for f in ("a", "b", None) for p in rng.sample(range(60), 25)]
+    got = {(r.path, r.at): (r.before_v, r.after_v) for r in S.neighbours(spark.createDataFrame(rows, "path string, at bigint, v int"), "path", "at", "v", chunk=7).collect()}
+    for f in ("a", "b", None):
+        own = sorted((p, v) for g, p, v in rows if g == f)
+        for k, (p, _) in enumerate(own):
+            assert got[f, p] == (own[k - 1][1] if k else None, own[k + 1][1] if k + 1 < len(own) else None)
+    assert len(got) == len(rows)

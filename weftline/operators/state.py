@@ -17,10 +17,25 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max(order).alias(order), *(F.max_by(c, order).alias(c) for c in rest)).select(*rows.columns)
 
 
-def neighbours(rows: DataFrame, file: str, position: str, value: str) -> DataFrame:
-    """Add before_ and after_ with the neighbours' value in the file; null at the ends."""
-    w = Window.partitionBy(file).orderBy(position)
-    return rows.withColumn(f"before_{value}", F.lag(value).over(w)).withColumn(f"after_{value}", F.lead(value).over(w))
+#: Positions of one section, by flat_index; files are cut there so that a large one is no hot group.
+SECTION = 1_000_000
+
+
+def neighbours(rows: DataFrame, file: str, position: str, value: str, chunk: int = SECTION) -> DataFrame:
+    """Add before_ and after_ with the neighbours' value in the file; null at the ends.
+
+    Windows run over chunks of a file's positions; only the ends of the chunks, one row each, are ordered over
+    the whole file and joined back to the rows at the edges. Positions are unique in a file; null ones form a chunk of their own.
+    """
+    before, after = f"before_{value}", f"after_{value}"
+    cut = rows.withColumn("_c", F.floor(F.col(position) / F.lit(chunk)))
+    w = Window.partitionBy(file, "_c").orderBy(position)
+    inside = cut.withColumn(before, F.lag(value).over(w)).withColumn(after, F.lead(value).over(w)).withColumn("_first", F.lag(F.lit(1)).over(w).isNull()).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    ends = cut.groupBy(file, "_c").agg(F.min_by(value, position).alias("_head"), F.max_by(value, position).alias("_tail"))
+    across = Window.partitionBy(file).orderBy("_c")
+    edges = ends.select(F.col(file).alias("_f"), F.col("_c").alias("_k"), F.lag("_tail").over(across).alias("_before"), F.lead("_head").over(across).alias("_after"))
+    joined = inside.join(edges, F.col(file).eqNullSafe(F.col("_f")) & F.col("_c").eqNullSafe(F.col("_k")), "left")
+    return joined.withColumn(before, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(before))).withColumn(after, F.when(F.col("_last"), F.col("_after")).otherwise(F.col(after))).drop("_c", "_first", "_last", "_f", "_k", "_before", "_after")
 
 
 def status(translation: Column, saved_hash: Column, current_hash: Column, saved_context: Column, current_context: Column, glossary_stale: Column | None = None) -> Column:
@@ -54,7 +69,7 @@ def reconcile(new: DataFrame, saved: DataFrame) -> DataFrame:
     New rows choose in document order among the unused saved rows of their hash the nearest one; of two
     equally near the earlier saved row. Hashes found once on both sides are joined; only the others are
     grouped, by file and hash. Within such a group rows arrive sorted and are matched as a stream.
-    Rows with a null hash match nothing; repeated ids count as rows of their own.
+    Rows with a null hash match nothing; ids are unique in a file.
     """
     a = new.select("file", "id", "hash", flat_index("id").alias("at"))
     b = saved.select("file", "id", "hash", flat_index("id").alias("at"))
