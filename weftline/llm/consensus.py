@@ -59,14 +59,15 @@ class Consensus:
         folded = self.votes.groupBy("item", "annotator").agg(F.count("*").alias("n"), *share)
         own = folded.groupBy("annotator").agg(*(F.avg(f"w{k}").alias(f"p{k}") for k in self.width))
         centred = folded.join(_small(own, self.annotators), "annotator").select("item", "annotator", *((F.col(f"w{k}") - F.col(f"p{k}")).alias(f"x{k}") for k in self.width))
-        self.centred = checkpoint(centred.withColumn("others", F.count("*").over(Window.partitionBy("item")) - 1))
+        centred = checkpoint(centred)
+        # sums by item are joined back, not windowed: a hot item is reduced map-side and its join can be split
+        self.centred = checkpoint(centred.join(centred.groupBy("item").agg((F.count("*") - 1).alias("others")), "item"))
 
     def _push(self, vector: DataFrame) -> DataFrame:
         """One step of the power iteration: each annotator's mean agreement beyond chance with the vector-weighted others."""
         held = self.centred.join(_small(vector, self.annotators), "annotator")
-        item = Window.partitionBy("item")
-        for k in self.width:
-            held = held.withColumn(f"s{k}", F.sum(F.col("v") * F.col(f"x{k}")).over(item))
+        sums = held.groupBy("item").agg(*(F.sum(F.col("v") * F.col(f"x{k}")).alias(f"s{k}") for k in self.width))
+        held = held.join(sums, "item")
         beyond = _sum([F.col(f"x{k}") * (F.col(f"s{k}") - F.col("v") * F.col(f"x{k}")) for k in self.width]) if self.labels else F.lit(0.0)
         return held.groupBy("annotator").agg((F.sum(beyond) / F.greatest(F.sum("others"), F.lit(1))).alias("y"))
 
