@@ -76,6 +76,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (document_segments, document_blocks, misaligned_segments, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
 
 ORACLE = {
+    "rendered_batches": "select path || '#' || regexp_replace(seg_id, '/seg:[^/]*$', '') as batch, split_part(split_part(seg_id, '/', 3), ':', 2)::int as pos, upper(source) as translation, 1 as attempts, []::varchar[] as issues from (select * from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1) where translation is null",
     "stream_latest_segments": "select path, seg_id, feed_id, source_hash, translated_at from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1",
     "event_job_states": "select user_id, count(*) as events, count(distinct event_type) as kinds, max(ts) as last, round(sum(value), 4) as total from events group by user_id",
     "event_windows": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2",

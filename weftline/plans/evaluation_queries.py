@@ -219,7 +219,19 @@ with p as (select item, project, (row_number() over (partition by project order
 q as (select *, row_number() over (order by round, project)::int as place from p where round < 6)
 select item, project, round, place from q where round < 1 or place <= 100
 """,
-    "block_strata": None,
+    "block_strata": f"""
+with b as (select item, block, coalesce(raw, '') as r, regexp_replace(coalesce(raw, ''), '^\\s+', '') as h, list_transform(coalesce(segments, []), lambda s: coalesce(s.source, '')) as s from {_BLOCKS}),
+t as (select *, (length(r) - length(replace(r, '`', ''))) + (length(r) - length(replace(r, '](', ''))) / 2 + (length(r) - length(replace(r, '**', ''))) / 2 as marks,
+  len(list_filter(s, lambda x: not (length(x) < 20 or length(regexp_replace(regexp_replace(regexp_replace(x, '`[^`]*(`|$)', '', 'g'), '\\]\\([^)]*(\\)|$)', '', 'g'), '[^\\p{{L}}]', '', 'g')) < 12))) = 0 as triv from b),
+g as (select item, block, list_filter([
+  case when len(s) >= 4 then 'long' end, case when marks >= 4 then 'inline-markup' end,
+  case when contains(r, '$') or contains(r, '\\(') or contains(r, ':math:') or contains(r, '\\begin{{equation') then 'math' end,
+  case when starts_with(h, '- ') or starts_with(h, '* ') or starts_with(h, '\\item') then 'list' end,
+  case when starts_with(h, '|') then 'table' end,
+  case when starts_with(h, '#') or starts_with(h, '\\section') or starts_with(h, '\\chapter') then 'heading' end,
+  case when triv then 'trivial' end], lambda x: x is not null) as f from t)
+select item, block, list_sort(case when len(f) = 0 then ['prose'] when f = ['long'] then ['long', 'prose'] else f end) as strata from g
+""",
     "manifest_counts": f"""
 select 'project' as kind, project || '/' || kind as name, count(*) as blocks, count(distinct item) as items from {_BLOCKS} group by 2
 union all select 'parser', parser, count(*), count(distinct item) from {_BLOCKS} group by 2
@@ -244,5 +256,11 @@ f as (select out_id, item, e.key as pos, e.value.translation as t from (select o
 select out_id, f.pos, null::int as distance from f join r using (item, pos) where t is not null
 """,
 }
-# The judging sample runs two capped passes; it and the tags are tested against plain Python instead. DuckDB's edit distance counts bytes, so that query has no SQL either.
+ORACLE["report_decisions"] = f"""
+with base as (select baseline as b from judge_pairs group by 1 order by count(*) desc, 1 limit 1),
+r as ({ORACLE["gate_rates"]}), w as ({_tally("baseline, candidate")}),
+g as (select r.candidate, bool_and(r.rate >= o.rate) as gates_hold from r join r o on o.variant = r.variant and o.candidate = (select b from base) where r.candidate <> (select b from base) group by 1)
+select g.candidate, gates_hold, coalesce(w.low > 0.5, false) as judges_hold from g left join w on w.candidate = g.candidate and w.baseline = (select b from base)
+"""
+# The judging sample runs two capped passes; it is tested against its bounds instead. DuckDB's edit distance counts bytes, so that query has no SQL either.
 ORACLE = {k: v for k, v in ORACLE.items() if v and k not in ("judge_sample", "segment_references")}
