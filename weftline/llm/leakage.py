@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,17 +102,19 @@ class Index:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], shared: dict[object, list[int]] | None = None) -> None:
+        """shared: the places of each item's runs that SHARED or more of all items hold; without it these items are all."""
         self.items = [Item(k, stream_words(t)) for k, t in items]
-        runs: dict[tuple[str, ...], set[int]] = defaultdict(set)
-        for n, item in enumerate(self.items):
-            for i in range(len(item.words) - RUN + 1):
-                runs[tuple(item.words[i : i + RUN])].add(n)
+        runs: dict[tuple[str, ...], set[object]] = defaultdict(set)
+        if shared is None:
+            for item in self.items:
+                for i in range(len(item.words) - RUN + 1):
+                    runs[tuple(item.words[i : i + RUN])].add(item.key)
         for item in self.items:
             item.own = np.ones(len(item.words), bool)
-            for i in range(len(item.words) - RUN + 1):
-                if len(runs[tuple(item.words[i : i + RUN])]) >= SHARED:
-                    item.own[i : i + RUN] = False
+            places = shared.get(item.key, ()) if shared is not None else [i for i in range(len(item.words) - RUN + 1) if len(runs[tuple(item.words[i : i + RUN])]) >= SHARED]
+            for i in places:
+                item.own[i : i + RUN] = False
         hashes = [qgram_hashes(_codes(item.stream)) for item in self.items]
         spread = Counter(h for hs in hashes for h in np.unique(hs).tolist())
         kept_h, kept_n, kept_p = [], [], []
@@ -246,6 +249,25 @@ def leaked(index: Index, texts: list[str | None]) -> list[list[object]]:
     return [sorted((index.items[i].key for i in f), key=str) for f in found]
 
 
+def shared_runs(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, places): where the runs of RUN words of each item stand that SHARED or more items hold. Runs are counted by hash over all items; a run in every item is reduced map-side before it is joined back."""
+    kind = items.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["k"], batch["t"]):
+                words = stream_words(t) if t is not None else []
+                rows += [(k, i, xxhash.xxh3_64_intdigest(" ".join(words[i : i + RUN])) - (1 << 63)) for i in range(len(words) - RUN + 1)]
+            yield pd.DataFrame(rows, columns=["k", "place", "h"])
+
+    placed = items.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"k {kind}, place int, h bigint")
+    often = placed.select("h", "k").distinct().groupBy("h").count().filter(F.col("count") >= SHARED).select("h")
+    return placed.join(often, "h", "left_semi").groupBy(F.col("k").alias(key)).agg(F.collect_list("place").alias("places"))
+
+
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_key): each document that holds a passage of an item, with the item; one row a pair.
 
@@ -258,8 +280,11 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
     kinds = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}"
-    rows = items.select(F.col(item_key), F.col(item_text)).filter(F.col(item_text).isNotNull()).toLocalIterator()
-    block, result = [], None
+    named = items.select(F.col(item_key), F.col(item_text)).filter(F.col(item_text).isNotNull())
+    few = named.limit(BLOCK + 1).count() <= BLOCK
+    # more than one block: sentences that items share are sought over all of them, not inside a block
+    rows = (named.withColumn("_s", F.lit(None).cast("array<int>")) if few else named.join(shared_runs(named, item_key, item_text).withColumnRenamed("places", "_s"), item_key, "left")).toLocalIterator()
+    block, shared, result = [], {}, None
 
     def search(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
@@ -278,11 +303,12 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
         return docs.mapInArrow(run, schema)
 
     for row in rows:
-        block.append((row[0], row[1]))
+        block.append((row[item_key], row[item_text]))
+        shared[row[item_key]] = row["_s"] or []
         if len(block) == BLOCK:
-            part = search(Index(block))
-            result, block = part if result is None else result.unionByName(part), []
+            part = search(Index(block, None if few else shared))
+            result, block, shared = part if result is None else result.unionByName(part), [], {}
     if block or result is None:
-        part = search(Index(block))
+        part = search(Index(block, None if few else shared))
         result = part if result is None else result.unionByName(part)
     return result
