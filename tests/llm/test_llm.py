@@ -257,6 +257,27 @@ def test_chain_is_longest():
     assert bitext.chain([]) == []
 
 
+def test_long_gaps_are_aligned_whole():
+    rng = np.random.default_rng(5)
+    lexicon = bitext.Lexicon()
+    # one sentence against 400 without an anchor between
+    assert bitext.align(["The cursor reads."], [f"커서 {chr(0xAC00 + k)}" for k in range(400)], lexicon) == []
+    # 250 sentences left out: the true diagonal lies that far off the straight one
+    n, m, lost = 450, 700, 250
+    scores = rng.normal(-1.0, 0.3, (n, m))
+    scores[np.arange(n), np.arange(n) + lost] = 2.0
+    assert sorted(bitext.gap(scores, scores)) == [(i, i + lost) for i in range(n)]
+
+
+def test_gap_is_the_same_in_blocks():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        shape = tuple(rng.integers(1, 14, 2))
+        left, right = rng.normal(0, 1.2, shape), rng.normal(0, 1.2, shape)
+        whole = bitext.gap(left, right)
+        assert all(bitext.gap(left, right, cells) == whole for cells in (1, 20, 45))
+
+
 def test_bitext_frame(spark):
     schema = "bitext_id bigint, source array<struct<idx:int,text:string>>, translation array<struct<idx:int,text:string>>, source_idx int"
     rows = [(1, [(4, "Run `a_b` now."), (2, None)], [(7, "`a_b`를 실행합니다.")], 5), (2, None, [(0, "x")], 5), (3, [], [], 5)]
