@@ -353,6 +353,30 @@ def test_leak_frame_in_blocks(spark, monkeypatch):
     assert leakage.find_leaks(docs, "doc_id", "text", held.limit(0), "item_id", "text").count() == 0
 
 
+def _copied_items(rng):
+    """Six items after one sentence; the first stands under four ids, one of them with a word changed."""
+    items, words, _ = _items(rng, 6)
+    shared = " ".join(rng.choices(words, k=15))
+    items = [(k, shared + " " + t) for k, t in items]
+    text = items[0][1]
+    changed = text.split()
+    changed[-20] = "another"
+    return [*items, (20, text), (21, text), (22, " ".join(changed))], text, shared + " " + " ".join(rng.choices(words, k=20))
+
+
+def test_copies_of_an_item_are_all_reported():
+    items, text, only_shared = _copied_items(random.Random(13))
+    assert leakage.leaked(leakage.Index(items), [text, only_shared]) == [[0, 20, 21, 22], []]
+
+
+def test_copies_in_several_blocks_are_all_reported(spark, monkeypatch):
+    items, text, only_shared = _copied_items(random.Random(13))
+    docs = spark.createDataFrame([(1, text), (2, only_shared)], "doc_id bigint, text string")
+    held = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(leakage, "BLOCK", 4)
+    assert sorted(tuple(r) for r in leakage.find_leaks(docs, "doc_id", "text", held, "item_id", "text").collect()) == [(1, 0), (1, 20), (1, 21), (1, 22)]
+
+
 # --- repetition
 
 

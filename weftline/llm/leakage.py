@@ -12,7 +12,7 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import checkpoint
+
 #: Length of the q-grams (a power of two, so that hashes double up).
 Q = 8
 #: Consecutive words that make a leak, and how many of them must lie outside sentences that items share.
 RUN, OWN = 12, 8
-#: A sentence is shared if a run of RUN words of it is in so many items.
+#: A sentence is shared if a run of RUN words of it is in so many items; copies of one item count once.
 SHARED = 3
+#: Items are copies of each other if so much of the longer one is found in order in the other.
+COPY = 0.9
 #: Share of the item's own words that must be found in order for a leak of the whole item with changes.
 COVER = 0.76
 #: q-grams in more items than this are left out of the index, as long as each run keeps LEAST others.
@@ -103,13 +107,16 @@ class Index:
     BITS = 22
 
     def __init__(self, items: list[tuple[object, str]], shared: dict[object, list[int]] | None = None) -> None:
-        """shared: the places of each item's runs that SHARED or more of all items hold; without it these items are all."""
+        """shared: the places of each item's runs that SHARED or more of all items hold, copies counted once; without it these items are all."""
         self.items = [Item(k, stream_words(t)) for k, t in items]
         runs: dict[tuple[str, ...], set[object]] = defaultdict(set)
         if shared is None:
             for item in self.items:
                 for i in range(len(item.words) - RUN + 1):
                     runs[tuple(item.words[i : i + RUN])].add(item.key)
+        if shared is None:
+            group = self._groups(runs)
+            runs = {r: {group.get(k, k) for k in keys} if len(keys) >= SHARED else keys for r, keys in runs.items()}
         for item in self.items:
             item.own = np.ones(len(item.words), bool)
             places = shared.get(item.key, ()) if shared is not None else [i for i in range(len(item.words) - RUN + 1) if len(runs[tuple(item.words[i : i + RUN])]) >= SHARED]
@@ -150,6 +157,19 @@ class Index:
         self.runs: dict[int, list[str]] = {}
         self.longest = max((len(i.stream) for i in self.items), default=0)
 
+    def _groups(self, runs: dict[tuple[str, ...], set[object]]) -> dict[object, object]:
+        """One key for all copies, of those that have any. Items are compared with the first item of each run they share, not with each other."""
+        words: dict[object, list[list[str]]] = defaultdict(list)
+        for item in self.items:
+            words[item.key].append(item.words)
+        at = {k: n for n, k in enumerate(words)}
+        pairs = set()
+        for keys in runs.values():
+            if len(keys) >= SHARED:
+                first = min(keys, key=at.__getitem__)
+                pairs |= {(first, k) for k in keys if k != first}
+        return united((a, b) for a, b in pairs if any(copies(x, y) for x in words[a] for y in words[b]))
+
     def regions(self, streams: list[str]) -> list[tuple[int, int, int, int]]:
         """(stream, item, first, last position) of every band of diagonals with enough shared q-grams."""
         # Q zeros between streams: no q-gram of an item holds one
@@ -222,6 +242,27 @@ def common_in_order(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def copies(a: list[str], b: list[str]) -> bool:
+    """Exact or near copies: COPY of the longer text in order in the other."""
+    least = COPY * max(len(a), len(b))
+    return min(len(a), len(b)) >= least and (a == b or common_in_order(a, b) >= least)
+
+
+def united(pairs: Iterable[tuple[object, object]]) -> dict[object, object]:
+    """One key for each group of keys that pairs connect."""
+    parent: dict[object, object] = {}
+
+    def root(k: object) -> object:
+        while parent.setdefault(k, k) != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, b in pairs:
+        parent[root(b)] = root(a)
+    return {k: root(k) for k in list(parent)}
+
+
 def leaked(index: Index, texts: list[str | None]) -> list[list[object]]:
     """The items that each text holds."""
     bare = [unmarked(t) if t else "" for t in texts]
@@ -250,7 +291,11 @@ def leaked(index: Index, texts: list[str | None]) -> list[list[object]]:
 
 
 def shared_runs(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, places): where the runs of RUN words of each item stand that SHARED or more items hold. Runs are counted by hash over all items; a run in every item is reduced map-side before it is joined back."""
+    """(key, places): where the runs of RUN words of each item stand that SHARED or more items hold, copies counted once.
+
+    Runs are counted by hash over all items; a run in every item is reduced map-side before it is joined back.
+    To find copies, each item is compared with the first item of each shared run it holds, so a run in every item gives one pair an item.
+    """
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,9 +308,23 @@ def shared_runs(items: DataFrame, key: str, text: str) -> DataFrame:
                 rows += [(k, i, xxhash.xxh3_64_intdigest(" ".join(words[i : i + RUN])) - (1 << 63)) for i in range(len(words) - RUN + 1)]
             yield pd.DataFrame(rows, columns=["k", "place", "h"])
 
-    placed = items.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"k {kind}, place int, h bigint")
-    often = placed.select("h", "k").distinct().groupBy("h").count().filter(F.col("count") >= SHARED).select("h")
-    return placed.join(often, "h", "left_semi").groupBy(F.col("k").alias(key)).agg(F.collect_list("place").alias("places"))
+    named = items.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    placed = checkpoint(named.mapInPandas(run, f"k {kind}, place int, h bigint"))
+    held = placed.select("h", "k").distinct()
+    often = checkpoint(held.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter(F.col("n") >= SHARED))
+    pairs = held.join(often, "h").filter(F.col("k") != F.col("first")).select("first", "k").distinct()
+
+    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[copies(stream_words(a), stream_words(b)) for a, b in zip(batch["t"], batch["u"])], ["first", "k"]]
+
+    both = pairs.join(named.select(F.col("k").alias("first"), F.col("t")), "first").join(named.select("k", F.col("t").alias("u")), "k")
+    group = united(tuple(r) for r in both.select("first", "k", "t", "u").mapInPandas(same, f"first {kind}, k {kind}").toLocalIterator())
+    if group:
+        grouped = items.sparkSession.createDataFrame(list(group.items()), f"k {kind}, g {kind}")
+        known = held.join(often.select("h"), "h", "left_semi").join(grouped, "k", "left").select("h", F.coalesce("g", "k").alias("g"))
+        often = known.distinct().groupBy("h").count().filter(F.col("count") >= SHARED)
+    return placed.join(often.select("h"), "h", "left_semi").groupBy(F.col("k").alias(key)).agg(F.collect_list("place").alias("places"))
 
 
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
@@ -273,7 +332,7 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
 
     Items are read in blocks of a bounded size and each block is held against all documents, whole texts
     of any length, without a shuffle. Null and empty texts on either side give nothing; of items that are alike
-    each is reported. Repeated documents give repeated rows. Other columns are dropped, so theirs can't clash.
+    each is reported, however many they are. Repeated documents give repeated rows. Other columns are dropped, so theirs can't clash.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
