@@ -80,6 +80,37 @@ def test_no_sample_calls_nothing_cut():
     assert terminal.fit([]).margin([]).tolist() == []
 
 
+def _with_a_limit(n, at, of):
+    """n texts of varied length, each of which ends in a full stop but one in `of`, which stops at a length of `at`."""
+    rng = random.Random(14)
+    whole = [" ".join(_sentences(rng, 1)[1].split() * 30)[: rng.randrange(110, 300)] + f" {k}." for k in range(n)]
+    return [(f"{k} " + t)[: at - 1] + "x" if k % of == 0 else t for k, t in enumerate(whole)]
+
+
+def test_limits_are_counted_over_all_rows(spark, monkeypatch):
+    models = []
+    for module in (truncation, pairs):
+        real = module.fit
+        monkeypatch.setattr(module, "fit", lambda *a, real=real, **k: models.append(real(*a, **k)) or models[-1])
+    values = _with_a_limit(1200, 100, 40)
+    texts = spark.createDataFrame([("segment_states", k, 0, "p", "A source.", t) for k, t in enumerate(values)], "src string, row_id bigint, pos int, owner string, source string, text string")
+    truncation.truncated_texts(texts, bound=60)
+    assert models[0].limits == {100}
+    rows = spark.createDataFrame([(k, "A source.", t, "ko") for k, t in enumerate(values)], "pair_id bigint, source string, translation string, target_lang string")
+    models.clear()
+    pairs.flag_pairs(rows, "pair_id", "source", "translation", "target_lang", bound=60)
+    assert models[0].limits == {100}
+
+
+def test_common_limits():
+    near = {n: 2 for n in range(50, 150)}
+    assert terminal.common_limits(near | {88: 33, 120: 13}) == {88, 120}
+    # eight among many lengths of two each are chance, and any length can be a limit
+    assert terminal.common_limits(near | {88: 8}) == frozenset()
+    assert terminal.common_limits({1 << 17: 20}) == {1 << 17}
+    assert terminal.common_limits({}) == frozenset()
+
+
 def test_truncation_frame(spark):
     rng = random.Random(3)
     texts = [("segment_states", k, 0, "p", *_sentences(rng, 2)) for k in range(300)] + [("segment_states", 999, 0, "p", "A source.", None), ("segment_states", 998, 0, "p", "A source.", " ")]

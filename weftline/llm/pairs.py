@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.terminal import TerminalModel, fit
+from weftline.llm.terminal import TerminalModel, common_limits, fit, open_ended
 
 #: Pairs of each stratum at most that the terminal model is fitted on (a documented bound; scoring has none).
 SAMPLE = 6000
@@ -168,6 +168,19 @@ def sample(pairs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, str, str]]:
     return [tuple(r) for r in found]
 
 
+def limits_of(pairs: DataFrame) -> frozenset[int]:
+    """The common limits, from the lengths of the distinct open-ended sound responses of all pairs. Responses are told apart by hash and reduced map-side."""
+    ended = pairs.filter(F.col("source").isNotNull() & open_ended(F.col("response"))).select("source", "response", "target", F.length("response").alias("n"), F.xxhash64("response").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array([_sound(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(3)))], pa.bool_())
+            yield batch.select([3, 4]).filter(kept)
+
+    rows = ended.mapInArrow(run, "n int, h bigint").groupBy("n").agg(F.countDistinct("h").alias("texts")).collect()
+    return common_limits({r["n"]: r["texts"] for r in rows})
+
+
 def flag_pairs(pairs: DataFrame, key: str, source: str, response: str, target: str, bound: int = SAMPLE) -> DataFrame:
     """(key, defect) of every pair; defect is null for a sound one.
 
@@ -176,7 +189,7 @@ def flag_pairs(pairs: DataFrame, key: str, source: str, response: str, target: s
     """
     named = pairs.select(F.col(key).alias("pair"), F.col(source).cast("string").alias("source"), F.col(response).cast("string").alias("response"), F.col(target).cast("string").alias("target"))
     known = sample(named, bound)
-    model = fit([(s, t) for s, t, lang in known if _sound(s, t, lang)], cuts=3)
+    model = fit([(s, t) for s, t, lang in known if _sound(s, t, lang)], cuts=3, limits=limits_of(named))
     shared = pairs.sparkSession.sparkContext.broadcast(model)
     kind = pairs.schema[key].dataType.simpleString()
 

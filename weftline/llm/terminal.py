@@ -7,11 +7,14 @@ bounded sample on the driver and then scores every row on the executors.
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import Column
 
 #: Size of the hashed feature space, and of a row's feature list.
 DIMENSIONS, WIDTH = 1 << 18, 32
@@ -128,12 +131,23 @@ def cut_after_sentence(text: str, rng: random.Random) -> str | None:
     return text.strip()[: at.end() if rng.random() < 0.5 else at.start()]
 
 
-def common_limits(lengths: list[int]) -> frozenset[int]:
-    """Lengths at which conspicuously many open-ended texts stop: at least 8, and 4 times the mean of the 10 lengths around."""
-    counts = np.bincount(np.array([n for n in lengths if n < 100_000] or [0], np.int64), minlength=1)
-    padded = np.pad(counts.astype(float), 5)
-    around = np.convolve(padded, np.ones(11), "valid") - counts
-    return frozenset(np.flatnonzero((counts >= 8) & (counts >= 4 * np.maximum(around / 10, 1))).tolist())
+def common_limits(counts: dict[int, int]) -> frozenset[int]:
+    """Lengths at which conspicuously many open-ended texts stop, from the number of such texts of each length.
+
+    At least 8, 4 times the mean of the 10 lengths around, and more than chance gives about that mean at any of
+    all lengths (a bound on the Poisson tail), so that a larger table shows the limits of a smaller one but no others.
+    """
+    found = set()
+    for n, count in counts.items():
+        mean = max(1.0, sum(counts.get(n + d, 0) for d in range(-5, 6) if d) / 10)
+        if count >= 8 and count >= 4 * mean and count - mean - count * math.log(count / mean) + math.log(len(counts)) < math.log(0.05):
+            found.add(n)
+    return frozenset(found)
+
+
+def open_ended(text: Column) -> Column:
+    """Whether a text ends in a letter or digit, white space aside, as the texts do that limits are counted over."""
+    return text.rlike(r"(?sU)[\p{L}\p{N}]\s*$")
 
 
 class TerminalModel:
@@ -192,18 +206,20 @@ def _supported(x: np.ndarray, least: int = 4) -> np.ndarray:
     return np.where(np.bincount(x.ravel(), minlength=DIMENSIONS)[x] >= least, x, 0)
 
 
-def fit(intact: list[tuple[str | None, str]], seed: int = 11, cuts: int = 2, folds: int = 3) -> TerminalModel:
+def fit(intact: list[tuple[str | None, str]], seed: int = 11, cuts: int = 2, folds: int = 3, limits: frozenset[int] | None = None) -> TerminalModel:
     """Fit on whole values: each stays as a negative and gives `cuts` cut positives, or three times as many if it has no source.
 
     Whole values under a foreign source are negatives too: an outdated text is not a cut one. The sample itself
     holds some cut values; they are found by models of the other folds (equal texts share a fold) and leave the
     negatives. An empty sample gives a model that calls nothing cut.
+    limits are the common limits of all texts, if the values are only a sample of them; without it they are counted here.
     """
     rng, order = random.Random(seed), np.random.default_rng(seed)
     rows = [(s, t) for s, t in intact if t and t.strip()]
     if not rows:
         return TerminalModel(np.zeros(DIMENSIONS, np.float32), frozenset())
-    limits = common_limits([len(t) for t in {t for _, t in rows} if _closing(t.rstrip()).isalpha()])
+    if limits is None:
+        limits = common_limits(Counter(len(t) for t in {t for _, t in rows} if _closing(t.rstrip()).isalpha()))
     fold = np.array([crc32(t.encode("utf-8", "replace")) % folds for _, t in rows])
     examples, y, origin = _examples(rows, rng, cuts, limits)
     x = matrix(examples, limits)

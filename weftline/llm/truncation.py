@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.terminal import TerminalModel, fit
+from weftline.llm.terminal import TerminalModel, common_limits, fit, open_ended
 
 #: Rows of each stratum at most that a model is fitted on (a documented bound; scoring has none).
 SAMPLE = 4000
@@ -22,6 +23,15 @@ def sample(texts: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, str]
     return [(r["source"], r["text"]) for s in (0, 1, 2) for r in rows.filter(F.col("_s") == s).orderBy("_h", "text").limit(bound).collect()]
 
 
+def limits_of(texts: DataFrame) -> dict[str, frozenset[int]]:
+    """The common limits of each src, from the lengths of the distinct open-ended texts of all rows. Texts are told apart by hash and reduced map-side."""
+    ended = texts.filter(open_ended(F.col("text"))).select("src", F.length("text").alias("n"), F.xxhash64("text").alias("_h"))
+    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in ended.groupBy("src", "n").agg(F.countDistinct("_h").alias("texts")).collect():
+        counts[r["src"]][r["n"]] = r["texts"]
+    return {src: common_limits(c) for src, c in counts.items()}
+
+
 def score(texts: DataFrame, models: dict[str, TerminalModel], pick: str = "src") -> DataFrame:
     """Keep texts' columns but source and text, and add the margin of the model that column `pick` names; null for null or blank texts."""
     kept = [c for c in texts.columns if c not in ("source", "text")]
@@ -61,12 +71,13 @@ def field_texts(segments: DataFrame, items: DataFrame, outputs: DataFrame, gates
 
 
 def truncated_texts(texts: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """Score every text: (src, row_id, pos, owner, margin, truncated). One model per src, fitted on at most `bound` of its rows.
+    """Score every text: (src, row_id, pos, owner, margin, truncated). One model per src, fitted on at most `bound` of its rows; limits are counted over all.
 
     Null, empty and blank texts are not truncated. Very long texts are judged by their end and their
     sentence structure. Repeated rows give repeated rows; an empty table gives none.
     """
-    models = {src: fit(sample(texts.filter(F.col("src") == src), bound)) for src in ("segment_states", "eval_outputs", "gate_rows")}
+    limits = limits_of(texts)
+    models = {src: fit(sample(texts.filter(F.col("src") == src), bound), limits=limits.get(src, frozenset())) for src in ("segment_states", "eval_outputs", "gate_rows")}
     return score(texts, models).withColumn("truncated", F.coalesce(F.col("margin") > 0, F.lit(False)))
 
 
