@@ -332,7 +332,27 @@ def test_encoding_equals_the_tokenizer():
 def test_forced_pairs_are_in_no_token():
     known = encode.ForcedEncoder(VOCABULARY)
     assert all(not known.forced[a, b] for t in known.ranks for a, b in zip(t, t[1:]))
-    assert b"".join(known.cuts("xqzj한".encode())) == "xqzj한".encode()
+
+
+def test_texts_are_cut_at_forced_pairs(monkeypatch):
+    known = encode.ForcedEncoder(VOCABULARY)
+    rng = random.Random(3)
+    for alphabet in ("qzxjQZ'st!?; 한글漢é", "abc한국어 문서\n.,()'"):
+        for _ in range(500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 60)))
+            at = known.cuts(text).tolist()
+            parts = [text[i:j] for i, j in zip([0, *at], [*at, len(text)])]
+            assert all(known.forced[text[i - 1].encode()[-1], text[i].encode()[0]] for i in at)
+            # fragments are encoded apart and put together again
+            assert [i for p in parts for i in known.core.encode_ordinary(p)] == known.core.encode_ordinary(text)
+    assert len(known.cuts("The xqzj reader of 문서")) >= 4
+    # no cut is made where it would change what the pre-tokenizer sees: after white space, before an apostrophe in signs
+    assert 3 not in known.cuts("a  \x01b").tolist() and 1 not in known.cuts("!'s").tolist()
+    # the encoder sees the fragments, not the text
+    calls = []
+    monkeypatch.setattr(known, "core", type("Spy", (), {"encode_ordinary": lambda self, p: calls.append(p) or [0]})())
+    known.encode("xqzj xqzj")
+    assert len(calls) > 1 and "xqzj xqzj" not in calls
 
 
 def test_encoding_frame(spark):

@@ -1,11 +1,17 @@
 """Encoding a corpus with a public byte-level BPE vocabulary, by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be joined by a merge, so every
-encoding has a boundary there. Where such a pair also is a boundary of the pre-tokenizer (the
-start of a run of ASCII white space), the text may be cut and its fragments encoded apart; most
-fragments are words that come again and again, so each is encoded once a worker and looked up
-after that. Inside long pre-tokens the remaining forced pairs cut once more, so that a long run
-without white space isn't merged as one piece.
+encoding has a boundary there. Every text is cut at all its forced pairs, but for those where a cut
+would change what the pre-tokenizer sees; the fragments are encoded apart and their ids put
+one after the other. Most fragments come again and again, so each is encoded once a worker and
+looked up after that.
+
+Why the cuts are certain. Merges never cross a forced pair, so inside one pre-token both sides merge
+as they would alone. The pre-tokenizer's pattern looks ahead only from white space and joins only white
+space to what follows it, so no cut is made after white space; before white space a pre-token always ends. Inside a
+run of other signs a cut before an apostrophe would let it begin a contraction, so none is made there.
+Any other cut between two characters lies inside a run of letters, digits or signs, of which both parts
+match the same alternative, or between two runs, where pre-tokens end anyway.
 """
 
 from __future__ import annotations
@@ -13,7 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,15 +33,10 @@ VOCABULARY_DIR = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenizer pattern of the byte_bpe vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_ASCII_SPACE = "\t\n\x0b\x0c\r "
-_OTHER_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A fragment is a run of ASCII white space with what follows up to the next.
-_FRAGMENT = re.compile(f"[{_ASCII_SPACE}]*[^{_ASCII_SPACE}]+|[{_ASCII_SPACE}]+")
-_SPACE_MEETS_SPACE = re.compile(f"[{_OTHER_SPACE}][{_ASCII_SPACE}]")
+#: Characters that the pattern or Python takes for white space: no cut is made after one.
+_SPACE = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF], np.uint32)
 #: Fragments up to this many characters are remembered, at most KEPT of them a worker.
 SHORT, KEPT = 40, 300_000
-#: Pre-tokens of more bytes are cut at forced pairs before merging.
-LONG_PIECE = 64
 
 
 class ForcedEncoder:
@@ -55,82 +55,54 @@ class ForcedEncoder:
                 b = np.frombuffer(token, np.uint8)
                 joined[b[:-1], b[1:]] = True
         self.forced = ~joined
-        space = _ASCII_SPACE.encode()
-        unsafe = [bytes([a, s]) for s in space for a in range(256) if joined[a, s] and a not in space]
-        #: Pairs before white space that some token contains: a text with one is cut by the pre-tokenizer alone.
-        self._unsafe = re.compile(b"|".join(map(re.escape, unsafe))) if unsafe else None
-        self._seen: dict[str, np.ndarray] = {}
-
-    def cuts(self, piece: bytes) -> list[bytes]:
-        """The piece cut at every forced pair."""
-        b = np.frombuffer(piece, np.uint8)
-        at = np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1
-        edges = [0, *at.tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(edges, edges[1:])]
-
-    def _long(self, text: str) -> list[int]:
-        import regex
-
-        ids: list[int] = []
-        for piece in regex.findall(PATTERN, text):
-            raw = piece.encode()
-            if len(raw) <= LONG_PIECE:
-                ids += self.core.encode_ordinary(piece)
-            else:
-                for part in self.cuts(raw):
-                    ids += [self.ranks[part]] if part in self.ranks else self.core._core_bpe.encode_single_piece(part)
-        return ids
-
-    def fragment(self, text: str) -> list[int]:
-        return self.core.encode_ordinary(text) if len(text) <= LONG_PIECE else self._long(text) if _run(text) else self.core.encode_ordinary(text)
-
-    def splittable(self, text: str) -> bool:
+        self._seen: dict[str, tuple[int, ...]] = {}
+
+    def cuts(self, text: str) -> np.ndarray:
+        """Where the text may be cut: the places of the characters that begin a fragment, without the first."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(c) < 2:
+            return np.zeros(0, np.int64)
         if text.isascii():
-            return True
-        return not (_SPACE_MEETS_SPACE.search(text) or (self._unsafe and self._unsafe.search(text.encode())))
+            ends, begins = c[:-1], c[1:]
+        else:
+            # last byte of each character and first byte of the next one
+            a, b = c[:-1], c[1:]
+            ends = np.where(a < 0x80, a, 0x80 | (a & 0x3F))
+            begins = np.where(b < 0x80, b, np.where(b < 0x800, 0xC0 | (b >> 6), np.where(b < 0x10000, 0xE0 | (b >> 12), 0xF0 | (b >> 18))))
+        at = np.flatnonzero(self.forced[ends, begins])
+        left, right = c[at], c[at + 1]
+        word = ((left >= 48) & (left <= 57)) | ((left | 32) - 97 < 26)
+        return at[~np.isin(left, _SPACE) & (word | (right != 39))] + 1
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one text; an empty or null text gives none. Special tokens' strings are ordinary text."""
         return self.encode_many([text])[1].tolist()
 
     def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids one after the other)."""
-        seen, counts, parts = self._seen, [], []
+        """(number of ids of each text, all ids one after the other). Texts are laid end to end and always cut where one ends."""
+        seen = self._seen
         if len(seen) > KEPT:
             seen.clear()
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            if not self.splittable(text):
-                ids = self.fragment(text)
-                counts.append(len(ids))
-                parts.append(ids)
-                continue
-            pieces = _FRAGMENT.findall(text)
-            try:
-                found = [seen[p] for p in pieces]
-            except KeyError:
-                found = []
-                for p in pieces:
+        whole = "".join(t for t in texts if t)
+        ends = np.cumsum([len(t) if t else 0 for t in texts], dtype=np.int64)
+        if not whole:
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+        edges = np.union1d(self.cuts(whole), np.r_[0, ends])
+        at = edges.tolist()
+        pieces = [whole[i:j] for i, j in zip(at, at[1:])]
+        found = list(map(seen.get, pieces))
+        if None in found:
+            for n, (p, ids) in enumerate(zip(pieces, found)):
+                if ids is None:
                     ids = seen.get(p)
                     if ids is None:
-                        ids = tuple(self.fragment(p))
+                        ids = tuple(self.core.encode_ordinary(p))
                         if len(p) <= SHORT:
                             seen[p] = ids
-                    found.append(ids)
-            counts.append(sum(map(len, found)))
-            parts += found
-        total = sum(counts)
-        return np.array(counts, np.int64), np.fromiter(chain.from_iterable(parts), np.int32, total)
-
-
-#: A run without white space of this many characters is looked at for forced pairs.
-_LONG_RUN = re.compile(rf"[^{_ASCII_SPACE}{_OTHER_SPACE}]{{{LONG_PIECE},}}|[{_ASCII_SPACE}{_OTHER_SPACE}]{{{LONG_PIECE},}}")
-
-
-def _run(text: str) -> bool:
-    return len(text) > 4096 and _LONG_RUN.search(text) is not None
+                    found[n] = ids
+        upto = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        done = upto[np.searchsorted(edges, ends)]
+        return np.diff(np.r_[0, done]), np.fromiter(chain.from_iterable(found), np.int32, int(upto[-1]))
 
 
 @functools.cache
