@@ -433,7 +433,7 @@ def test_copies_in_several_blocks_are_all_reported(spark, monkeypatch):
 
 def test_repeated_shares():
     sentence = "The quick cursor reads seven sealed buffers. "
-    assert repetition.measure(None) == repetition.measure("  ") == (0.0, 0.0, 0.0)
+    assert repetition.measure(None) == repetition.measure("  ") == (0.0, 0.0, 0.0, 0.0)
     assert repetition.repeated_passages(sentence * 4) == pytest.approx(0.75, abs=0.03)
     assert repetition.repeated_passages("1. " + sentence + "\n2) " + sentence.upper()) == pytest.approx(0.5, abs=0.08)
     assert repetition.repeated_passages(" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300))) == 0.0
@@ -459,6 +459,25 @@ def test_share_equals_brute_force():
     for _ in range(200):
         text = " ".join(rng.choice(["aa", "bb", "cc", "7", "Dd,"]) for _ in range(rng.randrange(1, 60)))
         assert repetition.repeated_passages(text) == pytest.approx(_brute_share(text)), text
+        assert repetition.repeated_shares(text)[0] == pytest.approx(_brute_share(text, 2)), text
+
+
+def test_repetition_inside_a_word():
+    assert repetition.repeated_passages("Reads a line. " + "sealedbuffer" * 40) > 0.85
+    assert repetition.repeated_passages("정적 용어집. " + "정적용어집" * 40) > 0.85
+    assert repetition.repeated_shares("Donaudampfschifffahrtsgesellschaft reads a line.") == (0.0, 0.0)
+
+
+def test_the_host_decides_about_short_phrases(spark):
+    """A document that reaches the share only with phrases of two and three words is reported at a bad host and not at a sound one."""
+    rng = random.Random(7)
+    other = iter(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17000))
+    doubtful = lambda: " ".join("sealed buffer " + next(other) for _ in range(30))
+    bad, sound = "same words again and again here. " * 6, lambda: " ".join(next(other) for _ in range(30))
+    rows = [(k, bad, "bad") for k in range(30)] + [(50, doubtful(), "bad"), (51, doubtful(), "sound")] + [(100 + k, sound(), rng.choice(["sound", "a", "b"])) for k in range(200)]
+    got = {r.doc_id: r for r in repetition.repetition(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert all(got[k].phrases >= 0.3 > got[k].passages for k in (50, 51))
+    assert got[50].repetitive and not got[51].repetitive and all(got[k].repetitive for k in range(30))
 
 
 def test_host_rates(spark):

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weftline.llm.repetition import PASSAGES, host_rates, repetition, shares
+from weftline.llm.repetition import host_rates, repetition, shares
 from weftline.session import spread
 from weftline.sources.tables import table
 
@@ -15,9 +14,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose exact share is at least 30 %. That is a failed rule itself, so failures and the host's verdict decide nothing here; they stand in p10_shares and p10_hosts."""
-    found = repetition(_documents(spark, folder))
-    return found.filter(((F.col("failures") > 0) | F.col("bad_host")) & (F.col("passages") >= PASSAGES)).select("doc_id")
+    """Documents whose passages make up the share, and those of bad hosts that reach it with short phrases."""
+    return repetition(_documents(spark, folder)).filter("repetitive").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
