@@ -394,12 +394,47 @@ def test_long_texts_are_searched_in_windows(monkeypatch):
     assert leakage.leaked(index, [text]) == [[2]]
 
 
+def test_markup_of_any_length_hides_nothing():
+    rng = random.Random(21)
+    items, words, _ = _items(rng, 4)
+    index = leakage.Index(items)
+    body = items[2][1].split()[:12]
+    for between in ('<span style="' + "x" * 5000 + '">', "<!-- " + "y " * 4000 + " -->", "<a title='" + "it>s " * 900 + "' href=x>"):
+        assert leakage.leaked(index, [" ".join(body[:6]) + " " + between + " " + " ".join(body[6:])]) == [[2]]
+    # what only looks like a tag stays text
+    assert leakage.without_tags("if a <b, then c > d and <!-- open") == "if a <b, then c > d and <!-- open"
+
+
+def test_the_lemma_loses_no_changed_item():
+    """Against a search of every document by unfiltered alignment, with words changed, added and dropped up to the budget."""
+    rng = random.Random(22)
+    items, words, _ = _items(rng, 30)
+    index = leakage.Index(items)
+    for trial in range(120):
+        item = index.items[rng.randrange(30)]
+        text, budget = list(item.words), item.budget()
+        for _ in range(budget):
+            at = rng.randrange(len(text))
+            roll = rng.random()
+            text[at : at + (roll < 0.7)] = [] if roll < 0.3 else [rng.choice(words)]
+        own = [w for w, o in zip(item.words, item.own) if o]
+        want = leakage.common_in_order(own, text) >= leakage.COVER * len(own)
+        noise = rng.choices(words, k=60)
+        found = leakage.leaked(index, [" ".join(noise[:30] + text + noise[30:])])[0]
+        assert not want or item.key in found, trial
+    # single words all through the text: no run of twelve is left, only alignment in the band can tell
+    item = index.items[2]
+    text = [w if k % 5 else "other" for k, w in enumerate(item.words)]
+    assert leakage.leaked(index, [" ".join(text)]) == [[2]]
+    assert leakage.common_in_order(["a", "b"], ["a", "b"], (np.array([1, 0]), np.array([2, 2]))) == 1
+
+
 def test_leak_frame_in_blocks(spark, monkeypatch):
     rng = random.Random(12)
     items, _, _ = _items(rng, 6)
     docs = spark.createDataFrame([(1, items[0][1], 7), (2, None, 7), (3, items[5][1], 7)], "doc_id bigint, text string, item_id bigint")
     held = spark.createDataFrame([*items, (99, None)], "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 4)
+    monkeypatch.setattr(leakage, "BLOCK", 1200)
     assert {tuple(r) for r in leakage.find_leaks(docs, "doc_id", "text", held, "item_id", "text").collect()} == {(1, 0), (3, 5)}
     assert leakage.find_leaks(docs, "doc_id", "text", held.limit(0), "item_id", "text").count() == 0
 
@@ -424,7 +459,7 @@ def test_copies_in_several_blocks_are_all_reported(spark, monkeypatch):
     items, text, only_shared = _copied_items(random.Random(13))
     docs = spark.createDataFrame([(1, text), (2, only_shared)], "doc_id bigint, text string")
     held = spark.createDataFrame(items, "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 4)
+    monkeypatch.setattr(leakage, "BLOCK", 1200)
     assert sorted(tuple(r) for r in leakage.find_leaks(docs, "doc_id", "text", held, "item_id", "text").collect()) == [(1, 0), (1, 20), (1, 21), (1, 22)]
 
 

@@ -2,13 +2,15 @@
 
 Texts become streams of letters and digits, free of case, punctuation, white space, character forms
 and markup. A passage of twelve words of an item, or an item within its edit budget, must share a
-known number of q-grams with the document in a band of neighbouring diagonals; only regions that
+known number of q-grams with the document in a band of neighbouring diagonals: the q-grams of the item less
+those that its edit budget can destroy (the q-gram lemma). Only regions that
 do are verified, by exact search for whole runs of words and by alignment inside the band.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -33,16 +35,20 @@ SHARED = 3
 COPY = 0.9
 #: Share of the item's own words that must be found in order for a leak of the whole item with changes.
 COVER = 0.76
-#: q-grams in more items than this are left out of the index, as long as each run keeps LEAST others.
-COMMON, LEAST = 6, 20
-#: Width of a diagonal band in characters; neighbouring bands are counted together, so they overlap by half.
+#: q-grams in more items than this are left out of the index, as long as each run keeps LEAST others; the bounds count what is kept.
+COMMON, LEAST = 100, 20
+#: Least width of a diagonal band in characters; an item's band is as wide as its edit budget. Neighbouring bands are counted together, so they overlap by half.
 BAND = 64
-#: Items in one index; more are searched block by block.
-BLOCK = 5000
+#: Characters of the items in one index, which bounds what is broadcast; more are searched block by block.
+BLOCK = 4_000_000
 #: Longer streams are searched in windows of this length that overlap by the longest item.
 WINDOW = 1 << 20
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.{0,2000}?-->", re.DOTALL)
+#: A tag of any length: a name and attributes, or a name and something that begins as an attribute with a value. Possessive, so that a text is read once.
+_TAG = re.compile(
+    r"""</?[A-Za-z][\w:.-]*+(?:\s++(?:[\w:@.#*\[\]()-]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?+|/))*+\s*+>"""
+    r"""|</?[A-Za-z][\w:.-]*+\s++[^<>=\s]++\s*+=[^<>]*+>"""
+)
 _TEX = re.compile(r"\\[A-Za-z]+\*?")
 _LINK = re.compile(r"\]\([^()\s]*\)|\]\[[^\[\]\n]*\]|(?<![A-Za-z]):[a-z]+:(?=`)")
 _OTHER = re.compile(r"[\W_]+")
@@ -50,6 +56,19 @@ _ASCII_OTHER = {i: None for i in range(128) if not chr(i).isalnum()}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def without_tags(text: str) -> str:
+    """The text without tags and comments of any length, in one pass."""
+    at = text.find("<!--")
+    if at >= 0:
+        kept, done = [], 0
+        while at >= 0 and (end := text.find("-->", at + 4)) >= 0:
+            kept.append(text[done:at])
+            done = end + 3
+            at = text.find("<!--", done)
+        text = "".join(kept) + text[done:]
+    return _TAG.sub("", text)
+
+
 def unmarked(text: str) -> str:
     """The text without markup that may stand between its words, in one character form and case."""
     if not text.isascii():
@@ -57,7 +76,7 @@ def unmarked(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = without_tags(text)
     if "\\" in text:
         text = _TEX.sub("", text)
     if "](" in text or "][" in text or ":`" in text:
@@ -100,6 +119,15 @@ class Item:
         self.stream = "".join(self.words)
         self.starts = np.cumsum([0, *map(len, self.words)])
 
+    def budget(self) -> int:
+        """Own words that may be changed, added or dropped in a leak of the whole item."""
+        own = int(self.own.sum())
+        return own - math.ceil(COVER * own)
+
+    def slack(self) -> int:
+        """Characters by which that many words of usual length shift the rest of the text."""
+        return math.ceil(self.budget() * len(self.stream) / max(1, len(self.words)))
+
 
 class Index:
     """The informative q-grams of all items, sorted by hash."""
@@ -125,12 +153,15 @@ class Index:
         hashes = [qgram_hashes(_codes(item.stream)) for item in self.items]
         spread = Counter(h for hs in hashes for h in np.unique(hs).tolist())
         kept_h, kept_n, kept_p = [], [], []
-        self.enough = np.zeros(len(self.items), np.int64)
+        #: Shared q-grams from which an item's region may hold one of its runs, and from which it may hold the whole item with changes.
+        self.enough_run, self.enough_whole = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
+        self.width = np.full(len(self.items), BAND, np.int64)
         for n, (item, hs) in enumerate(zip(self.items, hashes)):
             if not len(hs):
                 continue
             often = np.array([spread[h] for h in hs.tolist()])
-            keep = often <= COMMON
+            mine = np.r_[0, np.cumsum(np.repeat(item.own, np.diff(item.starts)))]
+            keep = (often <= COMMON) & (mine[Q:] > mine[: len(hs)])
             least = len(hs)
             for i in range(max(1, len(item.words) - RUN + 1)):
                 if i + RUN <= len(item.words) and item.own[i : i + RUN].sum() < OWN:
@@ -145,8 +176,13 @@ class Index:
             kept_h.append(hs[at])
             kept_n.append(np.full(len(at), n))
             kept_p.append(at)
-            # q-gram lemma: a run of RUN words keeps all its q-grams; a changed item keeps at least a fifth of them
-            self.enough[n] = max(1, min(least, int(0.2 * len(at))))
+            # q-gram lemma: a run of RUN words keeps all its q-grams; a changed item all but those that its changed
+            # words touch, of which the edit budget allows so many
+            upto = np.r_[0, np.cumsum(keep)]
+            first, last = np.maximum(0, item.starts[:-1] - Q + 1), np.minimum(len(keep), item.starts[1:])
+            touched = np.sort((upto[np.maximum(first, last)] - upto[np.minimum(first, len(keep))])[item.own])[::-1]
+            self.enough_run[n], self.enough_whole[n] = max(1, least), max(1, len(at) - int(touched[: item.budget()].sum()))
+            self.width[n] = max(BAND, item.slack())
         h = np.concatenate(kept_h) if kept_h else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -156,6 +192,7 @@ class Index:
         self.seen[self.hash >> np.uint64(64 - self.BITS)] = True
         self.runs: dict[int, list[str]] = {}
         self.longest = max((len(i.stream) for i in self.items), default=0)
+        self.widest = int(self.width.max(initial=BAND))
 
     def _groups(self, runs: dict[tuple[str, ...], set[object]]) -> dict[object, object]:
         """One key for all copies, of those that have any. Items are compared with the first item of each run they share, not with each other."""
@@ -170,8 +207,8 @@ class Index:
                 pairs |= {(first, k) for k in keys if k != first}
         return united((a, b) for a, b in pairs if any(copies(x, y) for x in words[a] for y in words[b]))
 
-    def regions(self, streams: list[str]) -> list[tuple[int, int, int, int]]:
-        """(stream, item, first, last position) of every band of diagonals with enough shared q-grams."""
+    def regions(self, streams: list[str]) -> list[tuple[int, ...]]:
+        """(stream, item, first, last position, first, last diagonal, shared q-grams) of every band of diagonals with enough of them. A q-gram of the item counts once, however often the band has it."""
         # Q zeros between streams: no q-gram of an item holds one
         gap = "\0" * Q
         codes = _codes(gap.join(streams) + gap)
@@ -191,51 +228,68 @@ class Index:
         sizes = np.array([len(s) + Q for s in streams])
         first = np.cumsum(sizes) - sizes
         doc = np.searchsorted(first, pos, "right") - 1
-        band = (pos - first[doc] - ipos + self.longest) // BAND
+        diagonal = pos - first[doc] - ipos
+        band = (diagonal + self.longest) // self.width[item]
         wide = int(band.max()) + 3
         key = (doc * len(self.items) + item) * wide + band
-        keys = np.r_[key, key - 1]
-        where = np.r_[pos, pos]
-        order = np.argsort(keys, kind="stable")
-        keys, where = keys[order], where[order]
+        keys, places = np.r_[key, key - 1], np.r_[ipos, ipos]
+        order = np.argsort(keys * np.int64(self.longest + 1) + places, kind="stable")
+        keys, places, where, across = keys[order], places[order], np.r_[pos, pos][order], np.r_[diagonal, diagonal][order]
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        count = np.diff(np.r_[edge, len(keys)])
+        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])]
+        count = np.add.reduceat(fresh, edge, dtype=np.int64)
         which = (keys[edge] // wide) % len(self.items)
-        good = count >= self.enough[which]
+        good = count >= np.minimum(self.enough_run, self.enough_whole)[which]
         if not good.any():
             return []
         lo = np.minimum.reduceat(where, edge)[good]
         hi = np.maximum.reduceat(where, edge)[good]
+        low, high = np.minimum.reduceat(across, edge)[good], np.maximum.reduceat(across, edge)[good]
         d = keys[edge][good] // wide // len(self.items)
-        return list(zip(d.tolist(), which[good].tolist(), (lo - first[d]).tolist(), (hi - first[d]).tolist()))
+        return list(zip(d.tolist(), which[good].tolist(), (lo - first[d]).tolist(), (hi - first[d]).tolist(), low.tolist(), high.tolist(), count[good].tolist()))
 
-    def holds(self, number: int, stream: str, words: list[str], bounds: np.ndarray, lo: int, hi: int) -> bool:
-        """Verify one region of a document's stream; words and bounds are its words and their ends in the stream."""
+    def holds(self, number: int, stream: str, words: list[str], bounds: np.ndarray, lo: int, hi: int, low: int, high: int, count: int) -> bool:
+        """Verify one region of a document's stream between two positions and two diagonals; words and bounds are its words and their ends in the stream."""
         item = self.items[number]
-        slack = len(item.stream) + BAND
+        slack = len(item.stream) + int(self.width[number])
         region = stream[max(0, lo - slack) : hi + Q + slack]
         n = len(item.words)
-        if number not in self.runs:
-            self.runs[number] = ["".join(item.words[i : i + RUN]) for i in range(n - RUN + 1) if item.own[i : i + RUN].sum() >= OWN]
-        if any(run in region for run in self.runs[number]):
-            return True
+        if count >= self.enough_run[number]:
+            if number not in self.runs:
+                self.runs[number] = ["".join(item.words[i : i + RUN]) for i in range(n - RUN + 1) if item.own[i : i + RUN].sum() >= OWN]
+            if any(run in region for run in self.runs[number]):
+                return True
         own = int(item.own.sum())
         if own < RUN:
             # an item of fewer own words can only leak whole
             return bool(n) and own > 0 and item.stream in region
+        if count < self.enough_whole[number]:
+            return False
         a, b = np.searchsorted(bounds, max(0, lo - slack), "right"), np.searchsorted(bounds, hi + Q + slack, "left") + 1
-        return common_in_order([w for w, o in zip(item.words, item.own) if o], words[a:b]) >= COVER * own
-
-
-def common_in_order(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, bit-parallel over a."""
+        ours, theirs = [w for w, o in zip(item.words, item.own) if o], words[a:b]
+        present = set(theirs)
+        if sum(w in present for w in ours) < COVER * own:
+            return False
+        # banded alignment: a word meets the item's words on the region's diagonals, give or take the edit budget
+        starts = item.starts[:-1][item.own]
+        begin = np.r_[0, bounds][a:b]
+        shift = int(self.width[number])
+        band = np.searchsorted(starts, begin - high - shift, "left"), np.searchsorted(starts, begin - low + shift, "right")
+        return common_in_order(ours, theirs, band) >= COVER * own
+
+
+def common_in_order(a: list[str], b: list[str], band: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over a; with a band, the word of b at j may only meet the words of a from band[0][j] to band[1][j]."""
     where: dict[str, int] = defaultdict(int)
     for i, w in enumerate(a):
         where[w] |= 1 << i
     full = (1 << len(a)) - 1
     v = full
-    for w in b:
+    first, last = (x.tolist() for x in band) if band else ((), ())
+    for j, w in enumerate(b):
         m = where.get(w)
+        if m and band:
+            m &= ((1 << last[j]) - 1) >> first[j] << first[j] if j < len(last) else 0
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
@@ -271,21 +325,21 @@ def leaked(index: Index, texts: list[str | None]) -> list[list[object]]:
     parts: list[tuple[int, int]] = []
     pieces: list[str] = []
     for n, s in enumerate(streams):
-        step = WINDOW - 2 * (index.longest + 2 * BAND)
+        step = WINDOW - 2 * (index.longest + 2 * index.widest)
         for at in range(0, max(1, len(s)), max(step, 1024)):
             parts.append((n, at))
             pieces.append(s[at : at + WINDOW])
             if at + WINDOW >= len(s):
                 break
     split: dict[int, tuple[list[str], np.ndarray]] = {}
-    for part, item, lo, hi in index.regions(pieces):
+    for part, item, lo, hi, low, high, count in index.regions(pieces):
         n, at = parts[part]
         if item in found[n]:
             continue
         if n not in split:
             words = [w for w in (squeezed(w) for w in bare[n].split()) if w]
             split[n] = words, np.cumsum([len(w) for w in words])
-        if index.holds(item, streams[n], *split[n], lo + at, hi + at):
+        if index.holds(item, streams[n], *split[n], lo + at, hi + at, low + at, high + at, count):
             found[n].add(item)
     return [sorted((index.items[i].key for i in f), key=str) for f in found]
 
@@ -330,8 +384,8 @@ def shared_runs(items: DataFrame, key: str, text: str) -> DataFrame:
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_key): each document that holds a passage of an item, with the item; one row a pair.
 
-    Items are read in blocks of a bounded size and each block is held against all documents, whole texts
-    of any length, without a shuffle. Null and empty texts on either side give nothing; of items that are alike
+    Items are read in blocks of BLOCK characters and each block is held against all documents, whole texts
+    of any length, without a shuffle; an item longer than that is a block of its own. Null and empty texts on either side give nothing; of items that are alike
     each is reported, however many they are. Repeated documents give repeated rows. Other columns are dropped, so theirs can't clash.
     """
     spark = documents.sparkSession
@@ -340,10 +394,10 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
     arrow = {"bigint": pa.int64(), "int": pa.int32()}
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}"
     named = items.select(F.col(item_key), F.col(item_text)).filter(F.col(item_text).isNotNull())
-    few = named.limit(BLOCK + 1).count() <= BLOCK
+    few = (named.agg(F.sum(F.length(item_text))).first()[0] or 0) <= BLOCK
     # more than one block: sentences that items share are sought over all of them, not inside a block
     rows = (named.withColumn("_s", F.lit(None).cast("array<int>")) if few else named.join(shared_runs(named, item_key, item_text).withColumnRenamed("places", "_s"), item_key, "left")).toLocalIterator()
-    block, shared, result = [], {}, None
+    block, shared, result, size = [], {}, None, 0
 
     def search(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
@@ -362,11 +416,12 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
         return docs.mapInArrow(run, schema)
 
     for row in rows:
+        if block and size + len(row[item_text]) > BLOCK:
+            part = search(Index(block, None if few else shared))
+            result, block, shared, size = part if result is None else result.unionByName(part), [], {}, 0
         block.append((row[item_key], row[item_text]))
         shared[row[item_key]] = row["_s"] or []
-        if len(block) == BLOCK:
-            part = search(Index(block, None if few else shared))
-            result, block, shared = part if result is None else result.unionByName(part), [], {}
+        size += len(row[item_text])
     if block or result is None:
         part = search(Index(block, None if few else shared))
         result = part if result is None else result.unionByName(part)
