@@ -207,9 +207,34 @@ def test_power_iteration_equals_the_dense_matrix(spark):
     np.fill_diagonal(c, 0)
     w, vec = np.linalg.eig(c / (60 * 3))
     lead = np.abs(np.real(vec[:, np.argmax(np.real(w))]))
-    got = {r.annotator: r.v for r in run.reliabilities(40).collect()}
-    got = np.array([abs(got[n]) for n in names])
-    assert np.allclose(got / np.linalg.norm(got), lead / np.linalg.norm(lead), atol=0.02)
+    for found in (run.reliabilities(), run._joined_reliabilities(40)):
+        got = {r.annotator: r.v for r in found.collect()}
+        got = np.array([abs(got[n]) for n in names])
+        assert np.allclose(got / np.linalg.norm(got), lead / np.linalg.norm(lead), atol=0.02)
+
+
+def test_gathered_and_joined_votes_agree(spark, monkeypatch):
+    rng = random.Random(16)
+    _, rows = _votes(rng, 80, {"a": 0.9, "b": 0.5, "c": 0.7, "d": 0, "e": -0.6})
+    ballots = spark.createDataFrame(rows, BALLOTS)
+    labels, weights = consensus.Consensus(ballots).run()
+    monkeypatch.setattr(consensus, "GATHERED", 2)
+    joined, joined_weights = consensus.Consensus(ballots).run()
+    assert {tuple(r) for r in labels.collect()} == {tuple(r) for r in joined.collect()}
+    by = {r.annotator: r.reliability for r in weights.collect()}
+    assert all(abs(by[r.annotator] - r.reliability) < 1e-6 for r in joined_weights.collect())
+
+
+def test_the_reliabilities_decide(spark):
+    """Eight careless annotators outvote two careful ones; only the weights of the eigenvector give the true labels."""
+    rng = random.Random(18)
+    truth, rows = _votes(rng, 120, {"good": 0.97, "fine": 0.95, **{f"w{k}": 0.05 for k in range(8)}})
+    run = consensus.Consensus(spark.createDataFrame(rows, BALLOTS))
+    labels, weights = run.run()
+    share = lambda df: np.mean([truth[r.item] == r.label for r in df.collect()])
+    equal = weights.withColumn("v", weights["v"] * 0 + 1)
+    assert share(labels) > 0.95 > share(run.spectral(equal)) + 0.03
+    assert share(run.calibrated(labels)) > 0.95
 
 
 def test_consensus_edge_cases(spark):
@@ -232,21 +257,48 @@ def _games(rng, strength, n):
 OUTCOMES = "left string, right string, score double"
 
 
-def test_ranking_dense_and_joined_agree(spark):
+def test_ranking_on_the_driver_and_joined_agree(spark):
     rng = random.Random(8)
-    strength = {f"s{k}": 1.0 * k for k in range(6)}
-    games = _games(rng, strength, 3000) + [("x", "y", 1.0)] * 5 + [("lonely", "lonely", 1.0), ("s1", None, 1.0), ("s2", "s3", None)]
+    strength = {f"s{k}": 1.0 * k for k in range(5)}
+    games = _games(rng, strength, 2000) + [("x", "y", 1.0)] * 5 + [("lonely", "lonely", 1.0), ("s1", None, 1.0), ("s2", "s3", None)]
     df = spark.createDataFrame(games, OUTCOMES)
-    dense = {r.system: (r.rank_no, r.strength) for r in ranking.rank(df).collect()}
-    order = sorted(dense, key=lambda s: dense[s][0])
-    assert [s for s in order if s.startswith("s")] == [f"s{k}" for k in range(5, -1, -1)]
-    assert dense["lonely"][1] == 0.0 and dense["x"][1] > 0 > dense["y"][1]
-    joined = {r.system: r.rank_no for r in ranking.rank(df, dense=2).collect()}
-    keep = [s for s in joined if s.startswith("s")]
-    assert sorted(keep, key=joined.get) == sorted(keep, key=lambda s: dense[s][0])
+    got = {r.system: r for r in ranking.rank(df).collect()}
+    order = sorted(got, key=lambda s: got[s].rank_no)
+    assert [s for s in order if s.startswith("s")] == [f"s{k}" for k in range(4, -1, -1)]
+    assert got["lonely"].strength == 0.0 and got["x"].strength > 0 > got["y"].strength
+    joined = {r.system: r for r in ranking.rank(df, most=2).collect()}
+    assert joined.keys() == got.keys()
+    assert all(joined[s].rank_no == got[s].rank_no and joined[s].comparisons == got[s].comparisons and abs(joined[s].strength - got[s].strength) < 0.01 for s in got)
     assert ranking.rank(df.limit(0)).count() == 0
 
 
+def _dense(count, i, j, margin, weight, rounds):
+    """Brute force: the whole Laplacian, solved directly in each round."""
+    theta = np.zeros(count)
+    for _ in range(rounds):
+        u = np.sqrt(weight) / np.maximum(np.abs(margin - theta[i] + theta[j]), ranking.FLOOR)
+        m = np.eye(count) * ranking.PRIOR
+        for x, y, s in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+            np.add.at(m, (x, y), s * u)
+        new = np.linalg.solve(m, np.bincount(i, u * margin, count) - np.bincount(j, u * margin, count))
+        moved, theta = np.abs(new - theta).max(), new
+        if moved < ranking.TOLERANCE:
+            break
+    return theta
+
+
+def test_a_long_chain_is_solved_to_its_ends():
+    """2,000 systems of which each met only its neighbours: strengths travel along the whole chain, as in the direct solution."""
+    rng = np.random.default_rng(4)
+    i, j = np.arange(1999), np.arange(1, 2000)
+    margin, weight = rng.normal(0.0, 1.0, 1999), rng.uniform(1, 50, 1999)
+    assert np.allclose(ranking.solve(2000, i, j, margin, weight, 3), _dense(2000, i, j, margin, weight, 3), atol=1e-5)
+    small = rng.integers(0, 30, (2, 200))
+    i, j = small[:, small[0] != small[1]]
+    margin, weight = rng.normal(0.0, 1.0, len(i)), rng.uniform(1, 50, len(i))
+    assert np.allclose(ranking.solve(30, i, j, margin, weight), _dense(30, i, j, margin, weight, ranking.ROUNDS), atol=1e-4)
+
+
 # --- bitexts
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.consensus import Consensus, judge_ballots
 from weftline.llm.ranking import rank
+from weftline.session import checkpoint
 from weftline.sources.tables import table
 
 _COLUMNS = ("vote_id", "pick_id", "judge", "judge_model", "shown_order", "verdicts")
@@ -17,6 +18,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return labels.select(F.col("item").cast("bigint").alias("pick_id"), "label")
 
 
+def p5_calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """A second consensus, by vote weights calibrated against the spectral one."""
+    run = Consensus(judge_ballots(table(spark, folder, "judge_pairs", *_COLUMNS)))
+    labels, _ = run.run()
+    return (run.calibrated(checkpoint(labels)) if run.labels else labels).select(F.col("item").cast("bigint").alias("pick_id"), "label")
+
+
 def p5_annotators(spark: SparkSession, folder: str) -> DataFrame:
     """Reliability of each annotator, 1 for one that is always right, below 0 for one that turns labels round."""
     run = Consensus(judge_ballots(table(spark, folder, "judge_pairs", *_COLUMNS)))
@@ -46,5 +54,5 @@ def p6_strengths(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(spark, folder)
 
 
-QUERIES = {"p5_found": p5_found, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_strengths": p6_strengths}
+QUERIES = {"p5_found": p5_found, "p5_calibrated": p5_calibrated, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p6_found": p6_found, "p6_strengths": p6_strengths}
 ORACLE: dict[str, str] = {}
