@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.incremental import replay
+from weftline.operators.incremental import WatermarkRunner, replay
+from weftline.session import scratch
 from weftline.sources.tables import table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(table(spark, folder, "segment_states"), table(spark, folder, "sync_runs")).select(F.col("run_no").cast("int"), F.col("feed_id").cast("bigint"))
+    """What each successful run of the log took, worked off step by step by a new job in the shared folder."""
+    runner = WatermarkRunner(spark, scratch(spark))
+    return replay(runner, table(spark, folder, "segment_states"), table(spark, folder, "sync_runs")).select(F.col("run_no").cast("int"), F.col("feed_id").cast("bigint"))
 
 
 def p2_run_sizes(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,14 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to a table in the shared folder, in one pass, and read them back.
 
     Unlike DataFrame.checkpoint() the rows are computed once, not twice, and size estimates start anew, which
     otherwise multiply from join to join of a loop. The tables of an application share one folder, <shared>/<id>.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
