@@ -208,7 +208,11 @@ class Index:
         return united((a, b) for a, b in pairs if any(copies(x, y) for x in words[a] for y in words[b]))
 
     def regions(self, streams: list[str]) -> list[tuple[int, ...]]:
-        """(stream, item, first, last position, first, last diagonal, shared q-grams) of every band of diagonals with enough of them. A q-gram of the item counts once, however often the band has it."""
+        """(stream, item, first, last position, first, last diagonal, whole) of every region with enough shared q-grams.
+
+        Where whole is 0 a single diagonal has those of a run, where it is 1 a band of diagonals those of the changed item;
+        a q-gram of the item counts once a band, however often the band has it.
+        """
         # Q zeros between streams: no q-gram of an item holds one
         gap = "\0" * Q
         codes = _codes(gap.join(streams) + gap)
@@ -222,49 +226,58 @@ class Index:
         at, left, n = at[n > 0], left[n > 0], n[n > 0]
         if not len(at):
             return []
-        total = int(n.sum())
-        slot = np.repeat(left, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        pos, item, ipos = np.repeat(at, n), self.item[slot].astype(np.int64), self.position[slot]
         sizes = np.array([len(s) + Q for s in streams])
         first = np.cumsum(sizes) - sizes
-        doc = np.searchsorted(first, pos, "right") - 1
-        diagonal = pos - first[doc] - ipos
-        band = (diagonal + self.longest) // self.width[item]
-        wide = int(band.max()) + 3
-        key = (doc * len(self.items) + item) * wide + band
-        keys, places = np.r_[key, key - 1], np.r_[ipos, ipos]
-        order = np.argsort(keys * np.int64(self.longest + 1) + places, kind="stable")
-        keys, places, where, across = keys[order], places[order], np.r_[pos, pos][order], np.r_[diagonal, diagonal][order]
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])]
-        count = np.add.reduceat(fresh, edge, dtype=np.int64)
-        which = (keys[edge] // wide) % len(self.items)
-        good = count >= np.minimum(self.enough_run, self.enough_whole)[which]
-        if not good.any():
+        slot = np.repeat(left, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        item = self.item[slot].astype(np.int64)
+        doc = np.repeat(np.searchsorted(first, at, "right") - 1, n)
+        # only pairs of a stream and an item that share enough at all are looked at by diagonals
+        pair = doc * len(self.items) + item
+        enough = np.minimum(self.enough_run, self.enough_whole)
+        keep = np.flatnonzero(np.bincount(pair, minlength=len(streams) * len(self.items))[pair] >= enough[item])
+        if not len(keep):
             return []
-        lo = np.minimum.reduceat(where, edge)[good]
-        hi = np.maximum.reduceat(where, edge)[good]
-        low, high = np.minimum.reduceat(across, edge)[good], np.maximum.reduceat(across, edge)[good]
-        d = keys[edge][good] // wide // len(self.items)
-        return list(zip(d.tolist(), which[good].tolist(), (lo - first[d]).tolist(), (hi - first[d]).tolist(), low.tolist(), high.tolist(), count[good].tolist()))
-
-    def holds(self, number: int, stream: str, words: list[str], bounds: np.ndarray, lo: int, hi: int, low: int, high: int, count: int) -> bool:
+        pos, ipos, pair, item = np.repeat(at, n)[keep], self.position[slot[keep]].astype(np.int64), pair[keep], item[keep]
+        diagonal = pos - first[doc[keep]] - ipos + self.longest
+        found: list[tuple[int, ...]] = []
+
+        def gather(keys: np.ndarray, wide: int, places: np.ndarray | None, where: np.ndarray, across: np.ndarray, least: np.ndarray, whole: int) -> None:
+            order = np.argsort(keys if places is None else keys * np.int64(self.longest + 1) + places, kind="stable")
+            keys, where, across = keys[order], where[order], across[order]
+            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            if places is None:
+                count = np.diff(np.r_[edge, len(keys)])
+            else:
+                places = places[order]
+                count = np.add.reduceat(np.r_[True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])], edge, dtype=np.int64)
+            owner = keys[edge] // wide
+            good = count >= least[owner % len(self.items)]
+            if good.any():
+                d = owner[good] // len(self.items)
+                ends = (f.reduceat(x, edge)[good] - shift for x, shift in ((where, first[d]), (across, self.longest)) for f in (np.minimum, np.maximum))
+                found.extend(zip(d.tolist(), (owner[good] % len(self.items)).tolist(), *(x.tolist() for x in ends), [whole] * len(d)))
+
+        wide = int(diagonal.max()) + 1
+        gather(pair * wide + diagonal, wide, None, pos, diagonal, self.enough_run, 0)
+        band = diagonal // self.width[item] + 1
+        wide = int(band.max()) + 2
+        gather(np.r_[pair * wide + band, pair * wide + band - 1], wide, np.r_[ipos, ipos], np.r_[pos, pos], np.r_[diagonal, diagonal], self.enough_whole, 1)
+        return found
+
+    def holds(self, number: int, stream: str, words: list[str], bounds: np.ndarray, lo: int, hi: int, low: int, high: int, whole: int) -> bool:
         """Verify one region of a document's stream between two positions and two diagonals; words and bounds are its words and their ends in the stream."""
         item = self.items[number]
         slack = len(item.stream) + int(self.width[number])
         region = stream[max(0, lo - slack) : hi + Q + slack]
         n = len(item.words)
-        if count >= self.enough_run[number]:
+        own = int(item.own.sum())
+        if not whole:
             if number not in self.runs:
                 self.runs[number] = ["".join(item.words[i : i + RUN]) for i in range(n - RUN + 1) if item.own[i : i + RUN].sum() >= OWN]
-            if any(run in region for run in self.runs[number]):
-                return True
-        own = int(item.own.sum())
+            return any(run in region for run in self.runs[number])
         if own < RUN:
             # an item of fewer own words can only leak whole
             return bool(n) and own > 0 and item.stream in region
-        if count < self.enough_whole[number]:
-            return False
         a, b = np.searchsorted(bounds, max(0, lo - slack), "right"), np.searchsorted(bounds, hi + Q + slack, "left") + 1
         ours, theirs = [w for w, o in zip(item.words, item.own) if o], words[a:b]
         present = set(theirs)
@@ -332,14 +345,14 @@ def leaked(index: Index, texts: list[str | None]) -> list[list[object]]:
             if at + WINDOW >= len(s):
                 break
     split: dict[int, tuple[list[str], np.ndarray]] = {}
-    for part, item, lo, hi, low, high, count in index.regions(pieces):
+    for part, item, lo, hi, low, high, whole in index.regions(pieces):
         n, at = parts[part]
         if item in found[n]:
             continue
         if n not in split:
             words = [w for w in (squeezed(w) for w in bare[n].split()) if w]
             split[n] = words, np.cumsum([len(w) for w in words])
-        if index.holds(item, streams[n], *split[n], lo + at, hi + at, low + at, high + at, count):
+        if index.holds(item, streams[n], *split[n], lo + at, hi + at, low + at, high + at, whole):
             found[n].add(item)
     return [sorted((index.items[i].key for i in f), key=str) for f in found]
 
