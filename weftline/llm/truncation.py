@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.terminal import TerminalModel, common_limits, fit, open_ended
 
-#: Rows of each stratum at most that a model is fitted on (a documented bound; scoring has none).
+#: Rows of each stratum, up to chance, that a model is fitted on (a documented bound; scoring has none).
 SAMPLE = 4000
 _TRAILS_OFF = r"(?s)(\.\.\.|…|\[\.\.\.\]|\[…\])\s*$"
 
 
-def sample(texts: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, str]]:
-    """At most `bound` rows of each of three strata (headings, sources that trail off, the rest), chosen by a hash of their keys, so the same on any partitioning."""
-    stratum = F.when(F.col("source").rlike(_TRAILS_OFF), 1).when(F.col("source").rlike(r"(?s)[\p{L}\p{N}]\s*$"), 2).otherwise(0)
-    rows = texts.filter(F.col("text").isNotNull()).select("source", "text", stratum.alias("_s"), F.xxhash64("src", "row_id", "pos").alias("_h"))
-    return [(r["source"], r["text"]) for s in (0, 1, 2) for r in rows.filter(F.col("_s") == s).orderBy("_h", "text").limit(bound).collect()]
+_WHOLE = 1 << 32
 
 
-def limits_of(texts: DataFrame) -> dict[str, frozenset[int]]:
-    """The common limits of each src, from the lengths of the distinct open-ended texts of all rows. Texts are told apart by hash and reduced map-side."""
-    ended = texts.filter(open_ended(F.col("text"))).select("src", F.length("text").alias("n"), F.xxhash64("text").alias("_h"))
-    counts: dict[str, dict[int, int]] = defaultdict(dict)
-    for r in ended.groupBy("src", "n").agg(F.countDistinct("_h").alias("texts")).collect():
-        counts[r["src"]][r["n"]] = r["texts"]
-    return {src: common_limits(c) for src, c in counts.items()}
+class Census:
+    """What one pass over all texts tells: the common limits of each src, and the size of each stratum."""
+
+    def __init__(self, limits: dict[str, frozenset[int]], sizes: dict[tuple[str, int], int]) -> None:
+        self.limits, self.sizes = limits, sizes
+
+
+def _stratum() -> Column:
+    """Sources that trail off, headings, and the rest."""
+    return F.when(F.col("source").rlike(_TRAILS_OFF), 1).when(F.col("source").rlike(r"(?s)[\p{L}\p{N}]\s*$"), 2).otherwise(0)
+
+
+def census(texts: DataFrame) -> Census:
+    """Count the texts of each src, stratum and length in one pass; of open-ended texts the distinct ones, told apart by hash. Rows are reduced map-side; what reaches the driver are counts by length."""
+    ended = open_ended(F.col("text"))
+    per = texts.filter(F.col("text").isNotNull()).select("src", _stratum().alias("s"), F.when(ended, F.length("text")).alias("n"), F.when(ended, F.xxhash64("text")).alias("h"))
+    rows = per.groupBy("src", "s", "n", "h").agg(F.count("*").alias("c")).groupBy("src", "s", "n").agg(F.sum("c").alias("c"), F.count("h").alias("texts")).collect()
+    counts: dict[str, Counter] = defaultdict(Counter)
+    sizes: Counter = Counter()
+    for r in rows:
+        sizes[r["src"], r["s"]] += r["c"]
+        if r["n"] is not None:
+            counts[r["src"]][r["n"]] += r["texts"]
+    return Census({src: common_limits(c) for src, c in counts.items()}, dict(sizes))
+
+
+def sample(texts: DataFrame, sizes: dict[tuple[str, int], int], bound: int = SAMPLE) -> dict[str, list[tuple[str | None, str]]]:
+    """About `bound` rows of each src and stratum, in one pass: those whose hashed keys lie below the share that gives the bound, so the same on any partitioning. All rows of a stratum no larger."""
+    hashed = F.pmod(F.xxhash64("src", "row_id", "pos"), F.lit(_WHOLE))
+    kept = F.lit(False)
+    for (src, s), n in sizes.items():
+        kept = kept | ((F.col("src") == src) & (F.col("_s") == s) & (hashed < F.lit(int(_WHOLE * min(1.0, bound / n)))))
+    rows = texts.filter(F.col("text").isNotNull()).withColumn("_s", _stratum()).filter(kept).select("src", "source", "text", hashed.alias("_h")).toPandas() if sizes else None
+    found: dict[str, list[tuple[str | None, str]]] = defaultdict(list)
+    if rows is not None:
+        rows = rows.sort_values(["_h", "text"], kind="stable")
+        for src, source, text in zip(rows["src"], rows["source"], rows["text"]):
+            found[src].append((source, text))
+    return found
 
 
 def score(texts: DataFrame, models: dict[str, TerminalModel], pick: str = "src") -> DataFrame:
@@ -71,13 +99,14 @@ def field_texts(segments: DataFrame, items: DataFrame, outputs: DataFrame, gates
 
 
 def truncated_texts(texts: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """Score every text: (src, row_id, pos, owner, margin, truncated). One model per src, fitted on at most `bound` of its rows; limits are counted over all.
+    """Score every text: (src, row_id, pos, owner, margin, truncated). One model per src, fitted on about `bound` rows of each of its strata; limits are counted over all.
 
-    Null, empty and blank texts are not truncated. Very long texts are judged by their end and their
+    The texts are read three times: counted, sampled, scored. Null, empty and blank texts are not truncated. Very long texts are judged by their end and their
     sentence structure. Repeated rows give repeated rows; an empty table gives none.
     """
-    limits = limits_of(texts)
-    models = {src: fit(sample(texts.filter(F.col("src") == src), bound), limits=limits.get(src, frozenset())) for src in ("segment_states", "eval_outputs", "gate_rows")}
+    known = census(texts)
+    rows = sample(texts, known.sizes, bound)
+    models = {src: fit(part, limits=known.limits.get(src, frozenset())) for src, part in rows.items()}
     return score(texts, models).withColumn("truncated", F.coalesce(F.col("margin") > 0, F.lit(False)))
 
 
