@@ -20,7 +20,6 @@ import base64
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +54,8 @@ class ForcedEncoder:
                 b = np.frombuffer(token, np.uint8)
                 joined[b[:-1], b[1:]] = True
         self.forced = ~joined
-        self._seen: dict[str, tuple[int, ...]] = {}
+        #: Encoded fragments, their ids as bytes.
+        self._seen: dict[str, bytes] = {}
 
     def cuts(self, text: str) -> np.ndarray:
         """Where the text may be cut: the places of the characters that begin a fragment, without the first."""
@@ -87,7 +87,9 @@ class ForcedEncoder:
         ends = np.cumsum([len(t) if t else 0 for t in texts], dtype=np.int64)
         if not whole:
             return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-        edges = np.union1d(self.cuts(whole), np.r_[0, ends])
+        cut = np.zeros(len(whole) + 1, bool)
+        cut[self.cuts(whole)] = cut[ends] = cut[0] = True
+        edges = np.flatnonzero(cut)
         at = edges.tolist()
         pieces = [whole[i:j] for i, j in zip(at, at[1:])]
         found = list(map(seen.get, pieces))
@@ -96,13 +98,13 @@ class ForcedEncoder:
                 if ids is None:
                     ids = seen.get(p)
                     if ids is None:
-                        ids = tuple(self.core.encode_ordinary(p))
+                        ids = np.array(self.core.encode_ordinary(p), np.int32).tobytes()
                         if len(p) <= SHORT:
                             seen[p] = ids
                     found[n] = ids
-        upto = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        upto = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)]
         done = upto[np.searchsorted(edges, ends)]
-        return np.diff(np.r_[0, done]), np.fromiter(chain.from_iterable(found), np.int32, int(upto[-1]))
+        return np.diff(np.r_[0, done]), np.frombuffer(b"".join(found), np.int32)
 
 
 @functools.cache
