@@ -151,6 +151,75 @@ def test_defects(source, response, target, defect):
     assert pairs.defect_of(source, response, target, -1.0) == defect
 
 
+#: Written by hand, without a look at the dictionaries: wrong languages and refusals in wordings of their own.
+HELD_OUT_LANGUAGES = [
+    ("ko", "Курсор записывает двенадцать строк в буфер и завершает работу."),
+    ("de", "Курсор записывает двенадцать строк в буфер и завершает работу."),
+    ("en", "Снимок ждёт, пока рабочий процесс не освободит буфер."),
+    ("uk", "Этот файл читается при каждом запуске, и его нельзя менять, если процесс ещё работает."),
+    ("ko", "يكتب المؤشر اثني عشر سطرا في المخزن ثم ينتهي."),
+    ("ja", "يكتب المؤشر اثني عشر سطرا في المخزن ثم ينتهي."),
+    ("fr", "يقرأ العامل الملف قبل كل تشغيل."),
+    ("ko", "เคอร์เซอร์เขียนสิบสองบรรทัดลงในบัฟเฟอร์แล้วจบการทำงาน"),
+    ("en", "เคอร์เซอร์เขียนสิบสองบรรทัดลงในบัฟเฟอร์แล้วจบการทำงาน"),
+    ("ko", "Il cursore scrive dodici righe nel buffer e poi termina."),
+    ("de", "Il cursore scrive dodici righe nel buffer e poi termina."),
+    ("pt", "Il cursore non scrive nel buffer se la coda è piena."),
+    ("ko", "O cursor escreve doze linhas no buffer e depois termina."),
+    ("es", "O cursor não escreve no buffer quando a fila está cheia."),
+    ("en", "O cursor escreve doze linhas no buffer e depois termina, mas não fecha a fila."),
+    ("ko", "Ο δρομέας γράφει δώδεκα γραμμές στην προσωρινή μνήμη."),
+    ("ru", "커서는 버퍼에 열두 줄을 쓴 뒤 종료합니다."),
+    ("th", "カーソルはバッファに十二行を書き込んで終了します。"),
+    ("ar", "The cursor writes twelve lines into the buffer and then it exits."),
+    ("zh", "The cursor writes twelve lines into the buffer and then it exits."),
+    ("hi", "De cursor schrijft twaalf regels in de buffer en wordt dan gesloten."),
+]
+HELD_OUT_REFUSALS = [
+    ("en", "Sadly I won't be able to help you with that."), ("en", "This content cannot be translated."), ("en", "I have to decline this request."), ("ko", "We're not comfortable providing a rendering of this passage."),
+    ("de", "Leider kann ich Ihnen bei dieser Anfrage nicht weiterhelfen."), ("de", "Ich darf diesen Text nicht übersetzen."), ("es", "No me es posible traducir este fragmento."), ("fr", "Il m'est impossible de traduire ce passage."), ("fr", "Nous ne pouvons pas répondre à cette demande."),
+    ("it", "Non sono in grado di tradurre questo testo."), ("it", "Mi dispiace, ma devo fermarmi qui."), ("pt", "Não consigo ajudar com este pedido."), ("pt", "Peço desculpa, mas não posso traduzir isto."), ("ru", "Я не могу перевести этот текст."), ("ru", "К сожалению, выполнить этот запрос невозможно."),
+    ("ar", "لا يمكنني ترجمة هذا النص."), ("ar", "أعتذر، لن أستطيع مساعدتك في ذلك."), ("th", "ขออภัย ฉันแปลข้อความนี้ไม่ได้"), ("th", "ไม่สามารถช่วยแปลข้อความนี้ได้"), ("zh", "很抱歉，我无法翻译这段内容。"), ("zh", "我不能协助完成该请求。"), ("ko", "이 문장은 번역해 드리기 어렵습니다."), ("ja", "この文章の翻訳はいたしかねます。"), ("pl", "Nie mogę przetłumaczyć tego tekstu."),
+]
+HELD_OUT_SOUND = [
+    ("ru", "Курсор записывает двенадцать строк в буфер и завершает работу."), ("uk", "Цей файл читається при кожному запуску, і його не можна змінювати."), ("ar", "يكتب المؤشر اثني عشر سطرا في `buffer` ثم ينتهي."), ("th", "เคอร์เซอร์เขียนสิบสองบรรทัดลงในบัฟเฟอร์แล้วจบการทำงาน"),
+    ("it", "Il cursore non scrive nel buffer se la coda è piena."), ("pt", "O cursor não escreve no buffer quando a fila está cheia."), ("en", "Requests without a token are declined."), ("en", "The server cannot process more than 12 lines."), ("ko", "토큰이 없는 요청은 거절됩니다."), ("ko", "GitHub Actions는 OpenSSL 대신 NumPy를 사용합니다."),
+    ("ja", "カーソルはバッファに 12 行を書き込みます。"), ("zh", "光标向缓冲区写入十二行，然后退出。"), ("de", "Der Cursor schreibt zwölf Zeilen in den Puffer und wird dann beendet."), ("fr", "Le serveur ne peut pas traiter plus de douze lignes."), ("es", "No se puede abrir el archivo sin permiso."), ("ru", "Процесс не может обработать больше двенадцати строк."), ("el", "Ο δρομέας γράφει δώδεκα γραμμές."),
+]
+
+
+def test_held_out_languages_and_refusals():
+    wrong = [pairs.defect_of(SOURCE, t, want, -1.0) == "wrong_language" for want, t in HELD_OUT_LANGUAGES]
+    refusals = [pairs.defect_of(SOURCE, t, want, -1.0) == "refusal" for want, t in HELD_OUT_REFUSALS]
+    sound = [pairs.defect_of(SOURCE, t, want, -1.0) is None for want, t in HELD_OUT_SOUND]
+    missed = [t for (_, t), ok in zip(HELD_OUT_LANGUAGES + HELD_OUT_REFUSALS + HELD_OUT_SOUND, wrong + refusals + sound) if not ok]
+    assert np.mean(wrong) >= 0.9 and np.mean(refusals) >= 0.9 and np.mean(sound) >= 0.9, missed
+
+
+def test_an_apology_is_translated():
+    assert pairs.defect_of("Sorry, the page was not found.", "죄송합니다. 페이지를 찾을 수 없습니다.", "ko", -1.0) is None
+
+
+def test_every_target_language_is_sampled(spark):
+    rows = [(k, f"The cursor waits for line {k}.", f"Text {k} wartet.", f"l{k % 12}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "pair bigint, source string, response string, target string")
+    _, sizes = pairs.census(frame)
+    found = pairs.sample(frame, sizes, bound=20)
+    assert {t for *_, t in found} == {f"l{k}" for k in range(12)} and 120 < len(found) < 400
+    assert len(pairs.sample(frame, sizes, bound=20, total=60)) < 130
+    assert len(pairs.sample(frame, sizes)) == 600
+
+
+def test_compression_decides_copies(monkeypatch):
+    """Nearly a copy: its pieces are the prompt's, and only the compressed size tells it from a text of the prompt's words in another order."""
+    near = SOURCE.replace("remote ", "")
+    words = SOURCE.rstrip(".").split()
+    shuffled = " ".join(f"{a} zu {b} auf" for a, b in zip(words[::-1], words[3:]))
+    assert pairs.copied(SOURCE, near) and not pairs.copied(SOURCE, shuffled)
+    monkeypatch.setattr(pairs, "COPY_SHARE", 0.0)
+    assert not pairs.copied(SOURCE, near)
+
+
 def test_terminal_margin_decides_last():
     assert pairs.defect_of(SOURCE, "원격 커서는 버퍼에 12", "ko", 1.0) == "truncated"
 
