@@ -409,6 +409,28 @@ def test_chain_is_longest():
     assert bitext.chain([]) == []
 
 
+def test_names_and_cognates_are_anchors():
+    lexicon = bitext.Lexicon()
+    # names stay in Latin letters, and no number or code is shared
+    source = ["GitHub Actions runs the job first.", "Then OpenSSL signs the archive.", "At last NumPy reads it."]
+    target = ["먼저 GitHub Actions가 작업을 실행합니다.", "이어서 OpenSSL로 보관 파일에 서명합니다.", "마지막으로 NumPy가 읽습니다."]
+    assert bitext.chain(bitext.Document(source, target).points()) == [(0, 0), (1, 1), (2, 2)]
+    assert bitext.align(source, target, lexicon) == [(0, 0), (1, 1), (2, 2)]
+    # a name that one side has alone is no anchor, so it can't speak against a pair
+    assert not any(a[0] in "wg" for s in bitext.Document(source[:1], ["먼저 작업을 실행합니다."]).anchors for x in s for a in x)
+    doc = bitext.Document(["The operation was cancelled.", "It needs authentication."], ["L'opération a été annulée.", "Une authentification est requise."])
+    assert "g:opera" in doc.anchors[0][0] & doc.anchors[1][0] and "g:authe" in doc.anchors[0][1] & doc.anchors[1][1]
+
+
+def test_scores_of_a_table_equal_those_in_parts(monkeypatch):
+    rng = random.Random(19)
+    docs = _bitexts(rng, 30)
+    lexicon = bitext.fit_lexicon([(s, t) for s, t, _ in docs])
+    whole = [bitext.align(s, t, lexicon) for s, t, _ in docs]
+    monkeypatch.setattr(bitext, "CELLS", 1)
+    assert [bitext.align(s, t, lexicon) for s, t, _ in docs] == whole
+
+
 def test_long_gaps_are_aligned_whole():
     rng = np.random.default_rng(5)
     lexicon = bitext.Lexicon()
