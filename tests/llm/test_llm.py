@@ -44,6 +44,28 @@ def test_clean_keeps_structure():
     assert markup.clean(None) is None and markup.clean("") == ""
 
 
+def test_regions_select_the_content(monkeypatch):
+    """Rows of links are no content; without the clusters they stay."""
+    menu = '<div class="nav"><a href="/">Home</a> <a href="/d">Docs</a> <a href="/a">API</a> <a href="/f">FAQ</a></div>'
+    body = [f"<p>The <b>cursor</b> waits for line {k} until the buffer is sealed and the worker ends.</p>" for k in range(6)]
+    text = "\n".join([menu, menu, *body, menu, "<h2>End</h2>", menu])
+    got = markup.clean(text)
+    assert "Home" not in got and "FAQ" not in got and "# End" in got and got.count("The cursor waits") == 6
+    assert ("html", "other") in markup.elements(menu)
+    monkeypatch.setattr(markup, "content_lines", lambda ratios: [True] * len(ratios))
+    assert markup.clean(text).count("Home") == 4
+
+
+def test_many_code_blocks_take_linear_time():
+    import time
+
+    for block in ("```\nx\n```\n", "<pre>x</pre>\n", "\\begin{verbatim}\nx\n\\end{verbatim}\n"):
+        assert len(markup.Markup(block * 20 + "end").blocks) == 20
+    began = time.time()
+    markup.Markup("```\nx\n```\n" * 20000)
+    assert time.time() - began < 10
+
+
 def test_markup_frame(spark):
     rows = spark.createDataFrame([(1, "<b>a</b>", None, "x"), (2, None, "", "x"), (1, "<b>a</b>", None, "x")], "id bigint, source string, translation string, side string")
     assert [tuple(r) for r in markup.find_markup(rows, "id").collect()] == [(1, "source", "html", "other")] * 2

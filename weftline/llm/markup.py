@@ -2,13 +2,15 @@
 
 Code blocks are cut out first, as nothing inside them counts. The standard library's streaming HTML
 parser then gives events for tags, entities and comments; its text is scanned for TeX, wiki and
-Markdown marks. Each line's ratio of text to tags is smoothed with a Gaussian and split at a
-threshold found by clustering; lines below it that hold no heading, list, code or formula are
-dropped from the clean text.
+Markdown marks. `elements` reports every event, as every element that a text holds is asked for. For the
+clean text each line's ratio of text to tags is smoothed with a Gaussian and split at a
+threshold found by clustering; lines below it (menus, rows of links and buttons) that hold no heading, list, code or formula are
+not content and are dropped.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -41,6 +43,8 @@ _FENCE = re.compile(r"^ {0,3}(?P<f>`{3,}(?=[^`\n]*$)|~{3,})[^\n]*\n(?P<body>.*?)
 _TEX_CODE = re.compile(r"\\begin\{(" + TEX_CODE + r")\}(?P<body>.*?)(?:\\end\{\1\}|\Z)", re.DOTALL)
 _WIKI_CODE = re.compile(r"<(syntaxhighlight|source)\b(?=[^<>]*\blang\b|[^<>]*>[^<]*</\1)[^<>]*>(?P<body>.*?)(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 _HTML_CODE = re.compile(r"<(pre|listing|xmp)\b[^<>]*>(?P<body>.*?)(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
+#: Where a code block may begin; each is read from there by the pattern of its kind, so a text is gone through once.
+_CODE_BEGINS = re.compile(r"(?P<f>^ {0,3}(?:`{3}|~{3}))|(?P<t>\\begin\{(?:" + TEX_CODE + r")\})|(?P<w><(?:syntaxhighlight|source)\b)|(?P<h><(?:pre|listing|xmp)\b)", re.MULTILINE | re.IGNORECASE)
 _WIKI_INDENTED = re.compile(r"<nowiki>(?P<body>.*?)</nowiki>", re.DOTALL | re.IGNORECASE)
 
 _TEX_FORMULA = re.compile(
@@ -82,6 +86,8 @@ _MD_EMPHASIS = re.compile(
 SIGMA, ROUNDS = 1.0, 12
 #: Log ratios closer together than this form one cluster: then every line is content.
 APART = 0.5
+#: A line with so many characters a tag is running text with tags in it, whatever the clusters say.
+PLAIN = 4.0
 _MARK = "\x00{}\x01"
 
 
@@ -180,7 +186,7 @@ class Markup:
     def __init__(self, text: str | None) -> None:
         self.found: set[tuple[str, str]] = set()
         self.blocks: list[str] = []
-        self.clean = ""
+        self._lines = ""
         if text and not text.isspace():
             self._read(text.replace("\r\n", "\n").replace("\x00", "").replace("\x01", "").replace("\x02", ""))
 
@@ -190,22 +196,20 @@ class Markup:
 
     def _cut_code(self, text: str) -> str:
         """Replace each code block, whichever begins first, by a mark."""
-        kinds = ((_FENCE, "markdown"), (_TEX_CODE, "latex"), (_WIKI_CODE, "wiki"), (_HTML_CODE, "html"))
-        out, at = [], 0
-        while True:
-            hits = [(m.start(), k, m) for k, (p, _) in enumerate(kinds) if (m := p.search(text, at))]
-            if not hits:
-                break
-            _, k, m = min(hits, key=lambda x: x[:2])
-            self.found.add((kinds[k][1], "code"))
+        kinds = {"f": (_FENCE, "markdown"), "t": (_TEX_CODE, "latex"), "w": (_WIKI_CODE, "wiki"), "h": (_HTML_CODE, "html")}
+        out, done = [], 0
+        for opening in _CODE_BEGINS.finditer(text):
+            kind = opening.lastgroup
+            pattern, markup = kinds[kind]
+            if opening.start() < done or not (m := pattern.match(text, opening.start())):
+                continue
+            self.found.add((markup, "code"))
             body = m["body"]
-            if k == 3:
+            if kind == "h":
                 body = html.unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", body))
-            out += [text[at : m.start()], "\n", self._stash("```\n" + body.strip("\n") + "\n```"), "\n"]
-            at = m.end()
-            if m.end() == m.start():
-                break
-        return "".join(out) + text[at:]
+            out += [text[done : m.start()], "\n", self._stash("```\n" + body.strip("\n") + "\n```"), "\n"]
+            done = m.end()
+        return "".join(out) + text[done:]
 
     def _sub(self, pattern: re.Pattern, kind: str, element: str, text: str, to) -> str:
         def one(m: re.Match) -> str:
@@ -253,11 +257,12 @@ class Markup:
         text = self._sub(_MD_EMPHASIS, "markdown", "other", text, inner)
         if shared:
             self.found.add(("wiki" if any(k == "wiki" for k, _ in self.found) else "markdown", "list"))
-        self.clean = self._content(text)
+        self._lines = text
 
-    def _content(self, text: str) -> str:
+    @functools.cached_property
+    def clean(self) -> str:
         """The content lines, by smoothed ratio of characters to tags, with code and formulas put back."""
-        lines = text.split("\n")
+        lines = self._lines.split("\n")
         sizes = []
         for line in lines:
             tags = line.count("\x02")
@@ -299,9 +304,8 @@ def content_lines(ratios: list[float]) -> list[bool]:
         if not a or not b:
             break
         low, high = sum(a) / len(a), sum(b) / len(b)
-    # one cluster, or one that is content too: a line with as much text as tags is content
-    limit = min((low + high) / 2, math.log1p(1.0))
-    return [v > limit or r >= 1.0 for v, r in zip(smooth, ratios)]
+    limit = (low + high) / 2
+    return [v > limit or r >= PLAIN for v, r in zip(smooth, ratios)]
 
 
 def elements(text: str | None) -> list[tuple[str, str]]:
