@@ -50,6 +50,55 @@ def test_batches_stream_each_file(spark):
     assert one.select("batch").distinct().count() == 6
 
 
+def test_a_crowded_hash_is_matched_in_time(spark):
+    import time
+
+    n = 100_000
+    frame = lambda step, shift: spark.range(n).selectExpr("'f' as file", f"concat('section:', id div 1000, '/block:', (id * {step} + {shift}) % 1000, '/seg:0') as id", "7L as hash").distinct()
+    began = time.time()
+    got = S.reconcile(frame(1, 0), frame(1, 1))
+    assert got.filter("saved_id is not null").count() == n and time.time() - began < 60
+
+
+def test_batches_of_a_large_file_are_the_same_in_chunks(spark):
+    rng = random.Random(12)
+    rows = [(f, k, rng.choice([10, 500, 5000, 20000]), rng.choice([1, 1, 2, 30])) for f, n in (("a", 400), ("b", 7), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "path string, at int, bytes bigint, n int")
+    want = {}
+    for f in "abc":
+        number = total = weight = 0
+        for _, k, size, c in sorted(r for r in rows if r[0] == f):
+            if total and (total + c > 20 or weight + 7 + size > 16384):
+                number, total, weight = number + 1, 0, 0
+            weight += size + (7 if total else 0)
+            total += c
+            want[f, k] = number
+    for chunk in (1, 3, 30, 20_000):
+        got = {(r.path, r.at): r.batch for r in S.batches(df, "path", ["at"], "bytes", 20, segments="n", chunk=chunk).collect()}
+        assert got == want, chunk
+    assert S.batches(df.limit(0), "path", ["at"], "bytes", 20, segments="n").count() == 0
+
+
+def test_places_are_numbered_across_ranges(spark):
+    df = spark.createDataFrame([("a", k * 3) for k in range(500)] + [("b", 1), (None, 4), (None, 2)], "f string, at int").repartition(5)
+    got = {(r.f, r.at): r.i for r in S.numbered(df, "f", ["at"], "i").collect()}
+    assert all(got["a", k * 3] == k for k in range(500)) and got["b", 1] == 0 and (got[None, 2], got[None, 4]) == (0, 1)
+
+
+def test_moved_translations_are_found_across_chunks(spark):
+    from weftline.operators import alignment as A
+
+    rows = [("f", k, f"Call `step_{k}` now.", f"`step_{k}`를 부릅니다.") for k in range(60)]
+    rows[29], rows[30] = ("f", 29, rows[29][2], rows[30][3]), ("f", 30, rows[30][2], rows[29][3])
+    rows.append(("f", 60, None, None))
+    df = spark.createDataFrame(rows, "path string, at int, source string, translation string")
+    want = {("f", 29, 1, ("`step_30",)), ("f", 30, -1, ("`step_29",))}
+    for chunk in (3, 30, 1000):
+        got = {(r.file, r["at"], r["offset"], tuple(r.anchors)) for r in A.misaligned_in_sequence(df, "path", "at", "source", "translation", chunk=chunk).collect()}
+        assert {(a, b, c) for a, b, c, _ in got} == {(a, b, c) for a, b, c, _ in want}, chunk
+    assert A.misaligned_in_sequence(df.limit(0), "path", "at", "source", "translation").count() == 0
+
+
 def test_renames(spark):
     files = [("n1", h) for h in range(10)] + [("n2", h) for h in (1, 99)]
     orphans = [("o1", h) for h in range(6)] + [("o2", h) for h in range(5, 8)] + [("o3", h) for h in range(3)]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.state import numbered
+
 _SPAN = re.compile(r"`([^`\n]+)`|(https?://[^\s`)>\]]+)|\$([^$\n]+)\$")
 _WORD = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
 # Number words that a translation may write in digits.
@@ -52,40 +52,52 @@ def is_strong(anchor: str) -> bool:
 
 def misaligned(rows: list[tuple[str | None, str | None]]) -> dict[int, tuple[int, list[str]]]:
     """Rows whose translation holds anchors foreign to its own source and found in another's, with that row and the anchors: one strong anchor or two others are evidence; of several rows the last with most anchors counts."""
-    sources = [source_anchors(s or "") for s, _ in rows]
-    written = [written_anchors(t or "") for _, t in rows]
-    found = {}
-    for i, (s, t) in enumerate(rows):
-        if s is None or t is None:
-            continue
-        foreign = written[i] - sources[i]
-        best: tuple[int, int] | None = None
-        for j in range(len(rows)):
-            shared = foreign & sources[j] if j != i else set()
-            # anchors that the other row still writes itself were not moved
-            if shared and (any(map(is_strong, shared)) or len(shared) >= 2) and not shared <= written[j] and (best is None or len(shared) >= best[0]):
-                best = len(shared), j
-        if best:
-            found[i] = best[1], sorted(foreign & sources[best[1]])
-    return found
+    read = [(source_anchors(s or ""), written_anchors(t or "")) for s, t in rows]
+    return {i: hit for i in range(len(rows)) if (hit := _moved(rows, read, i, range(len(rows))))}
 
 
-def misaligned_in_sequence(rows: DataFrame, file: str, order: str, source: str, translation: str, radius: int = 3) -> DataFrame:
-    """(file, order, offset, anchors): rows that render a neighbour within `radius` places of the document. Each row meets at most 2 * radius others, taken by a window; null texts are skipped."""
-    w = Window.partitionBy(file).orderBy(order).rowsBetween(-radius, radius)
-    pair = F.struct(F.col(order).alias("at"), F.col(source).alias("s"), F.col(translation).alias("t"))
-    near = rows.select(F.col(file).alias("file"), F.col(order).alias("at"), F.collect_list(pair).over(w).alias("near"))
-    kinds = rows.schema[file].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+def _moved(rows: list[tuple[str | None, str | None]], read: list[tuple[set[str], set[str]]], i: int, among: range) -> tuple[int, list[str]] | None:
+    """The row among `among` whose source row i renders, with the anchors that tell; read holds each row's source and written anchors."""
+    if rows[i][0] is None or rows[i][1] is None:
+        return None
+    foreign = read[i][1] - read[i][0]
+    best: tuple[int, int] | None = None
+    for j in among if foreign else ():
+        shared = foreign & read[j][0] if j != i else set()
+        # anchors that the other row still writes itself were not moved
+        if shared and (any(map(is_strong, shared)) or len(shared) >= 2) and not shared <= read[j][1] and (best is None or len(shared) >= best[0]):
+            best = len(shared), j
+    return (best[1], sorted(foreign & read[best[1]][0])) if best else None
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, at, around in zip(batch["file"], batch["at"], batch["near"]):
-                places = [r["at"] for r in around]
-                me = places.index(at)
-                hit = misaligned([(r["s"], r["t"]) for r in around]).get(me)
-                if hit:
-                    out.append((name, at, hit[0] - me, hit[1]))
-            yield pd.DataFrame(out, columns=["file", "at", "offset", "anchors"])
-
-    return near.mapInPandas(run, f"file {kinds[0]}, at {kinds[1]}, offset int, anchors array<string>")
+#: Rows of one chunk of a file; neighbours in other chunks are copied to it.
+CHUNK = 20_000
+
+
+def misaligned_in_sequence(rows: DataFrame, file: str, order: str, source: str, translation: str, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """(file, order, offset, anchors): rows that render a neighbour within `radius` places of the document. Each row meets at most 2 * radius others; null texts are skipped.
+
+    Files are cut into chunks of `chunk` rows, at least `radius`, so that a large one is no hot group; the rows at a chunk's edges are copied to the chunk beside it.
+    """
+    chunk = max(chunk, radius)
+    kinds = rows.schema[file].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+    named = rows.select(F.col(file).alias("file"), F.col(order).alias("at"), F.col(source).alias("s"), F.col(translation).alias("t"))
+    placed = numbered(named, "file", ["at"], "i").withColumn("own", F.floor(F.col("i") / F.lit(chunk)).cast("bigint"))
+    inside = F.col("i") - F.col("own") * chunk
+    also = F.array_compact(F.array(F.col("own"), F.when((inside < radius) & (F.col("own") > 0), F.col("own") - 1), F.when(inside >= chunk - radius, F.col("own") + 1)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        places, pairs = part["at"].tolist(), list(zip(part["s"], part["t"]))
+        read = [(source_anchors(s or ""), written_anchors(t or "")) if s is not None or t is not None else (set(), set()) for s, t in pairs]
+        out = []
+        for k, (own, c) in enumerate(zip(part["own"], part["c"])):
+            if own != c:
+                continue
+            a, b = max(0, k - radius), min(len(pairs), k + radius + 1)
+            hit = _moved(pairs, read, k, range(a, b))
+            if hit:
+                out.append((part["file"].iloc[0], places[k], hit[0] - k, hit[1]))
+        return pd.DataFrame(out, columns=["file", "at", "offset", "anchors"])
+
+    return placed.withColumn("c", F.explode(also)).groupBy("file", "c").applyInPandas(run, f"file {kinds[0]}, at {kinds[1]}, offset int, anchors array<string>")
