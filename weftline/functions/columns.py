@@ -87,11 +87,6 @@ def answer_side(answer: Column | str, baseline_first: Column | str) -> Column:
     return F.when(a == "A", F.when(first, "baseline").otherwise("candidate")).when(a == "B", F.when(first, "candidate").otherwise("baseline")).otherwise("tie")
 
 
-def seeded_key(seed: int, *columns: Column | str) -> Column:
-    """A reproducible random order: md5 of the seed and the columns."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(_c(c).cast("string") for c in columns)))
-
-
 def strata(raw: Column | str, sources: Column | str, tags: Column | int = 0) -> Column:
     """Tags of a block: long, inline-markup, math, list, table, heading, trivial, prose. raw null counts as empty; sources is the array of its segments' texts."""
     text, items = F.coalesce(_c(raw), F.lit("")), F.coalesce(_c(sources), F.array())

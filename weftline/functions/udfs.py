@@ -6,6 +6,7 @@ from collections.abc import Callable
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,12 @@ def context_hash(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([Decimal(X.context_hash(none(a), none(b))) for a, b in zip(before, after)], dtype=object)
 
 
+def seeded_key(seed: object, *columns) -> Column:
+    """A reproducible random order: the unsigned XXH64 of seed and columns, joined by colons."""
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return content_hash(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in named)))
+
+
 def glossary_terms(glossary: G.Glossary):
     """MAP<term, translation> of the terms a text uses. The glossary travels with the function: its size is checked when it is built."""
 

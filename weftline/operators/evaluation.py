@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import seeded_key, wilson
+from weftline.functions.columns import wilson
+from weftline.functions.udfs import seeded_key
 
 
 def gate_rates(gates: DataFrame, by: list[str]) -> DataFrame:
@@ -77,8 +78,9 @@ def nearest_rank(values: DataFrame, value: str, percents: list[float]) -> DataFr
 
 
 def first_per_group(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The row of each group that comes first in the ascending order of `order`; reduced map-side, so a large group is no hot one."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*by, *(F.col("_row")[c].alias(c) for c in rest))
 
 
 def seeded_subset(rows: DataFrame, seed: int, n: int, *key: str) -> DataFrame:
@@ -87,7 +89,7 @@ def seeded_subset(rows: DataFrame, seed: int, n: int, *key: str) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group: str, seed: int, key: str, most: int, least: int, target: int) -> DataFrame:
-    """A stratified sample: at most `most` of each group in seeded order; everyone gets `least`, then rounds go on until `target`. Only the ranked heads of the groups, at most groups * most rows, are ordered over all groups."""
+    """A stratified sample, ordered by the unsigned XXH64 of seed and key: at most `most` of each group in seeded order; everyone gets `least`, then rounds go on until `target`. Only the ranked heads of the groups, at most groups * most rows, are ordered over all groups."""
     w = Window.partitionBy(group).orderBy("_k", key)
     pool = rows.withColumn("_k", seeded_key(seed, key)).withColumn("round", F.row_number().over(w) - 1).filter(F.col("round") < most)
     place = pool.withColumn("place", F.row_number().over(Window.orderBy("round", group)))
@@ -107,14 +109,15 @@ def capped_sample(rows: DataFrame, seed: int, key: list[str], cap_by: str, cap:
 
 
 def human_pairs(passing: DataFrame, candidates: list[str], seed: int, count: int, special: Column) -> DataFrame:
-    """Blocks for human judging: a fifth special ones, the rest others, in seeded order; each gets one candidate in turn and a side by the parity of its hash. `candidates` is a small list; the count is the size of the sample."""
-    keyed = passing.withColumn("_k", seeded_key(seed, "item", "block")).withColumn("_s", F.coalesce(special, F.lit(False)))
+    """Blocks for human judging: a fifth special ones, the rest others, each in seeded order; each gets one candidate in turn and a side by the parity of a hash of its place. `candidates` is a small list; the count is the size of the sample."""
+    keyed = passing.withColumn("_k", seeded_key(f"human:{seed}", "item", "block")).withColumn("_s", F.coalesce(special, F.lit(False)))
     first = keyed.filter("_s").orderBy("_k").limit(count // 5)
-    rest = keyed.filter("not _s").orderBy("_k").limit(count - count // 5)
+    rest = keyed.filter("not _s").orderBy("_k").limit(count)
     place = F.row_number().over(Window.orderBy(F.desc("_s"), "_k")) - 1
     names = F.array(*(F.lit(c) for c in candidates))
-    chosen = first.unionByName(rest).withColumn("place", place)
-    return chosen.select("item", "block", "place", F.get(names, F.pmod("place", F.lit(len(candidates)))).alias("candidate"), (F.pmod(F.conv(F.substring("_k", 1, 8), 16, 10).cast("bigint"), F.lit(2)) == 0).alias("baseline_first"))
+    chosen = first.unionByName(rest).withColumn("place", place).filter(F.col("place") < count)
+    side = F.pmod(seeded_key(f"side:{seed}", "place"), F.lit(2).cast("decimal(20,0)")) == 0
+    return chosen.select("item", "block", "place", F.get(names, F.pmod("place", F.lit(len(candidates)))).alias("candidate"), side.alias("baseline_first"))
 
 
 def decision(rates: DataFrame, tallies: DataFrame, baseline: str, trusted: float = 0.5) -> DataFrame:

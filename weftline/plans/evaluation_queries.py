@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
+from weftline.functions import udfs as U
 from weftline.operators import evaluation as E
+from weftline.plans.sql_hash import with_xxh64
 from weftline.sources.tables import table
 
 
@@ -38,11 +40,16 @@ def repaired_share(spark: SparkSession, folder: str) -> DataFrame:
     return _gates(spark, folder).cube("candidate", "variant").agg(F.count_if("repaired").alias("repaired"), F.count("*").alias("rows"), F.grouping_id().cast("int").alias("level"))
 
 
-def gate_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Issue messages by their pattern, numbers and quoted parts left out; the 50 commonest."""
+def gate_issue_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Issue messages by their pattern, numbers and quoted parts left out."""
     text = F.regexp_replace(F.regexp_replace(F.col("issue"), r"`[^`]*`|\"[^\"]*\"", "#"), r"[0-9]+", "#")
     rows = _gates(spark, folder).select("candidate", F.explode("issues").alias("issue")).groupBy(text.alias("pattern")).agg(F.count("*").alias("n"), F.count_distinct("candidate").alias("candidates"))
-    return rows.orderBy(F.desc("n"), "pattern").limit(50)
+    return rows
+
+
+def gate_issues(spark: SparkSession, folder: str, most: int = 50) -> DataFrame:
+    """The `most` commonest patterns, a top-k report; gate_issue_patterns has all."""
+    return gate_issue_patterns(spark, folder).orderBy(F.desc("n"), "pattern").limit(most)
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +90,7 @@ def seeded_subset(spark: SparkSession, folder: str) -> DataFrame:
 def item_pick(spark: SparkSession, folder: str) -> DataFrame:
     """One item a source file: those of at least 8 segments first, then in seeded order."""
     rows = table(spark, folder, "eval_items", "item", "source_path", "blocks").withColumn("n", F.aggregate("blocks", F.lit(0), lambda a, b: a + F.size(b["segments"])))
-    return E.first_per_group(rows, ["source_path"], [F.desc(F.col("n") >= 8), C.seeded_key(7, "item"), F.col("item")]).select("source_path", "item")
+    return E.first_per_group(rows, ["source_path"], [~(F.col("n") >= 8), U.seeded_key(7, "item"), F.col("item")]).select("source_path", "item")
 
 
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,9 +103,15 @@ def _blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judge_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _blocks(spark, folder).filter(F.length("raw") >= 60)
-    hard = F.exists("strata", lambda s: s.isin("inline-markup", "math", "long"))
-    return E.capped_sample(rows, 7, ["item", "block"], "item", 4, hard, 40, 120).select("item", "block")
+    """Blocks to judge: all hard ones with a reference, synthetic ones with telling probes, and a capped sample of real ones, hard strata first."""
+    b = table(spark, folder, "eval_items", "item", "kind", "blocks").select("item", "kind", F.explode("blocks").alias("b")).select("item", "kind", F.col("b.id").alias("block"), F.col("b.strata").alias("strata"), F.col("b.probes").alias("probes"), F.col("b.segments").alias("segments"))
+    among = lambda column, *names: F.coalesce(F.exists(column, lambda s: s.isin(*names)), F.lit(False))
+    letters = F.aggregate("segments", F.lit(0), lambda n, s: n + F.coalesce(F.length(s["source"]), F.lit(0)))
+    real = b.filter(F.col("kind") == "real").filter(~among("strata", "trivial", "heading") & (letters >= 60))
+    sample = E.capped_sample(real, 7, ["item", "block"], "item", 4, among("strata", "inline-markup", "long", "math"), 40, 120)
+    hard = b.filter(F.col("kind") == "hard").filter(F.exists("segments", lambda s: s["reference"].isNotNull()))
+    probed = b.filter(F.col("kind") == "synthetic").filter(F.coalesce(F.exists("probes", lambda p: ~p.isin("latex-aux", "noun-heading")), F.lit(False)))
+    return hard.unionByName(probed).unionByName(sample).select("item", "block", "kind")
 
 
 def block_strata(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,10 +120,12 @@ def block_strata(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks and items by project and kind, by parser, and by stored stratum."""
-    rows = _blocks(spark, folder)
-    count = lambda df, kind, key: df.groupBy(F.lit(kind).alias("kind"), key.alias("name")).agg(F.count("*").alias("blocks"), F.count_distinct("item").alias("items"))
-    return count(rows, "project", F.concat_ws("/", "project", "kind")).unionByName(count(rows, "parser", F.col("parser"))).unionByName(count(rows.select("item", F.explode("strata").alias("s")), "stratum", F.col("s")))
+    """Blocks and items by project and kind, by parser, and by stored stratum, in one pass."""
+    name = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("name"))
+    own = F.array(name("project", F.concat_ws("/", "project", "kind")), name("parser", F.col("parser")))
+    names = F.concat(own, F.coalesce(F.transform("strata", lambda s: name("stratum", s)), F.array().cast("array<struct<kind:string,name:string>>")))
+    rows = _blocks(spark, folder).select("item", F.explode(names).alias("n")).groupBy("n.kind", "n.name", "item").agg(F.count("*").alias("c"))
+    return rows.groupBy("kind", "name").agg(F.sum("c").alias("blocks"), F.count("*").alias("items"))
 
 
 def length_ratio_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +143,7 @@ def first_attempts(spark: SparkSession, folder: str) -> DataFrame:
 def call_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Calls, failed calls and summed time of each candidate, rows written twice counted once."""
     rows = table(spark, folder, "eval_outputs", "out_id", "item", "candidate", "repeat_no", "calls", "duration_ms")
-    once = E.first_per_group(rows, ["item", "candidate", "repeat_no"], [F.asc("out_id")])
+    once = E.first_per_group(rows, ["item", "candidate", "repeat_no"], [F.col("out_id")])
     return once.groupBy("candidate").agg(F.count("*").alias("requests"), F.sum(F.size("calls")).alias("calls"), F.sum(F.size(F.filter("calls", lambda c: c["error"].isNotNull()))).alias("failed"), F.sum("duration_ms").alias("milliseconds"))
 
 
@@ -163,10 +178,18 @@ def segment_references(spark: SparkSession, folder: str) -> DataFrame:
     return fin.join(ref, ["item", "pos"]).select("out_id", "pos", F.levenshtein("translation", "reference").alias("distance"))
 
 
+def _candidates(spark: SparkSession, folder: str) -> list[str]:
+    names = [r[0] for r in _gates(spark, folder).select("candidate").distinct().orderBy("candidate").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 candidates")
+    return names
+
+
 def human_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    names = [r[0] for r in _gates(spark, folder).select("candidate").distinct().orderBy("candidate").limit(1000).collect()]
-    passing = passing_blocks(spark, folder)
-    return E.human_pairs(passing, names, 7, 30, F.col("candidates") >= 3)
+    """Blocks that pass under several candidates; a fifth of them from items that are not real text."""
+    kinds = table(spark, folder, "eval_items", "item", "kind").dropDuplicates(["item"])
+    passing = passing_blocks(spark, folder).join(kinds, "item", "left")
+    return E.human_pairs(passing, _candidates(spark, folder), 7, 30, F.col("kind") != "real")
 
 
 def report_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +199,7 @@ def report_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return E.decision(gate_rates(spark, folder), win_rates(spark, folder), base["baseline"] if base else "")
 
 
-QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions)}
+QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issue_patterns, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions)}
 
 _LAST = """
 (select pick_id as pick, judge, judge_model as model, baseline, candidate, shown_order, side from (
@@ -197,6 +220,8 @@ from r
 """
 
 
+#: Items with the unsigned XXH64 of seed and id.
+_SEEDED = with_xxh64("(select *, '7:' || item as _t from eval_items)", "_t", "_k")
 _BLOCKS = "(select item, project, parser, kind, b.id as block, b.raw as raw, b.strata as strata, b.segments as segments from (select *, unnest(blocks) as b from eval_items))"
 
 ORACLE = {
@@ -205,17 +230,17 @@ ORACLE = {
     "gate_conjunction": "select coalesce(list_bool_and(map_values(checks)), true) as all_checks, passed, count(*) as rows from gate_rows group by 1, 2",
     "passing_blocks": "select item, block, count(distinct candidate) as candidates from gate_rows where variant = 'final' and repeat_no = 0 group by 1, 2 having bool_and(passed)",
     "repaired_share": "select candidate, variant, count(*) filter (where repaired) as repaired, count(*) as rows, grouping(candidate, variant)::int as level from gate_rows group by cube (candidate, variant)",
-    "gate_issues": "select regexp_replace(regexp_replace(issue, '`[^`]*`|\"[^\"]*\"', '#', 'g'), '[0-9]+', '#', 'g') as pattern, count(*) as n, count(distinct candidate) as candidates from (select candidate, unnest(issues) as issue from gate_rows) group by 1 order by n desc, pattern limit 50",
+    "gate_issue_patterns": "select regexp_replace(regexp_replace(issue, '`[^`]*`|\"[^\"]*\"', '#', 'g'), '[0-9]+', '#', 'g') as pattern, count(*) as n, count(distinct candidate) as candidates from (select candidate, unnest(issues) as issue from gate_rows) group by 1",
     "pair_fold": f"select pick, judge, model, side from {_FOLD} where orders = 2",
     "pair_fold_viewer": f"select pick, judge, model, side from {_FOLD}",
     "win_rates": _tally("baseline, candidate"),
     "judge_win_rates": _tally("judge, model"),
     "judge_agreement": f"with f as (select pick, judge || '/' || model as j, side from {_FOLD} where orders = 2) select a.j as judge_a, b.j as judge_b, count(*) as picks, count(*) filter (where a.side = b.side) as agreed from f a join f b on a.pick = b.pick and a.j < b.j group by 1, 2",
     "verdict_pivot": "select shown_order, count(*) filter (where s = 'baseline') as baseline, count(*) filter (where s = 'candidate') as candidate, count(*) filter (where s = 'tie') as tie from (select shown_order, lower(trim(verdicts.overall)) as s from judge_pairs) where s in ('baseline', 'candidate', 'tie') group by 1",
-    "seeded_subset": "select item from eval_items order by md5('7:' || item), item limit 50",
-    "item_pick": "select source_path, item from eval_items qualify row_number() over (partition by source_path order by list_sum(list_transform(blocks, lambda b: len(b.segments))) >= 8 desc, md5('7:' || item), item) = 1",
-    "round_robin": """
-with p as (select item, project, (row_number() over (partition by project order by md5('7:' || item), item) - 1)::int as round from eval_items),
+    "seeded_subset": f"select item from ({_SEEDED}) order by _k, item limit 50",
+    "item_pick": f"select source_path, item from ({_SEEDED}) qualify row_number() over (partition by source_path order by list_sum(list_transform(blocks, lambda b: len(b.segments))) >= 8 desc, _k, item) = 1",
+    "round_robin": f"""
+with p as (select item, project, (row_number() over (partition by project order by _k, item) - 1)::int as round from ({_SEEDED})),
 q as (select *, row_number() over (order by round, project)::int as place from p where round < 6)
 select item, project, round, place from q where round < 1 or place <= 100
 """,
@@ -256,11 +281,32 @@ f as (select out_id, item, e.key as pos, e.value.translation as t from (select o
 select out_id, f.pos, null::int as distance from f join r using (item, pos) where t is not null
 """,
 }
+ORACLE["gate_issues"] = ORACLE["gate_issue_patterns"] + " order by n desc, pattern limit 50"
+ORACLE["judge_sample"] = f"""
+with b as (select item, kind, b.id as block, b.strata as strata, b.probes as probes, b.segments as segments from (select item, kind, unnest(blocks) as b from eval_items)),
+r as (select * from ({with_xxh64("(select *, '7:' || item || ':' || block as _t from b)", "_t", "_k")}) where kind = 'real' and not list_has_any(coalesce(strata, []), ['trivial', 'heading']) and coalesce(list_sum(list_transform(segments, lambda s: length(s.source))), 0) >= 60),
+h as (select * from (select * from r where list_has_any(coalesce(strata, []), ['inline-markup', 'long', 'math']) qualify row_number() over (partition by item order by _k) <= 4) order by _k limit 40),
+t as (select item, count(*) as c from h group by 1),
+o as (select * from (select r.item, r.block, r.kind, r._k from r left join t using (item) where not exists (select 1 from h where h.item = r.item and h.block = r.block)
+  qualify row_number() over (partition by r.item order by r._k) + coalesce(t.c, 0) <= 4) order by _k limit (select 120 - count(*) from h))
+select item, block, kind from b where kind = 'hard' and len(list_filter(segments, lambda s: s.reference is not null)) > 0
+union all select item, block, kind from b where kind = 'synthetic' and len(list_filter(probes, lambda p: p not in ('latex-aux', 'noun-heading'))) > 0
+union all select item, block, kind from h union all select item, block, kind from o
+"""
+ORACLE["human_pairs"] = f"""
+with p as (select item, block, coalesce(kind <> 'real', false) as s from ({ORACLE["passing_blocks"]}) left join (select distinct item, kind from eval_items) using (item)),
+k as ({with_xxh64("(select *, 'human:7:' || item || ':' || block as _t from p)", "_t", "_k")}),
+f as (select * from (select * from k where s order by _k limit 6) union all select * from (select * from k where not s order by _k limit 30)),
+n as (select item, block, (row_number() over (order by s desc, _k) - 1)::int as place from f),
+c as (select list(candidate order by candidate) as names from (select distinct candidate from gate_rows))
+select item, block, place, names[place % len(names) + 1] as candidate, _h % 2 = 0 as baseline_first
+from ({with_xxh64("(select *, 'side:7:' || place as _t from n where place < 30)", "_t", "_h")}), c
+"""
 ORACLE["report_decisions"] = f"""
 with base as (select baseline as b from judge_pairs group by 1 order by count(*) desc, 1 limit 1),
 r as ({ORACLE["gate_rates"]}), w as ({_tally("baseline, candidate")}),
 g as (select r.candidate, bool_and(r.rate >= o.rate) as gates_hold from r join r o on o.variant = r.variant and o.candidate = (select b from base) where r.candidate <> (select b from base) group by 1)
 select g.candidate, gates_hold, coalesce(w.low > 0.5, false) as judges_hold from g left join w on w.candidate = g.candidate and w.baseline = (select b from base)
 """
-# The judging sample runs two capped passes; it is tested against its bounds instead. DuckDB's edit distance counts bytes, so that query has no SQL either.
-ORACLE = {k: v for k, v in ORACLE.items() if v and k not in ("judge_sample", "segment_references")}
+# DuckDB's edit distance counts bytes, so that query has no SQL.
+ORACLE = {k: v for k, v in ORACLE.items() if k != "segment_references"}

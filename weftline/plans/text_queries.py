@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
 from weftline.functions import glossary as G
+from weftline.functions import text as X
 from weftline.functions import udfs as U
 from weftline.operators import coverage as V
 from weftline.operators import tables as B
@@ -106,12 +107,18 @@ def glossary_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _glossary(spark: SparkSession, folder: str) -> G.Glossary:
-    rows = M.one_entry(_entries(spark, folder)).limit(G.MOST_TERMS + 1).collect()
-    excepts = _entries(spark, folder).filter("term is not null").select(F.lower("term").alias("t"), F.explode("excepts").alias("e")).distinct().limit(G.MOST_TERMS).collect()
+    """The glossary for the tasks: terms, the phrases in which they are ordinary words, and whole-segment entries. A glossary too large to send raises."""
+    entries = _entries(spark, folder).filter("term is not null")
+    rows = M.one_entry(entries).limit(G.MOST_TERMS + 1).collect()
+    excepts = entries.select(F.lower("term").alias("t"), F.explode("excepts").alias("e")).distinct().limit(G.MOST_TERMS + 1).collect()
+    if len(rows) > G.MOST_TERMS or len(excepts) > G.MOST_TERMS:
+        raise ValueError(f"a glossary of more than {G.MOST_TERMS} entries must be joined, not sent")
     by: dict[str, list[str]] = {}
     for r in excepts:
         by.setdefault(r["t"], []).append(r["e"])
-    return G.Glossary({r["term"]: r["translation"] for r in rows if r["translation"] is not None}, by)
+    known = [r for r in rows if r["translation"] is not None]
+    whole = {X.normalize_whole(r["term"]): (r["term"], r["translation"]) for r in known if r["kind"] == "whole"}
+    return G.Glossary({r["term"]: r["translation"] for r in known if r["kind"] != "whole"}, by, whole)
 
 
 def glossary_unmet(spark: SparkSession, folder: str) -> DataFrame:
