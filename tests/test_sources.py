@@ -122,8 +122,35 @@ def test_stream_merges_every_version(spark, tmp_path):
     source = spark.read.parquet(f"{base}/in/0").schema
     stream = ST.read_stream(spark, f"{base}/in/*", source)
     ST.merge_states(stream, f"{base}/out", f"{base}/log", ["k"], "n").awaitTermination()
-    last = ST.versions(spark, f"{base}/out")[-1]
-    assert {tuple(r) for r in spark.read.parquet(f"{base}/out/{last}").collect()} == {("a", 3, "z"), ("b", 2, "y")}
+    found = ST.read_states(spark, f"{base}/out")
+    assert {tuple(r) for r in found.select("k", "n", "v").collect()} == {("a", 3, "z"), ("b", 2, "y")}
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    import os
+
+    base = f"file://{tmp_path}"
+    schema = "k string, n bigint"
+    for i, rows in enumerate([[(f"k{j}", 1) for j in range(200)], *([("k7", n)] for n in range(2, 6))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/{i}")
+    ST.merge_states(ST.read_stream(spark, f"{base}/in/*", spark.read.parquet(f"{base}/in/0").schema), f"{base}/out", f"{base}/log", ["k"], "n").awaitTermination()
+    known = ST.versions(spark, f"{base}/out")
+    assert known == [3, 4]
+    assert [len([d for d in os.listdir(f"{tmp_path}/out/data/{n}") if d.startswith("bucket=")]) for n in known] == [1, 1]
+    got = {r.k: r.n for r in ST.read_states(spark, f"{base}/out").collect()}
+    assert len(got) == 200 and got["k7"] == 5 and got["k8"] == 1
+
+
+def test_state_files(spark, tmp_path):
+    from weftline.sources import scan
+
+    rows = spark.createDataFrame([("a.md",), ("./b/c.rst",), ("/abs/d.md",)], "path string")
+    got = [tuple(r) for r in rows.select(scan.state_path("path"), scan.state_path("path", "state/")).collect()]
+    assert got == [("a.md.state.json", "state/a.md.state.json"), ("./b/c.rst.state.json", "state/b/c.rst.state.json"), ("/abs/d.md.state.json", "/abs/d.md.state.json")]
+    target = f"file://{tmp_path}/saved"
+    for k in (1, 2):
+        scan.write_states(spark.createDataFrame([("a.md", "s", k, 2, 1)], "path string, seg_id string, feed_id bigint, source_hash bigint, at int"), target, "path", "at")
+        assert [r.feed_id for r in scan.read_written_states(spark, target).collect()] == [k]
 
 
 def test_event_sessions(spark):

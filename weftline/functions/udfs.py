@@ -78,3 +78,11 @@ def tagged(source: pd.Series) -> pd.Series:
     from weftline.functions import quality
 
     return pd.Series([None if s is None else quality.tagify(s)[0] for s in source], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def tags_come_back(source: pd.Series) -> pd.Series:
+    """Whether a text with its markup as tags, turned back, is itself."""
+    from weftline.functions import quality
+
+    return pd.Series([None if s is None else quality.untag(*quality.tagify(s)) == s for s in source], dtype=object)

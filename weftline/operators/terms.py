@@ -89,6 +89,17 @@ def upsert(entries: DataFrame, changes: DataFrame, key: str = "term") -> DataFra
     return entries.join(changes.select(key), key, "left_anti").unionByName(new.select(*entries.columns))
 
 
+def delete(entries: DataFrame, terms: DataFrame, key: str = "term") -> DataFrame:
+    """entries without those whose key, in any case, is among terms."""
+    gone = terms.select(F.lower(key).alias("_k")).distinct()
+    return entries.join(gone, F.lower(F.col(key)) == F.col("_k"), "left_anti")
+
+
+def decided(accepted: DataFrame, rejected: DataFrame, key: str = "term") -> DataFrame:
+    """Keys, in lower case, of accepted and of rejected entries: what needs no decision any more."""
+    return accepted.select(F.lower(key).alias(key)).unionByName(rejected.select(F.lower(key).alias(key))).filter(f"{key} is not null").distinct()
+
+
 def used_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) for terms in a text by plain word boundaries; terms and words are joined by their first word, so no text meets every term."""
     t = terms.filter("term is not null and trim(term) <> ''").select(F.lower("term").alias("term")).distinct().withColumn("w", F.element_at(F.split("term", r"[^\p{L}\p{N}]+"), 1))

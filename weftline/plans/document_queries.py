@@ -9,8 +9,8 @@ from weftline.functions import columns as C
 from weftline.operators import alignment as A
 from weftline.operators import requests as R
 from weftline.operators import state as S
-from weftline.session import shared_dir, spread
-from weftline.sources.parsers import parse_documents
+from weftline.session import scratch, spread
+from weftline.sources.parsers import parse_documents, round_trips
 from weftline.sources.tables import table
 from weftline.streaming import state as ST
 
@@ -41,28 +41,35 @@ def rendered_batches(spark: SparkSession, folder: str) -> DataFrame:
     return R.render(batches, R.EchoProvider, lambda source, text: [] if text == source.upper() else ["not in capitals"])
 
 
-def stream_latest_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """segment_states read as a stream and merged batch by batch: must equal latest_segments."""
-    import uuid
+def misaligned_shifted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where every tenth translated segment of a file has got its successor's translation: what the check finds of such a fault."""
+    rows = table(spark, folder, "segment_states", "path", "seg_id", "feed_id", "source", "translation")
+    now = S.latest(rows, ["path", "seg_id"], "feed_id").filter("translation is not null").withColumn("at", C.flat_index("seg_id"))
+    near = S.neighbours(now, "path", "at", "translation")
+    moved = near.withColumn("translation", F.when(F.pmod(F.crc32(F.encode("seg_id", "utf-8")), F.lit(10)) == 0, F.coalesce("after_translation", "translation")).otherwise(F.col("translation")))
+    return A.misaligned_in_sequence(moved, "path", "at", "source", "translation").withColumn("anchors", F.array_join("anchors", " "))
 
+
+def stream_latest_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """segment_states delivered in four files, read as a stream file by file and merged batch by batch: must equal latest_segments."""
     columns = ["path", "seg_id", "feed_id", "source_hash", "translated_at"]
-    source = table(spark, folder, "segment_states")
-    base = f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(folder)).select(*columns)
-    query = ST.merge_states(stream, f"{base}/table", f"{base}/log", ["path", "seg_id"], "feed_id")
-    query.awaitTermination()
-    found = ST.versions(spark, f"{base}/table")
-    return spark.read.parquet(f"{base}/table/{found[-1]}") if found else source.select(*columns).limit(0)
+    source = table(spark, folder, "segment_states", *columns)
+    base = scratch(spark)
+    source.repartitionByRange(4, "feed_id").write.parquet(f"{base}/feed")
+    stream = ST.read_stream(spark, f"{base}/feed", source.schema)
+    ST.merge_states(stream, f"{base}/table", f"{base}/log", ["path", "seg_id"], "feed_id").awaitTermination()
+    found = ST.read_states(spark, f"{base}/table")
+    return found.select(*columns) if found is not None else source.limit(0)
 
 
-def _stream_folder(folder: str) -> str:
-    """A file stream reads a folder; a table in one file is named by a glob that only it matches."""
-    return f"{folder}/segment_states.parque[t]"
+def event_job_states(spark: SparkSession, folder: str) -> DataFrame:
+    return ST.job_states(table(spark, folder, "events", "user_id", "ts", "event_type", "value")).withColumn("total", F.round("total", 4))
 
 
-def event_job_states(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "events", "user_id", "ts", "event_type", "value").groupBy("user_id").agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds"), F.max("ts").alias("last"), F.round(F.sum("value"), 4).alias("total"))
-    return found
+def document_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document, taken apart and put together again without translations, and with every sentence in its own words, is itself: byte for byte, and in the words of its blocks."""
+    docs = spread(table(spark, folder, "documents", "doc_id", "text", "parser"), "doc_id")
+    return round_trips(docs.filter("text is not null"), "doc_id", "text", F.col("parser"))
 
 
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,9 +80,10 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return ST.sessions(table(spark, folder, "events", "user_id", "ts")).select("user_id", "start", "events")
 
 
-QUERIES = {f.__name__: f for f in (document_segments, document_blocks, misaligned_segments, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (document_segments, document_blocks, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
 
 ORACLE = {
+    "document_round_trip": "select doc_id, true as same, true as spans_hold from documents where text is not null",
     "rendered_batches": "select path || '#' || regexp_replace(seg_id, '/seg:[^/]*$', '') as batch, split_part(split_part(seg_id, '/', 3), ':', 2)::int as pos, upper(source) as translation, 1 as attempts, []::varchar[] as issues from (select * from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1) where translation is null",
     "stream_latest_segments": "select path, seg_id, feed_id, source_hash, translated_at from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1",
     "event_job_states": "select user_id, count(*) as events, count(distinct event_type) as kinds, max(ts) as last, round(sum(value), 4) as total from events group by user_id",

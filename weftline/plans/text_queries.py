@@ -195,6 +195,12 @@ def inline_tags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("raw_id", U.tagged("source").alias("tagged"))
 
 
+def inline_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each block is itself again after its markup was turned into tags and back."""
+    rows = spread(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id")
+    return rows.select("raw_id", U.tags_come_back("source").alias("same"))
+
+
 def table_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of pipe tables, with the second column's numbers left out by a rule on the header."""
     cells = B.pipe_tables(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id", "source")
@@ -206,7 +212,7 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return B.table_groups(cells, ["raw_id", "table_no"])
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags, table_cells, table_headers)}
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags, inline_round_trip, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -228,6 +234,7 @@ select raw_id, table_no, table_row, (generate_subscripts(cells, 1) - 1)::int as
 """
 
 ORACLE = {
+    "inline_round_trip": "select raw_id, case when source is not null then true end as same from raw_blocks",
     "table_cells": f"select raw_id, table_no, table_row, \"column\", text, label_row, label_row or \"column\" <> 1 as offered from {_CELLS}",
     "table_headers": f"select raw_id, table_no, list(text order by \"column\") filter (where label_row) as headers, max(\"column\") + 1 as columns, max(table_row) + 1 as rows from {_CELLS} group by 1, 2",
     "segment_lines": f"select doc_id, line::int as line, md5(body) as hash from {_LINES} where regexp_replace(body, '^\\s+|\\s+$', '', 'g') <> ''",

@@ -587,3 +587,23 @@ def _running_bytes(text: str) -> list[int]:
         total += len(c.encode("utf-8", "surrogatepass"))
         out.append(total)
     return out
+
+
+def round_trips(documents: DataFrame, key: str, text: str, parser: Column) -> DataFrame:
+    """(key, same, spans_hold): whether the document without translations is itself, and whether every block's span holds the words of its segments. An unknown parser reads nothing, which leaves the text as it is."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t, name in zip(batch["k"], batch["t"], batch["p"]):
+                parse = PARSERS.get(ALIASES.get(name or "", name or ""))
+                found = segments(t, parse(t)) if parse else []
+                same = reconstruct(t, found, {}) == t
+                by: dict[tuple[int, int], list[str]] = {}
+                for s in found:
+                    by.setdefault((s.start, s.end), []).append(s.source)
+                rows.append((k, same, all(" ".join(v).split() == normalize_inline(t[a:b]).split() for (a, b), v in by.items())))
+            yield pd.DataFrame(rows, columns=[key, "same", "spans_hold"])
+
+    return documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(parser).alias("p")).mapInPandas(run, f"`{key}` {kind}, same boolean, spans_hold boolean")

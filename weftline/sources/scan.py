@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,41 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> Data
 def write_json_lines(df: DataFrame, path: str, *by: str) -> None:
     writer = df.write.mode("error")
     (writer.partitionBy(*by) if by else writer).json(path)
+
+
+def state_path(path: Column | str, directory: str | None = None, suffix: str = ".state.json") -> Column:
+    """The file that holds a source's state: beside it, or at the same place under `directory`; an absolute path keeps it beside. The suffix follows the whole name, so sources that differ in their extension have states of their own."""
+    p = F.col(path) if isinstance(path, str) else path
+    beside = F.concat(p, F.lit(suffix))
+    if directory is None:
+        return beside
+    return F.when(p.startswith("/"), beside).otherwise(F.concat(F.lit(directory.rstrip("/") + "/"), F.regexp_replace(p, r"^(?:\./)+", ""), F.lit(suffix)))
+
+
+def publish(df: DataFrame, target: str, kind: str = "json") -> None:
+    """Write a folder whole: its files appear under `target` by one rename when all are written, in place of what stood there; a job that dies before leaves the old ones."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    draft, old = f"{target}.{uuid.uuid4().hex}", f"{target}.{uuid.uuid4().hex}.old"
+    df.write.format(kind).save(draft)
+    fs = at(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.exists(at(target))
+    if held:
+        fs.rename(at(target), at(old))
+    if not fs.rename(at(draft), at(target)):
+        raise OSError(f"{target} could not be written")
+    if held:
+        fs.delete(at(old), True)
+
+
+def write_states(rows: DataFrame, target: str, path: str, place: str) -> None:
+    """Save segment states: a line a segment in the order of path and place, large files spread over several parts, published whole."""
+    ordered = rows.withColumnRenamed(place, "place").repartitionByRange(path, "place").sortWithinPartitions(path, "place")
+    publish(ordered, target)
+
+
+def read_written_states(spark: SparkSession, target: str) -> DataFrame:
+    """What write_states saved; hashes above 2^63 stay whole."""
+    return spark.read.schema("path string, seg_id string, feed_id bigint, source_hash decimal(20,0), context_hash decimal(20,0), translation string, translated_at timestamp, place bigint").json(target)
+
