@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +89,29 @@ def misaligned_in_sequence(rows: DataFrame, file: str, order: str, source: str,
     inside = F.col("i") - F.col("own") * chunk
     also = F.array_compact(F.array(F.col("own"), F.when((inside < radius) & (F.col("own") > 0), F.col("own") - 1), F.when(inside >= chunk - radius, F.col("own") + 1)))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
+    def found(part: pd.DataFrame) -> list[tuple]:
         places, pairs = part["at"].tolist(), list(zip(part["s"], part["t"]))
         read = [(source_anchors(s or ""), written_anchors(t or "")) if s is not None or t is not None else (set(), set()) for s, t in pairs]
         out = []
         for k, (own, c) in enumerate(zip(part["own"], part["c"])):
-            if own != c:
-                continue
-            a, b = max(0, k - radius), min(len(pairs), k + radius + 1)
-            hit = _moved(pairs, read, k, range(a, b))
+            hit = _moved(pairs, read, k, range(max(0, k - radius), min(len(pairs), k + radius + 1))) if own == c else None
             if hit:
                 out.append((part["file"].iloc[0], places[k], hit[0] - k, hit[1]))
-        return pd.DataFrame(out, columns=["file", "at", "offset", "anchors"])
-
-    return placed.withColumn("c", F.explode(also)).groupBy("file", "c").applyInPandas(run, f"file {kinds[0]}, at {kinds[1]}, offset int, anchors array<string>")
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks come one after the other, each in order; the last of a batch may go on in the next."""
+        rest = None
+        for batch in batches:
+            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            # null files compare as one
+            key = part["file"].astype(object).where(part["file"].notna(), None).map(repr) + "/" + part["c"].astype(str)
+            cut = np.flatnonzero(np.r_[True, key.to_numpy()[1:] != key.to_numpy()[:-1]])
+            rest = part.iloc[cut[-1] :]
+            rows = [r for a, b in zip(cut, cut[1:]) for r in found(part.iloc[a:b])]
+            yield pd.DataFrame(rows, columns=["file", "at", "offset", "anchors"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(found(rest), columns=["file", "at", "offset", "anchors"])
+
+    chunks = placed.withColumn("c", F.explode(also)).repartition("file", "c").sortWithinPartitions("file", "c", "i")
+    return chunks.mapInPandas(run, f"file {kinds[0]}, at {kinds[1]}, offset int, anchors array<string>")

@@ -234,13 +234,37 @@ def batches(rows: DataFrame, file: str, order: list[str], size: str, limit: int,
     """Number the batches of adjacent groups: a batch is closed before the group that would exceed `limit` segments or `bytes_limit` bytes.
 
     A group larger than a limit stays alone, and limit 1 closes after every group. Adds column `batch`, from 0 in each file. Every group holds a segment at least.
-    A file is cut into chunks of `chunk` groups, so that a large one is read by many tasks. A batch that is open where a chunk
+    A file of more than `chunk` groups is cut into chunks, so that it is read by many tasks. A batch that is open where a chunk
     begins is closed within the chunk's first `limit` groups, so each chunk tells for every such place how many batches follow and
     what is left open at its end; going through the chunks of a file by these tables, not by its groups, gives the place where each really begins.
     """
     count = F.greatest(F.lit(1), F.coalesce(F.col(segments) if segments else F.lit(1), F.lit(1)))
     named = rows.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("bigint")).withColumn("_count", count.cast("bigint"))
-    placed = numbered(named, file, order, "_i").withColumn("_c", F.floor(F.col("_i") / F.lit(chunk)).cast("bigint"))
+    large = named.groupBy(F.col(file).alias("_f")).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk).select("_f")
+    names, schema = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch int"
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, number, total, weight = object(), 0, 0, 0
+        for part in parts:
+            numbers = []
+            for name, n, c in zip(part[file], part["_size"], part["_count"]):
+                if name != current:
+                    current, number, total, weight = name, 0, 0, 0
+                elif total and (total + c > limit or weight + glue + n > bytes_limit):
+                    number, total, weight = number + 1, 0, 0
+                weight += n + (glue if total else 0)
+                total += c
+                numbers.append(number)
+            part["batch"] = numbers
+            yield part[[*names, "batch"]]
+
+    # a file of one chunk is read as a sorted stream
+    of_large = F.col(file).eqNullSafe(F.col("_f"))
+    streamed = lambda df: df.repartition(file).sortWithinPartitions(file, *order).mapInPandas(stream, schema)
+    if large.isEmpty():
+        return streamed(named)
+    whole = streamed(named.join(large, of_large, "left_anti"))
+    placed = numbered(named.join(large, of_large, "left_semi"), file, order, "_i").withColumn("_c", F.floor(F.col("_i") / F.lit(chunk)).cast("bigint"))
     kind = rows.schema[file].dataType.simpleString()
 
     def tables(part: pd.DataFrame) -> pd.DataFrame:
@@ -290,9 +314,7 @@ def batches(rows: DataFrame, file: str, order: list[str], size: str, limit: int,
         left["batch"] = (int(begin["number"]) + np.cumsum(marks)).astype(np.int32)
         return left[[*names, "batch"]]
 
-    names = rows.columns
     slim = placed.select(F.col(file).alias("f"), F.col("_c").alias("c"), "_i", "_size", "_count")
     told = slim.groupBy("f", "c").applyInPandas(tables, f"f {kind}, c bigint, sizes array<bigint>, counts array<bigint>, closes array<bigint>, total array<bigint>, weight array<bigint>")
     begun = told.groupBy("f").applyInPandas(entries, f"f {kind}, c bigint, number bigint, total bigint, weight bigint")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch int"
-    return placed.groupBy(file, "_c").cogroup(begun.groupBy("f", "c")).applyInPandas(run, schema)
+    return whole.unionByName(placed.groupBy(file, "_c").cogroup(begun.groupBy("f", "c")).applyInPandas(run, schema))
