@@ -10,6 +10,7 @@ from weftline.operators import alignment as A
 from weftline.operators import requests as R
 from weftline.operators import state as S
 from weftline.session import scratch, spread
+from weftline.sources import parsers as P
 from weftline.sources.parsers import parse_documents, round_trips
 from weftline.sources.tables import table
 from weftline.streaming import state as ST
@@ -26,6 +27,23 @@ def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("parser", "kind").agg(F.count_distinct("doc_id", "section", "block").alias("blocks"), F.count("*").alias("segments"), F.count_distinct("source_hash").alias("distinct_sources"))
 
 
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents", "doc_id", "text", "parser"), "doc_id")
+
+
+def document_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return P.document_tables(_parsed(spark, folder), "doc_id", "text", F.col("parser"))
+
+
+def document_constructs(spark: SparkSession, folder: str) -> DataFrame:
+    return P.document_constructs(_parsed(spark, folder), "doc_id", "text", F.col("parser"))
+
+
+def document_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose sentences, put back by their spans, are not all read again as they were."""
+    return P.rebuilt(_parsed(spark, folder), "doc_id", "text", F.col("parser")).filter("segments <> kept")
+
+
 def misaligned_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "segment_states", "path", "seg_id", "feed_id", "source", "translation")
     now = S.latest(rows, ["path", "seg_id"], "feed_id").withColumn("at", C.flat_index("seg_id"))
@@ -80,9 +98,10 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return ST.sessions(table(spark, folder, "events", "user_id", "ts")).select("user_id", "start", "events")
 
 
-QUERIES = {f.__name__: f for f in (document_segments, document_blocks, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (document_segments, document_blocks, document_tables, document_constructs, document_rebuilt, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
 
 ORACLE = {
+    "document_rebuilt": "select doc_id, 0::int as segments, 0::int as kept from documents where false",
     "document_round_trip": "select doc_id, true as same, true as spans_hold from documents where text is not null",
     "rendered_batches": "select path || '#' || regexp_replace(seg_id, '/seg:[^/]*$', '') as batch, split_part(split_part(seg_id, '/', 3), ':', 2)::int as pos, upper(source) as translation, 1 as attempts, []::varchar[] as issues from (select * from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1) where translation is null",
     "stream_latest_segments": "select path, seg_id, feed_id, source_hash, translated_at from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1",

@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_hash, normalize_inline, split_sentences
+from weftline.sources import dialects as X
 
 # The parser of each file extension; anything else is Markdown.
-EXTENSIONS = {"rmd": "rmarkdown", "csv": "csv", "bs": "bikeshed", "adoc": "asciidoc", "rst": "rst", "tex": "latex", "mdx": "mdx", "xhtml": "xhtml", "cnxml": "xhtml"}
+EXTENSIONS = {"rmd": "rmarkdown", "csv": "csv", "bs": "bikeshed", "adoc": "asciidoc", "rst": "rst", "tex": "latex", "mdx": "mdx", "xhtml": "xhtml", "cnxml": "cnxml", "ptx": "pretext"}
 OPAQUE = frozenset(("code", "rule", "html"))
 
 
@@ -489,8 +490,36 @@ def csv_fields(text: str) -> list[Block]:
     return blocks
 
 
-PARSERS: dict[str, Callable[[str], list[Block]]] = {"markdown": markdown, "asciidoc": asciidoc, "rst": rst, "latex": latex, "csv": csv_fields, "xhtml": html_runs, "html": html_runs} | {name: (lambda t, m=mask: markdown(t, m)) for name, mask in MASKS.items()}
-ALIASES = {"tex": "latex", "md": "markdown", "cnxml": "xhtml", "pretext": "xhtml", "pep": "rst", "mil": "rst", "mathematics_in_lean": "rst", "adoc": "asciidoc", "commonmark": "markdown"}
+# --- dialects of other parsers
+
+
+def vocabulary(name: str) -> Callable[[str], list[Block]]:
+    """A parser of an XML vocabulary."""
+    known = X.VOCABULARIES[name]
+    return lambda text: [Block(*b) for b in X.xml_blocks(text, known)]
+
+
+def rst_without(hidden: Callable[[str], list[tuple[int, int]]]) -> Callable[[str], list[Block]]:
+    """reStructuredText without some ranges, which read as white space."""
+    return lambda text: rst(blank(text, _disjoint(hidden(text))).replace("\0", " "))
+
+
+def pep_text(text: str) -> list[Block]:
+    """A proposal whose text blocks are prose, line by line."""
+    lines = X.pep_text_lines(text)
+    return rst_without(X.pep_hidden)(text) + [Block("paragraph", a, b) for a, b in lines]
+
+
+def latex_extended(text: str) -> list[Block]:
+    """LaTeX with titles of theorems, labels, boxes and reasons in formulas."""
+    own = latex(text)
+    offered = [b for b in own if b.offered]
+    extra = [Block("paragraph", a, b) for a, b in X.latex_extra(text) if not any(o.start <= a and b <= o.end for o in offered)]
+    return sorted(own + extra, key=lambda b: (b.start, b.end))
+
+
+PARSERS: dict[str, Callable[[str], list[Block]]] = {"markdown": markdown, "asciidoc": asciidoc, "rst": rst, "latex": latex, "csv": csv_fields, "xhtml": html_runs, "html": html_runs, "cnxml": vocabulary("cnxml"), "pretext": vocabulary("pretext"), "xhtml_strict": vocabulary("xhtml"), "pep": rst_without(X.pep_hidden), "pep_plaintext": rst_without(X.pep_plain_hidden), "pep_text": pep_text, "mathematics_in_lean": rst_without(X.lean_hidden), "latex_extended": latex_extended} | {name: (lambda t, m=mask: markdown(t, m)) for name, mask in MASKS.items()}
+ALIASES = {"tex": "latex", "md": "markdown", "mil": "mathematics_in_lean", "adoc": "asciidoc", "commonmark": "markdown"}
 
 
 def parser_by_name(name: str) -> Callable[[str], list[Block]]:
@@ -546,12 +575,24 @@ def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def reconstruct(text: str, found: list[Segment], translations: dict[str, str]) -> str:
-    """The document with its translated blocks; an untranslated sentence of such a block falls back to its source."""
+def reconstruct(text: str, found: list[Segment], translations: dict[str, str], parser: str = "markdown") -> str:
+    """The document with its translated blocks; an untranslated sentence of such a block falls back to its source.
+
+    Title underlines of reStructuredText and AsciiDoc are redrawn to the width of the new title, attributes of XML are escaped.
+    """
     by: dict[tuple[int, int], list[Segment]] = {}
     for s in found:
         by.setdefault((s.start, s.end), []).append(s)
-    edits = [(a, b, " ".join(translations.get(s.id, s.source) for s in group)) for (a, b), group in by.items() if any(s.id in translations for s in group)]
+    edits = []
+    for (a, b), group in by.items():
+        if not any(s.id in translations for s in group):
+            continue
+        new = " ".join(translations.get(s.id, s.source) for s in group)
+        if group[0].kind == "attribute":
+            new = X.escape_attribute(new)
+        elif group[0].kind == "heading" and parser in ("rst", "asciidoc", "pep"):
+            edits += X.adornments(text, a, b, new)
+        edits.append((a, b, new))
     return splice(text, edits)
 
 
@@ -607,3 +648,43 @@ def round_trips(documents: DataFrame, key: str, text: str, parser: Column) -> Da
             yield pd.DataFrame(rows, columns=[key, "same", "spans_hold"])
 
     return documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(parser).alias("p")).mapInPandas(run, f"`{key}` {kind}, same boolean, spans_hold boolean")
+
+
+def _rows(documents: DataFrame, key: str, text: str, parser: Column, schema: str, read: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """(key, ...) of what read gives for each text and its parser's name; null texts give nothing."""
+    kind = documents.schema[key].dataType.simpleString()
+    columns = [key, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *r) for k, t, name in zip(batch["k"], batch["t"], batch["p"]) if t is not None for r in read(t, ALIASES.get(name or "", name or ""))]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(parser).alias("p")).mapInPandas(run, f"`{key}` {kind}, {schema}")
+
+
+def document_tables(documents: DataFrame, key: str, text: str, parser: Column) -> DataFrame:
+    """(key, table_no, row_no, column_no, cell) of the tables of each document, read as grids; places covered by a span are empty."""
+
+    def read(t: str, name: str) -> list[tuple]:
+        return [(n, i, j, c) for n, grid in enumerate(X.TABLES.get(name, X.markdown_tables)(t)) for i, row in enumerate(grid) for j, c in enumerate(row)]
+
+    return _rows(documents, key, text, parser, "table_no int, row_no int, column_no int, cell string", read)
+
+
+def document_constructs(documents: DataFrame, key: str, text: str, parser: Column) -> DataFrame:
+    """(key, construct, n): constructs that the document's parser reads apart."""
+    return _rows(documents, key, text, parser, "construct string, n int", lambda t, name: sorted(X.constructs(t, name).items()))
+
+
+def rebuilt(documents: DataFrame, key: str, text: str, parser: Column) -> DataFrame:
+    """(key, segments, kept): each document with every sentence put in capitals, put together and parsed again; how many sentences come back as they were put in."""
+
+    def read(t: str, name: str) -> list[tuple]:
+        if name not in PARSERS:
+            return []
+        found = segments(t, PARSERS[name](t))
+        again = segments(out := reconstruct(t, found, {s.id: s.source for s in found}, name), PARSERS[name](out))
+        return [(len(found), sum(a.source == b.source for a, b in zip(found, again)))]
+
+    return _rows(documents, key, text, parser, "segments int, kept int", read)
