@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+from weftline.functions import formats as M
 from weftline.functions import text as X
 
 # --- inline scanners
@@ -155,16 +156,9 @@ def format_issues(source: str, rendering: str, markup: str = "markdown") -> list
     """Code, formulas, emphasis and line starts must be kept."""
     issues = []
     ours, theirs = [c for *_, c in code_spans(source)], [c for *_, c in code_spans(rendering)]
-    lost = X.multiset_difference(ours, theirs)
-    spare = X.multiset_difference(theirs, ours)
-    for c in lost:
-        # a code span may shed a plural
-        match = next((s for s in spare if s.rstrip("s") == c.rstrip("s")), None)
-        if match:
-            spare.remove(match)
-        else:
-            issues.append(f"code {c} is missing")
-    issues += [f"code {s} is new" for s in spare if not re.search(rf"(?<!\w){re.escape(s)}(?!\w)", source)]
+    lost, spare = M.unmatched_code(ours, theirs)
+    issues += [f"code {c} is missing" for c in lost]
+    issues += [f"code {c} is new" for c in spare if not M.written_as_text(source, c)]
     if markup in ("latex", "mkdocs", "rmarkdown", "myst"):
         issues += [f"formula {f} is missing" for f in X.multiset_difference(_MATH.findall(source), _MATH.findall(rendering))]
     if markup == "latex":
@@ -176,6 +170,9 @@ def format_issues(source: str, rendering: str, markup: str = "markdown") -> list
         (a, _), (b, stray) = emphasis(without_reference_labels(source)), emphasis(without_reference_labels(rendering))
         if len(b) < len(a):
             issues.append(f"{len(a) - len(b)} emphasis pairs are missing" + (", marks are blocked" if stray else ""))
+    issues += M.markup_issues(source, rendering, markup)
+    if markup == "rmarkdown":
+        issues += [f"token {t} is missing" for t in X.multiset_difference(X.preserved_tokens(source), X.preserved_tokens(rendering))]
     if (new := line_start_construct(rendering)) and new != line_start_construct(source):
         issues.append(f"the first characters open a {new}")
     return issues
@@ -249,11 +246,18 @@ def repair(markup: str, source: str, rendering: str) -> str:
         return repair_rst(rendering)
     if markup == "asciidoc":
         return repair_asciidoc(rendering)
+    if markup == "verso":
+        return M.restore_verso(source, rendering)
     if markup == "rmarkdown":
         rendering = repair_citations(rendering)
     return repair_emphasis(source, rendering) if markup not in ("latex", "xhtml") else rendering
 
 
+def construct_issues(source: str, rendering: str, markup: str = "markdown") -> list[str]:
+    """Only what concerns inline markup: code, formulas, emphasis and the markup's own pairs."""
+    return format_issues(source, rendering, markup)
+
+
 # --- inline tags
 
 _TAGGED = re.compile(r"<(/?)g(\d+)>|<x(\d+)/>")

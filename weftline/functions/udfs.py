@@ -60,17 +60,42 @@ def glossary_terms(glossary: G.Glossary):
 
 
 @F.pandas_udf(STRINGS)
-def quality_issues(source: pd.Series, rendering: pd.Series) -> pd.Series:
+def quality_issues(source: pd.Series, rendering: pd.Series, markup: pd.Series) -> pd.Series:
     from weftline.functions import quality
 
-    return pd.Series([None if s is None or r is None else quality.evaluate(s, r) for s, r in zip(source, rendering)], dtype=object)
+    return pd.Series([None if s is None or r is None else quality.evaluate(s, r, m or "markdown") for s, r, m in zip(source, rendering, markup)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
-def repaired_emphasis(source: pd.Series, rendering: pd.Series) -> pd.Series:
+def repaired(source: pd.Series, rendering: pd.Series, markup: pd.Series) -> pd.Series:
+    """The rendering after the repairs of its markup; as it is without a source."""
     from weftline.functions import quality
 
-    return pd.Series([r if s is None or r is None else quality.repair_emphasis(s, r) for s, r in zip(source, rendering)], dtype=object)
+    return pd.Series([r if s is None or r is None else quality.repair(m or "markdown", s, r) for s, r, m in zip(source, rendering, markup)], dtype=object)
+
+
+@F.pandas_udf(T.StructType().add("outcome", T.StringType()).add("text", T.StringType()).add("defects", STRINGS))
+def audited(source: pd.Series, rendering: pd.Series, markup: pd.Series) -> pd.DataFrame:
+    """Sound, Repaired or Unrepairable, with the text after repair and the defects; null where a side is null."""
+    from weftline.functions import formats, quality
+
+    rows = [(None, None, None) if s is None or r is None else formats.audit(m or "markdown", s, r, quality.construct_issues, quality.repair) for s, r, m in zip(source, rendering, markup)]
+    return pd.DataFrame(rows, columns=["outcome", "text", "defects"])
+
+
+@F.pandas_udf(T.StructType().add("tagged", T.StringType()).add("same", T.BooleanType()).add("prose", T.StringType()))
+def xml_tags(source: pd.Series) -> pd.DataFrame:
+    """An XML fragment with its elements as numbered tags, whether it comes back, and its visible text."""
+    from weftline.functions import formats, quality
+
+    rows = []
+    for s in source:
+        if s is None:
+            rows.append((None, None, None))
+        else:
+            text, tags = formats.xml_tagify(s)
+            rows.append((text, quality.untag(text, tags) == s, formats.xml_prose(s)))
+    return pd.DataFrame(rows, columns=["tagged", "same", "prose"])
 
 
 @F.pandas_udf(T.StringType())

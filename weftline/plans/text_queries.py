@@ -13,6 +13,7 @@ from weftline.operators import coverage as V
 from weftline.operators import tables as B
 from weftline.operators import terms as M
 from weftline.session import spread
+from weftline.sources.parsers import parser_column
 from weftline.sources.tables import table
 
 
@@ -176,19 +177,41 @@ def known_projects(spark: SparkSession, folder: str) -> DataFrame:
     return kind(a.intersect(b), "both").unionByName(kind(a.exceptAll(b), "documents")).unionByName(kind(b.exceptAll(a), "registry"))
 
 
+def _translated(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "segment_states", "feed_id", "path", "source", "translation"), "feed_id").filter("translation is not null")
+    return rows.withColumn("markup", parser_column(F.col("path")))
+
+
 def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues of every translated segment against its source."""
-    rows = spread(table(spark, folder, "segment_states", "feed_id", "source", "translation"), "feed_id").filter("translation is not null")
-    return rows.select("feed_id", F.explode(U.quality_issues("source", "translation")).alias("issue"))
+    """Issues of every translated segment against its source, by the rules of its file's markup."""
+    return _translated(spark, folder).select("feed_id", F.explode(U.quality_issues("source", "translation", "markup")).alias("issue"))
 
 
 def quality_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of each candidate without an issue."""
     rows = spread(table(spark, folder, "translation_pairs", "pair_id", "candidate", "source", "translation"), "pair_id")
-    found = rows.withColumn("issues", F.size(F.coalesce(U.quality_issues("source", "translation"), F.array(F.lit("missing")))))
+    found = rows.withColumn("issues", F.size(F.coalesce(U.quality_issues("source", "translation", F.lit("markdown")), F.array(F.lit("missing")))))
     return found.groupBy("candidate").agg(F.count("*").alias("pairs"), F.count_if(F.col("issues") == 0).alias("passed"))
 
 
+def repaired_translations(spark: SparkSession, folder: str) -> DataFrame:
+    """Translations that the repairs of their markup change, as they are after it."""
+    rows = _translated(spark, folder).withColumn("repaired", U.repaired("source", "translation", "markup"))
+    return rows.filter(F.col("repaired") != F.col("translation")).select("feed_id", "markup", "repaired")
+
+
+def inline_audits(spark: SparkSession, folder: str) -> DataFrame:
+    """How the inline markup of the translations stands, by markup: sound, repaired, or beyond repair."""
+    found = _translated(spark, folder).select("markup", U.audited("source", "translation", "markup")["outcome"].alias("outcome"))
+    return found.groupBy("markup", "outcome").agg(F.count("*").alias("segments"))
+
+
+def xml_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document of an XML markup is itself again after its elements were turned into tags and back."""
+    rows = spread(table(spark, folder, "documents", "doc_id", "text", "parser").filter("parser = 'xhtml' and text is not null"), "doc_id")
+    return rows.select("doc_id", U.xml_tags("text")["same"].alias("same"))
+
+
 def inline_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks with their inline markup as numbered tags."""
     rows = spread(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id")
@@ -212,7 +235,7 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return B.table_groups(cells, ["raw_id", "table_no"])
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, inline_tags, inline_round_trip, table_cells, table_headers)}
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -234,6 +257,7 @@ select raw_id, table_no, table_row, (generate_subscripts(cells, 1) - 1)::int as
 """
 
 ORACLE = {
+    "xml_round_trip": "select doc_id, true as same from documents where parser = 'xhtml' and text is not null",
     "inline_round_trip": "select raw_id, case when source is not null then true end as same from raw_blocks",
     "table_cells": f"select raw_id, table_no, table_row, \"column\", text, label_row, label_row or \"column\" <> 1 as offered from {_CELLS}",
     "table_headers": f"select raw_id, table_no, list(text order by \"column\") filter (where label_row) as headers, max(\"column\") + 1 as columns, max(table_row) + 1 as rows from {_CELLS} group by 1, 2",
