@@ -53,14 +53,14 @@ def unmatched_code(ours: list[str], theirs: list[str]) -> tuple[list[str], list[
 
 # --- AsciiDoc: constrained marks close only where no word touches them
 
-_CONSTRAINED = {m: re.compile(rf"(?<![\w\"'{re.escape(m)}]){re.escape(m)}(?![\s{re.escape(m)}])([^{re.escape(m)}\n]*?[^\s{re.escape(m)}]){re.escape(m)}(?!{re.escape(m)})(?P<after>.?)", re.DOTALL) for m in "`*_#"}
+CONSTRAINED = {m: re.compile(rf"(?<![\w\"'{re.escape(m)}]){re.escape(m)}(?![\s{re.escape(m)}])([^{re.escape(m)}\n]*?[^\s{re.escape(m)}]){re.escape(m)}(?!{re.escape(m)})(?P<after>.?)", re.DOTALL) for m in "`*_#"}
 _QUOTED = re.compile(r"([\"'])`(.+?)`\1(?P<after>.?)", re.DOTALL)
 
 
 def unclosable_pairs(text: str) -> list[str]:
     """Pairs of single marks that open but are held open by the word or quote after them, with that character. Doubled marks pair anywhere."""
     found = []
-    for pattern in _CONSTRAINED.values():
+    for pattern in CONSTRAINED.values():
         for m in pattern.finditer(_QUOTED.sub(lambda q: " " * len(q[0]), text)):
             if m["after"] and (m["after"].isalnum() or m["after"] in "_\"'"):
                 found.append(m[0])

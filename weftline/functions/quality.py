@@ -232,8 +232,10 @@ def repair_rst(rendering: str) -> str:
 
 
 def repair_asciidoc(rendering: str) -> str:
-    """Constrained marks doubled where a letter touches them."""
-    return re.sub(r"(?<![\w*_`])([*_`])(?!\1)([^*_`\n]+)\1(?=[가-힣A-Za-z0-9])", r"\1\1\2\1\1", rendering)
+    """Constrained marks doubled where a word touches them."""
+    for mark, pattern in M.CONSTRAINED.items():
+        rendering = pattern.sub(lambda m, c=mark: f"{c * 2}{m[1]}{c * 2}{m['after']}" if m["after"] and (m["after"].isalnum() or m["after"] in "_\"'") else m[0], rendering)
+    return rendering
 
 
 def repair_citations(rendering: str) -> str:

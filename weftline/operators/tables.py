@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import keeps_column, matches_headers
+from weftline.sources.scan import glob_regex
 
 
 def table_groups(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -28,6 +29,28 @@ def apply_rules(cells: DataFrame, by: list[str], rules: list[dict]) -> DataFrame
     return joined.withColumn("offered", offered & (F.col("label_row") | keep)).drop("headers")
 
 
+def rule_applies(rule: dict, path: Column) -> Column:
+    """Whether a rule's `files` glob takes a path, as a whole or by its last name; a rule without one takes every file."""
+    glob = rule.get("files")
+    if not glob:
+        return F.lit(True)
+    regex = glob_regex(glob)
+    return path.rlike(regex) | F.regexp_extract(path, r"([^/]*)$", 1).rlike(regex)
+
+
+def apply_file_rules(cells: DataFrame, by: list[str], path: str, rules: list[dict]) -> DataFrame:
+    """apply_rules with rules that name files: to each table the rules apply that take its file, in their order."""
+    headers = table_groups(cells, by).select(*by, "headers")
+    joined = cells.join(headers, by, "left")
+    name = F.get(F.col("headers"), F.col("column"))
+    keep: Column = F.lit(True)
+    for rule in reversed(rules):
+        hit = F.size("headers") == 0 if rule.get("headerless") else matches_headers(rule.get("headers", []), "headers")
+        keep = F.when(hit & rule_applies(rule, F.col(path)), keeps_column(F.col("column"), name, rule.get("translate", []), rule.get("skip", []))).otherwise(keep)
+    offered = F.coalesce(F.col("offered"), F.lit(True)) if "offered" in cells.columns else F.lit(True)
+    return joined.withColumn("offered", offered & (F.col("label_row") | keep)).drop("headers")
+
+
 def table_profile(cells: DataFrame, by: list[str], samples: int = 3) -> DataFrame:
     """(by, column, cells, excluded, samples): how many cells of each column are offered, and its first texts (a report, so the limit is the feature)."""
     body = cells.filter(~F.col("label_row"))

@@ -44,6 +44,11 @@ def document_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
     return P.rebuilt(_parsed(spark, folder), "doc_id", "text", F.col("parser")).filter("segments <> kept")
 
 
+def document_line_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each document carried to a copy of itself, where each must stay in its place."""
+    return P.line_maps(_parsed(spark, folder).withColumn("copy", F.col("text")), "doc_id", "text", "copy", F.col("parser"))
+
+
 def misaligned_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "segment_states", "path", "seg_id", "feed_id", "source", "translation")
     now = S.latest(rows, ["path", "seg_id"], "feed_id").withColumn("at", C.flat_index("seg_id"))
@@ -98,9 +103,10 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return ST.sessions(table(spark, folder, "events", "user_id", "ts")).select("user_id", "start", "events")
 
 
-QUERIES = {f.__name__: f for f in (document_segments, document_blocks, document_tables, document_constructs, document_rebuilt, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (document_segments, document_blocks, document_tables, document_constructs, document_rebuilt, document_line_maps, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
 
 ORACLE = {
+    "document_line_maps": "select doc_id, n::int as line, n::int as to_line from (select doc_id, unnest(range(0, length(text) - length(replace(text, chr(10), '')) + 1)) as n from documents where text is not null)",
     "document_rebuilt": "select doc_id, 0::int as segments, 0::int as kept from documents where false",
     "document_round_trip": "select doc_id, true as same, true as spans_hold from documents where text is not null",
     "rendered_batches": "select path || '#' || regexp_replace(seg_id, '/seg:[^/]*$', '') as batch, split_part(split_part(seg_id, '/', 3), ':', 2)::int as pos, upper(source) as translation, 1 as attempts, []::varchar[] as issues from (select * from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1) where translation is null",

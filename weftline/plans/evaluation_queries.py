@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
 from weftline.functions import udfs as U
 from weftline.operators import evaluation as E
+from weftline.operators import gating as G
+from weftline.operators import models as M
+from weftline.operators import reports as R
 from weftline.plans.sql_hash import with_xxh64
+from weftline.session import spread
 from weftline.sources.tables import table
 
 
@@ -199,7 +203,68 @@ def report_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return E.decision(gate_rates(spark, folder), win_rates(spark, folder), base["baseline"] if base else "")
 
 
-QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issue_patterns, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions)}
+def block_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Presence, alert markers and length of every block of every output, first replies and final texts."""
+    return G.block_checks(table(spark, folder, "eval_outputs"), table(spark, folder, "eval_items"), 0.22)
+
+
+def block_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """All checks of every block."""
+    rows = G.block_gates(spread(table(spark, folder, "eval_outputs"), "item"), table(spark, folder, "eval_items"), 0.22)
+    return rows.select("out_id", "variant", "block", "passed", F.array_join(F.array_sort(F.map_keys(F.map_filter("checks", lambda k, ok: ~ok))), " ").alias("failed"), "repaired")
+
+
+def gate_report(spark: SparkSession, folder: str) -> DataFrame:
+    return R.gate_table(gate_rates(spark, folder))
+
+
+def viewer_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """How many blocks and candidates the side-by-side page of each item shows."""
+    pages = R.viewer_pages(table(spark, folder, "eval_items"), table(spark, folder, "eval_outputs"))
+    return pages.select("item", F.json_array_length(F.get_json_object("page", "$.blocks")).alias("blocks"), F.json_array_length(F.get_json_object("page", "$.sides")).alias("candidates"))
+
+
+def judging_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """What is still to be judged: picks by judges and orders without a reply that stands."""
+    pairs = table(spark, folder, "judge_pairs", "pick_id", "baseline", "candidate", "judge", "judge_model", "shown_order", "error")
+    return M.judging_plan(pairs, pairs.filter("judge is not null and judge_model is not null"), pairs)
+
+
+def judged_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of each item judged between the two candidates with the first names, in both orders, by a deterministic judge for which the longer text wins."""
+    outs = table(spark, folder, "eval_outputs", "out_id", "item", "candidate", "repeat_no", "finals").filter("repeat_no = 0")
+    texts = G.variants(outs.withColumn("first_replies", F.create_map().cast("map<int,string>"))).filter("variant = 'final'").groupBy("item", "candidate").agg(F.max_by("texts", "out_id").alias("texts"))
+    names = _candidates(spark, folder)[:2]
+    if len(names) < 2:
+        return table(spark, folder, "judge_pairs", "pick_id").limit(0).select(F.lit("").alias("item"), F.lit("").alias("shown_order"), F.lit("").alias("overall"), F.lit(0).alias("attempts"))
+    joined = F.array_join(F.map_values("texts"), " ")
+    one, two = (texts.filter(F.col("candidate") == n).select("item", joined.alias(c)) for n, c in zip(names, ("baseline_text", "candidate_text")))
+    sources = G.item_segments(table(spark, folder, "eval_items")).groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source"))), lambda s: s["source"]), " ").alias("source"))
+    rows = one.join(two, "item").join(sources, "item").select(F.col("item").alias("pick_id"), F.lit(names[0]).alias("baseline"), F.lit(names[1]).alias("candidate"), F.lit("length").alias("judge"), F.lit("fixed").alias("judge_model"), F.explode(F.array(F.lit("AB"), F.lit("BA"))).alias("shown_order"), "source", "baseline_text", "candidate_text")
+    found = M.judge(rows, M.HashJudge)
+    return found.select(F.col("pick_id").alias("item"), "shown_order", F.col("verdicts.overall").alias("overall"), "attempts")
+
+
+def changed_translations(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries that give a segment of the same source another translation, with the one before: what was mended."""
+    rows = table(spark, folder, "segment_states", "feed_id", "path", "seg_id", "source", "source_hash", "translation").filter("translation is not null")
+    w = Window.partitionBy("path", "seg_id").orderBy("feed_id")
+    near = rows.withColumn("was", F.lag(F.struct("source_hash", "translation")).over(w))
+    return near.filter((F.col("was.source_hash") == F.col("source_hash")) & (F.col("was.translation") != F.col("translation"))).select("feed_id", "source", F.col("translation").alias("mended"), F.col("was.translation").alias("bad"))
+
+
+def hard_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of evaluation items whose source had a translation mended: the latest mended and the bad one beside them."""
+    fixes = changed_translations(spark, folder).groupBy("source").agg(F.max_by(F.struct("mended", "bad"), "feed_id").alias("f"))
+    return G.item_segments(table(spark, folder, "eval_items")).join(fixes, "source").select("item", "block", "pos", "f.mended", "f.bad")
+
+
+def nontrivial_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with any segment that is not trivial."""
+    return G.item_segments(table(spark, folder, "eval_items")).groupBy("item").agg(F.max((~C.trivial("source")).cast("int")).alias("n")).filter("n = 1").select("item")
+
+
+QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issue_patterns, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions, block_checks, block_gates, gate_report, viewer_pages, judging_plan, judged_pairs, changed_translations, hard_items, nontrivial_items)}
 
 _LAST = """
 (select pick_id as pick, judge, judge_model as model, baseline, candidate, shown_order, side from (
@@ -308,5 +373,40 @@ r as ({ORACLE["gate_rates"]}), w as ({_tally("baseline, candidate")}),
 g as (select r.candidate, bool_and(r.rate >= o.rate) as gates_hold from r join r o on o.variant = r.variant and o.candidate = (select b from base) where r.candidate <> (select b from base) group by 1)
 select g.candidate, gates_hold, coalesce(w.low > 0.5, false) as judges_hold from g left join w on w.candidate = g.candidate and w.baseline = (select b from base)
 """
+_SEGS = f"(select item, block, s.index as pos, s.source as source from (select item, block, unnest(segments) as s from {_BLOCKS}))"
+_TEXTS = """(select out_id, item, 'first' as variant, e.key as pos, e.value as t from (select out_id, item, unnest(map_entries(first_replies)) as e from eval_outputs)
+union all select out_id, item, 'final', e.key, e.value.translation from (select out_id, item, unnest(map_entries(finals)) as e from eval_outputs))"""
+_SENTS = "greatest(1, len(regexp_extract_all({0} || ' ', '(?:^|[^0-9.?!。])[.?!。]\\s|[^0-9][.?!。]\\s')))"
+_MARKS = "list_sort(regexp_extract_all({0}, '\\[![^\\]]*\\]?'))"
+_CHANGED = """
+select feed_id, source, translation as mended, bad from (
+  select *, lag(translation) over w as bad, lag(source_hash) over w as h from segment_states where translation is not null window w as (partition by path, seg_id order by feed_id))
+where h = source_hash and bad <> translation
+"""
+ORACLE |= {
+    "block_checks": f"""
+with o as (select out_id, item, unnest(['first', 'final']) as variant from eval_outputs),
+r as (select o.out_id, o.variant, s.block, s.source, x.t from o join {_SEGS} s using (item) left join {_TEXTS} x on x.out_id = o.out_id and x.variant = o.variant and x.pos = s.pos)
+select out_id, variant, block, bool_and(t is not null) as present,
+  bool_and(coalesce(list_filter({_MARKS.format("source")}, lambda m: m in ('[!NOTE]', '[!TIP]', '[!IMPORTANT]', '[!WARNING]', '[!CAUTION]')) = {_MARKS.format("t")}, true)) as markers,
+  bool_and(not coalesce(t is not null and length(source) >= 40 and (length(t) / length(source) < 0.22 or ({_SENTS.format("source")} >= 2 and {_SENTS.format("t")} * 2 < {_SENTS.format("source")})), false)) as whole
+from r group by all
+""",
+    "gate_report": f"""
+with r as ({ORACLE["gate_rates"]}),
+c as (select candidate, sum(passed) filter (where variant = 'first') as a, sum(rows) filter (where variant = 'first') as b, sum(passed) filter (where variant = 'final') as c, sum(rows) filter (where variant = 'final') as d from r group by 1),
+t as (select candidate, case when coalesce(b, 0) = 0 then '—' else format('{{:.1f}}% ({{}}/{{}})', a * 100.0 / b, a, b) end as first, case when coalesce(d, 0) = 0 then '—' else format('{{:.1f}}% ({{}}/{{}})', c * 100.0 / d, c, d) end as final from c)
+select candidate, first, final, '| ' || coalesce(candidate, '') || ' | ' || first || ' | ' || final || ' |' as line from t
+""",
+    "viewer_pages": "select i.item, len(i.blocks)::int as blocks, count(distinct o.candidate)::int as candidates from eval_items i left join (select * from eval_outputs where repeat_no = 0) o using (item) group by i.item, i.blocks",
+    "judging_plan": """
+with p as (select distinct pick_id, baseline, candidate from judge_pairs), j as (select distinct judge, judge_model from judge_pairs where judge is not null and judge_model is not null)
+select p.pick_id, p.baseline, p.candidate, j.judge, j.judge_model, o.shown_order from p cross join j cross join (select unnest(['AB', 'BA']) as shown_order) o
+where not exists (select 1 from judge_pairs d where d.error is null and d.pick_id = p.pick_id and d.baseline = p.baseline and d.candidate = p.candidate and d.judge = j.judge and d.judge_model = j.judge_model and d.shown_order = o.shown_order)
+""",
+    "changed_translations": _CHANGED,
+    "hard_items": f"with f as (select source, arg_max(struct_pack(m := mended, b := bad), feed_id) as f from ({_CHANGED}) group by 1) select item, block, pos, f.m as mended, f.b as bad from {_SEGS} s join f using (source)",
+    "nontrivial_items": "select distinct item from " + _SEGS + " where not (length(source) < 20 or length(regexp_replace(regexp_replace(regexp_replace(source, '`[^`]*(`|$)', '', 'g'), '\\]\\([^)]*(\\)|$)', '', 'g'), '[^\\p{L}]', '', 'g')) < 12)",
+}
 # DuckDB's edit distance counts bytes, so that query has no SQL.
 ORACLE = {k: v for k, v in ORACLE.items() if k != "segment_references"}

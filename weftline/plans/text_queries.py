@@ -139,6 +139,28 @@ def glossary_stale(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("used", U.glossary_terms(glossary)("source")).filter(snapshot_stale(F.col("glossary_snapshot"), F.col("used"))).select("feed_id")
 
 
+def adopted_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Translated states with a stale snapshot or a glossary issue, and what becomes of them."""
+    from weftline.operators import adoption
+
+    rows = spread(table(spark, folder, "segment_states", "feed_id", "source", "translation", "glossary_snapshot", "issues"), "feed_id")
+    return adoption.adopt(rows, _glossary(spark, folder), ["feed_id"])
+
+
+def adoption_summary(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.operators import adoption
+
+    return adoption.summary(adopted_states(spark, folder))
+
+
+def screened_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Recurring words of the sources, screened in batches by a deterministic model that picks those of 100 occurrences and more."""
+    from weftline.operators import models
+
+    terms = bigram_counts(spark, folder).select(F.col("ngram").alias("term"), "n")
+    return models.screen_terms(terms, lambda: models.ScreeningProvider(100))
+
+
 def _grams(spark: SparkSession, folder: str) -> DataFrame:
     return M.ngrams(spread(table(spark, folder, "segment_states", "feed_id", "source"), "feed_id"), "feed_id", "source")
 
@@ -235,7 +257,7 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return B.table_groups(cells, ["raw_id", "table_no"])
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, adopted_states, adoption_summary, screened_terms, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -319,3 +341,4 @@ union all select project, 'documents' from a where project not in (select projec
 union all select project, 'registry' from b where project not in (select project from a)
 """,
 }
+ORACLE["screened_terms"] = f"select ngram as term, n >= 100 as picked from ({ORACLE['bigram_counts']})"

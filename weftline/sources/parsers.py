@@ -688,3 +688,24 @@ def rebuilt(documents: DataFrame, key: str, text: str, parser: Column) -> DataFr
         return [(len(found), sum(a.source == b.source for a, b in zip(found, again)))]
 
     return _rows(documents, key, text, parser, "segments int, kept int", read)
+
+
+def line_maps(documents: DataFrame, key: str, source: str, translated: str, parser: Column) -> DataFrame:
+    """(key, line, to_line): where each line of a source stands in its translation; a pair whose blocks do not go together gives none."""
+    from weftline.functions.includes import LineMap
+
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, a, b, name in zip(batch["k"], batch["a"], batch["b"], batch["p"]):
+                parse = PARSERS.get(ALIASES.get(name or "", name or ""))
+                if a is None or b is None or parse is None:
+                    continue
+                known = LineMap.between(a, [(x.kind, x.start, x.end) for x in parse(a)], b, [(x.kind, x.start, x.end) for x in parse(b)])
+                if known is not None:
+                    rows += [(k, n, known.line(n)) for n in range(a.count("\n") + 1)]
+            yield pd.DataFrame(rows, columns=[key, "line", "to_line"])
+
+    return documents.select(F.col(key).alias("k"), F.col(source).alias("a"), F.col(translated).alias("b"), F.lower(parser).alias("p")).mapInPandas(run, f"`{key}` {kind}, line int, to_line int")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,3 +125,46 @@ def read_written_states(spark: SparkSession, target: str) -> DataFrame:
     """What write_states saved; hashes above 2^63 stay whole."""
     return spark.read.schema("path string, seg_id string, feed_id bigint, source_hash decimal(20,0), context_hash decimal(20,0), translation string, translated_at timestamp, place bigint").json(target)
 
+
+def toml_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, section, term, kind, translation, note, excepts) of glossary and term-base files: tables [terms.X] and [whole.X], and the lists of [rejected], whose entries have no translation. A malformed file is an error."""
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tomllib
+
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch["file"], batch["value"]):
+                data = tomllib.loads(text)
+                for section in ("terms", "whole"):
+                    for term, e in sorted(data.get(section, {}).items()):
+                        e = e if isinstance(e, dict) else {"translation": e}
+                        rows.append((file, section, term, e.get("kind"), e.get("translation"), e.get("note"), list(e.get("except", []))))
+                for section, names in sorted(data.get("rejected", {}).items()):
+                    rows += [(file, f"rejected {section}", n, None, None, None, []) for n in sorted(names)]
+            yield pd.DataFrame(rows, columns=["file", "section", "term", "kind", "translation", "note", "excepts"])
+
+    return texts.mapInPandas(run, "file string, section string, term string, kind string, translation string, note string, excepts array<string>")
+
+
+def revision_files(spark: SparkSession, repository: str, revision: str, paths: list[str]) -> DataFrame:
+    """(path, content) of files as a git revision holds them; content is null for a path it lacks. Executors must see the repository."""
+    schema = "path string, content string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import subprocess
+
+        for batch in batches:
+            found = [subprocess.run(["git", "-C", repository, "show", f"{revision}:{p}"], capture_output=True) for p in batch["path"]]
+            yield pd.DataFrame({"path": batch["path"], "content": [f.stdout.decode("utf-8", "replace") if f.returncode == 0 else None for f in found]})
+
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64)).mapInPandas(run, schema)
+
+
+def revision_states(spark: SparkSession, repository: str, revision: str, paths: list[str]) -> DataFrame:
+    """(path, id, source_hash, translation) of the segments that state files hold at a revision; files that the revision lacks give none."""
+    files = revision_files(spark, repository, revision, paths).filter("content is not null")
+    return files.select("path", F.explode(F.from_json("content", STATE)["segments"]).alias("s")).select("path", "s.id", "s.source_hash", "s.translation")
