@@ -156,3 +156,12 @@ def test_toml_and_revisions(spark, tmp_path):
         git("commit", "-qm", "x")
     for revision, want in (("HEAD~1", "가"), ("HEAD", "나")):
         assert [(r.path, int(r.source_hash), r.translation) for r in scan.revision_states(spark, str(tmp_path), revision, ["s.json", "none.json"]).collect()] == [("s.json", 2**64 - 1, want)]
+
+
+def test_patches_and_json_lines(spark, tmp_path):
+    (tmp_path / "a.patch").write_text("--- a/x.md\n+++ b/x.md\n@@ -1 +1 @@\n-a\n+b\n--- a/gone.md\n+++ /dev/null\n")
+    assert [r.target for r in scan.patched_files(spark, f"file://{tmp_path}/a.patch").collect()] == ["x.md", "gone.md"]
+    rows = spark.createDataFrame([(1, "가"), (2, None)], "n int, t string")
+    scan.write_json_lines(rows, f"file://{tmp_path}/rows")
+    assert {tuple(r) for r in scan.json_lines(spark, f"file://{tmp_path}/rows", "n int, t string").select("n", "t").collect()} == {(1, "가"), (2, None)}
+    assert "wait for the heap" in M.decide_prompt(["heap"], [[]], examples={"heap": "They wait for the heap now."})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections import Counter
@@ -284,10 +283,6 @@ def preserved_tokens(text: str) -> list[str]:
     return [text[a:b] for a, b in math_spans(text)] + re.findall(r"\\@ref\([^)]*\)|(?<![\w@])\[?-?@[A-Za-z][\w:.#$%&+?<>~/-]*\w|`r [^`]+`", text)
 
 
-def entity_decode(text: str) -> str:
-    return html.unescape(text)
-
-
 # --- register
 
 

@@ -29,12 +29,7 @@ def _mapped(fn: Callable, kind: T.DataType):
 
 content_hash = _mapped(lambda t: Decimal(X.content_hash(t)), HASH)
 sentences = _mapped(X.split_sentences, STRINGS)
-display_width = _mapped(X.display_width, T.IntegerType())
-normalize_inline = _mapped(X.normalize_inline, T.StringType())
-urls = _mapped(X.extract_urls, STRINGS)
-destinations = _mapped(X.markdown_destinations, STRINGS)
 off_register = _mapped(X.off_register_endings, STRINGS)
-prose_chunks = _mapped(G.prose_chunks, T.ArrayType(STRINGS))
 
 
 @F.pandas_udf(HASH)

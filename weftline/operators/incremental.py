@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import canonical_json
+
 #: Runs of a log that one step takes when it works off a backlog. Each stays a window of its own; only the commit is shared.
 RUNS_A_STEP = 16
 #: Steps after which the state is written as a whole, so that a step needn't read all output before it.
@@ -57,7 +59,7 @@ class WatermarkRunner:
     def _publish(self, number: int, commit: dict) -> None:
         draft, final = self._path(f"{self.folder}/commits/.{commit['attempt']}"), self._path(f"{self.folder}/commits/{number}.json")
         out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(commit).encode()))
+        out.write(bytearray(canonical_json(commit).encode()))
         out.close()
         never = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
         never[0] = self._hadoop.Options.Rename.NONE

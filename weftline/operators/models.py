@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import content_hash, rotate_drafts
+from weftline.functions.text import content_hash, rotate_drafts, snippet
 from weftline.operators.requests import Provider, build_prompt, parse_reply
 
 # The company behind each type of provider.
@@ -71,8 +71,9 @@ def screen_terms(terms: DataFrame, make: Callable[[], Provider], size: int = SCR
     return lists.select("terms").mapInPandas(run, "term string, picked boolean")
 
 
-def decide_prompt(terms: list[str], fixed: list[list[tuple[str, str]]], target_lang: str = "ko") -> str:
-    lines = [f"[{k}] {t}" + (" (" + ", ".join(f"{a} = {b}" for a, b in parts) + ")" if parts else "") for k, (t, parts) in enumerate(zip(terms, fixed), 1)]
+def decide_prompt(terms: list[str], fixed: list[list[tuple[str, str]]], target_lang: str = "ko", examples: dict[str, str] | None = None) -> str:
+    """Numbered terms with the fixed renderings of their parts; under each an excerpt of a text that uses it, if there is one."""
+    lines = [f"[{k}] {t}" + (" (" + ", ".join(f"{a} = {b}" for a, b in parts) + ")" if parts else "") + (f"\n    {snippet(examples[t], t, 80)}" if t in (examples or {}) else "") for k, (t, parts) in enumerate(zip(terms, fixed), 1)]
     return f"Give one rendering in {target_lang} of each numbered term, or - where it should not be fixed.\n\n" + "\n".join(lines)
 
 

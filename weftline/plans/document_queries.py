@@ -9,6 +9,7 @@ from weftline.functions import columns as C
 from weftline.operators import alignment as A
 from weftline.operators import requests as R
 from weftline.operators import state as S
+from weftline.plans.text_queries import _CELLS
 from weftline.session import scratch, spread
 from weftline.sources import parsers as P
 from weftline.sources.parsers import parse_documents, round_trips
@@ -35,6 +36,12 @@ def document_tables(spark: SparkSession, folder: str) -> DataFrame:
     return P.document_tables(_parsed(spark, folder), "doc_id", "text", F.col("parser"))
 
 
+def block_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of raw blocks, by the rules of Markdown."""
+    rows = spread(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id")
+    return P.document_tables(rows, "raw_id", "source", F.lit("markdown"))
+
+
 def document_constructs(spark: SparkSession, folder: str) -> DataFrame:
     return P.document_constructs(_parsed(spark, folder), "doc_id", "text", F.col("parser"))
 
@@ -103,9 +110,10 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return ST.sessions(table(spark, folder, "events", "user_id", "ts")).select("user_id", "start", "events")
 
 
-QUERIES = {f.__name__: f for f in (document_segments, document_blocks, document_tables, document_constructs, document_rebuilt, document_line_maps, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (document_segments, document_blocks, document_tables, block_tables, document_constructs, document_rebuilt, document_line_maps, misaligned_segments, misaligned_shifted, document_round_trip, rendered_batches, stream_latest_segments, event_job_states, event_windows, event_sessions)}
 
 ORACLE = {
+    "block_tables": f"select raw_id, table_no - 1 as table_no, table_row as row_no, \"column\" as column_no, text as cell from {_CELLS}",
     "document_line_maps": "select doc_id, n::int as line, n::int as to_line from (select doc_id, unnest(range(0, length(text) - length(replace(text, chr(10), '')) + 1)) as n from documents where text is not null)",
     "document_rebuilt": "select doc_id, 0::int as segments, 0::int as kept from documents where false",
     "document_round_trip": "select doc_id, true as same, true as spans_hold from documents where text is not null",

@@ -408,5 +408,15 @@ where not exists (select 1 from judge_pairs d where d.error is null and d.pick_i
     "hard_items": f"with f as (select source, arg_max(struct_pack(m := mended, b := bad), feed_id) as f from ({_CHANGED}) group by 1) select item, block, pos, f.m as mended, f.b as bad from {_SEGS} s join f using (source)",
     "nontrivial_items": "select distinct item from " + _SEGS + " where not (length(source) < 20 or length(regexp_replace(regexp_replace(regexp_replace(source, '`[^`]*(`|$)', '', 'g'), '\\]\\([^)]*(\\)|$)', '', 'g'), '[^\\p{L}]', '', 'g')) < 12)",
 }
+ORACLE["judged_pairs"] = f"""
+with n as (select list(candidate order by candidate) as n from (select distinct candidate from gate_rows)),
+o as (select item, candidate, arg_max(map_entries(finals), out_id) as f from eval_outputs where repeat_no = 0 group by 1, 2),
+t as (select item, candidate, array_to_string(list_transform(f, lambda e: e.value.translation), ' ') as t from o where f is not null),
+p as (select x.item, x.t as a, y.t as b from t x join t y using (item), n where x.candidate = n.n[1] and y.candidate = n.n[2]),
+r as (select item, 'AB' as shown_order, coalesce(a, '') as one, coalesce(b, '') as two, true as first from p union all select item, 'BA', coalesce(b, ''), coalesce(a, ''), false from p),
+h as ({with_xxh64("(select *, one || two as _t from r)", "_t", "_h")}),
+v as (select *, case when length(one) > length(two) then 'A' when length(two) > length(one) then 'B' when one = two then 'tie' when _h % 2 = 0 then 'A' else 'B' end as answer from h)
+select item, shown_order, case when answer = 'tie' then 'tie' when (answer = 'A') = first then 'baseline' else 'candidate' end as overall, 1 as attempts from v
+"""
 # DuckDB's edit distance counts bytes, so that query has no SQL.
 ORACLE = {k: v for k, v in ORACLE.items() if k != "segment_references"}

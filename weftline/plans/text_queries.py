@@ -342,3 +342,8 @@ union all select project, 'registry' from b where project not in (select project
 """,
 }
 ORACLE["screened_terms"] = f"select ngram as term, n >= 100 as picked from ({ORACLE['bigram_counts']})"
+ORACLE["off_register"] = """
+with t as (select feed_id, regexp_extract(unnest(string_split(translation, '.')), '[가-힣]+$') as t from segment_states where translation is not null and regexp_matches(source, '\\.\\s*$'))
+select feed_id, '…' || right(t, 6) || '.' as ending from t where t <> '' and (regexp_matches(t, '(세요|어요|아요|해요|예요|에요|네요|지요|죠)$')
+  or (t like '%다' and not (t like '%니다' or t like '%읍시다' or (t like '%시다' and length(t) > 2 and (unicode(substr(t, -3, 1)) - 44032) % 28 = 17))))
+"""

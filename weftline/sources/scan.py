@@ -168,3 +168,16 @@ def revision_states(spark: SparkSession, repository: str, revision: str, paths:
     """(path, id, source_hash, translation) of the segments that state files hold at a revision; files that the revision lacks give none."""
     files = revision_files(spark, repository, revision, paths).filter("content is not null")
     return files.select("path", F.explode(F.from_json("content", STATE)["segments"]).alias("s")).select("path", "s.id", "s.source_hash", "s.translation")
+
+
+def patched_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, target): the paths that each unified diff touches, once each."""
+    from weftline.functions.text import patch_targets
+
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(f, t) for f, v in zip(batch["file"], batch["value"]) for t in patch_targets(v)], columns=["file", "target"])
+
+    return texts.mapInPandas(run, "file string, target string")
