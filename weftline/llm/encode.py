@@ -132,3 +132,17 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[key, "ids"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def decoded(df: DataFrame, key: str, ids: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """(key, same): whether the ids of every row stand for the bytes of its text; a null text stands for an empty one."""
+    path = os.path.join(folder or VOCABULARY_DIR, f"{vocabulary}.tiktoken")
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("same", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core = encoder(path).core
+        for batch in batches:
+            same = [core.decode_bytes(i or []) == (t or "").encode() for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=[key, "same"])
+
+    return df.select(F.col(key), F.col(ids).alias("_ids"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
