@@ -130,6 +130,18 @@ def keeps_column(index: Column, header: Column, translate: list[str], skip: list
     return F.coalesce(among(translate), F.lit(False)) if translate else ~F.coalesce(among(skip), F.lit(False)) if skip else F.lit(True)
 
 
+def multiset_difference(a: Column | str, b: Column | str) -> Column:
+    """a without b, with multiplicity, in the order of a: of equal items the last ones stay."""
+    x, y = F.coalesce(_c(a), F.array()), F.coalesce(_c(b), F.array())
+    place = F.transform(x, lambda v, i: F.struct(v.alias("v"), F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda w: w == v)).alias("nth")))
+    return F.transform(F.filter(place, lambda p: p["nth"] > F.size(F.filter(y, lambda w: w == p["v"]))), lambda p: p["v"])
+
+
+def heading_slug(text: Column | str) -> Column:
+    """Words of letters a-z and digits in lower case, joined by hyphens; null if there are none."""
+    return F.nullif(F.array_join(F.regexp_extract_all(F.lower(_c(text)), F.lit("([a-z0-9]+)"), 1), "-"), F.lit(""))
+
+
 def multiset_counts(items: Column | str) -> Column:
     """MAP<item, count> of an array."""
     c = F.coalesce(_c(items), F.array())

@@ -106,3 +106,17 @@ def tags_come_back(source: pd.Series) -> pd.Series:
     from weftline.functions import quality
 
     return pd.Series([None if s is None else quality.untag(*quality.tagify(s)) == s for s in source], dtype=object)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def token_counts(values: pd.Series) -> pd.Series:
+    """How often a text holds each kind of reference, definition, formula and token; kinds that it lacks are left out."""
+    kinds = {
+        "destination": X.markdown_destinations, "code label": X.code_reference_labels, "definition": X.definition_labels, "named reference": X.rst_named_references, "embedded link": X.rst_embedded_links,
+        "defined name": X.rst_defined_names, "bikeshed token": X.bikeshed_tokens, "formula": X.math_spans, "preserved token": X.preserved_tokens, "address": X.extract_urls,
+    }
+    found = []
+    for v in values:
+        counts = None if v is None else {k: len(f(v)) for k, f in kinds.items()} | {"anonymous reference": X.rst_anonymous_references(v)}
+        found.append(counts and {k: n for k, n in counts.items() if n})
+    return pd.Series(found, dtype=object)

@@ -137,6 +137,15 @@ def length_ratio_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return E.nearest_rank(rows.select(C.length_ratio("source", "translation").alias("ratio")), "ratio", [0.01, 0.5, 1, 5, 50]).select("percent", F.round("value", 9).alias("value"))
 
 
+def truncation_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: segments of 40 characters and more, and the length ratios below which a text looks cut; min_ratio is the percentile 0.01."""
+    rows = table(spark, folder, "segment_states", "source", "translation").filter("translation is not null and length(source) >= 40")
+    ratios = rows.select(C.length_ratio("source", "translation").alias("ratio"))
+    names = {0.01: "min_ratio", 0.5: "p0_5", 1.0: "p1", 5.0: "p5", 50.0: "p50"}
+    found = E.nearest_rank(ratios, "ratio", list(names)).agg(*(F.max(F.when(F.col("percent") == p, F.round("value", 4))).alias(n) for p, n in names.items()))
+    return found.select(F.lit(ratios.count()).cast("bigint").alias("segments"), *names.values())
+
+
 def first_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """How many segments the first call without an error was asked for, and how many replies came."""
     rows = table(spark, folder, "eval_outputs", "out_id", "calls", "first_replies")
@@ -264,7 +273,7 @@ def nontrivial_items(spark: SparkSession, folder: str) -> DataFrame:
     return G.item_segments(table(spark, folder, "eval_items")).groupBy("item").agg(F.max((~C.trivial("source")).cast("int")).alias("n")).filter("n = 1").select("item")
 
 
-QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issue_patterns, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions, block_checks, block_gates, gate_report, viewer_pages, judging_plan, judged_pairs, changed_translations, hard_items, nontrivial_items)}
+QUERIES = {f.__name__: f for f in (gate_rates, failed_checks, gate_conjunction, passing_blocks, repaired_share, gate_issue_patterns, gate_issues, pair_fold, pair_fold_viewer, win_rates, judge_win_rates, judge_agreement, verdict_pivot, seeded_subset, item_pick, round_robin, judge_sample, block_strata, manifest_counts, length_ratio_percentiles, truncation_thresholds, first_attempts, call_totals, attempts, missing_outputs, planned_match, segment_references, human_pairs, report_decisions, block_checks, block_gates, gate_report, viewer_pages, judging_plan, judged_pairs, changed_translations, hard_items, nontrivial_items)}
 
 _LAST = """
 (select pick_id as pick, judge, judge_model as model, baseline, candidate, shown_order, side from (
@@ -346,6 +355,11 @@ f as (select out_id, item, e.key as pos, e.value.translation as t from (select o
 select out_id, f.pos, null::int as distance from f join r using (item, pos) where t is not null
 """,
 }
+ORACLE["truncation_thresholds"] = f"""
+with p as ({ORACLE["length_ratio_percentiles"]})
+select (select count(*) from segment_states where translation is not null and length(source) >= 40) as segments, round(max(value) filter (where percent = 0.01), 4) as min_ratio, round(max(value) filter (where percent = 0.5), 4) as p0_5,
+  round(max(value) filter (where percent = 1.0), 4) as p1, round(max(value) filter (where percent = 5.0), 4) as p5, round(max(value) filter (where percent = 50.0), 4) as p50 from p
+"""
 ORACLE["gate_issues"] = ORACLE["gate_issue_patterns"] + " order by n desc, pattern limit 50"
 ORACLE["judge_sample"] = f"""
 with b as (select item, kind, b.id as block, b.strata as strata, b.probes as probes, b.segments as segments from (select item, kind, unnest(blocks) as b from eval_items)),

@@ -81,6 +81,26 @@ def code_spans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("feed_id", F.size(span("source")).alias("spans"), (~C.is_multiset_subset(span("source"), span("translation"))).alias("lost"))
 
 
+def code_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Code spans that the translation lacks and that it has besides, with multiplicity and in their order."""
+    rows = table(spark, folder, "segment_states", "feed_id", "source", "translation").filter("translation is not null")
+    span = lambda c: F.regexp_extract_all(c, F.lit("`([^`]+)`"), 1)
+    found = rows.select("feed_id", C.multiset_difference(span("source"), span("translation")).alias("lost"), C.multiset_difference(span("translation"), span("source")).alias("new"))
+    return found.filter((F.size("lost") > 0) | (F.size("new") > 0)).select("feed_id", F.array_join("lost", " ").alias("lost"), F.array_join("new", " ").alias("new"))
+
+
+def heading_slugs(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors of the first block of each section."""
+    rows = table(spark, folder, "segment_states", "feed_id", "seg_id", "source").filter(C.segment_position("seg_id")["block"] == 0)
+    return rows.select("feed_id", C.heading_slug("source").alias("slug"))
+
+
+def markup_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """References, definitions, formulas and tokens of raw blocks by kind."""
+    rows = spread(table(spark, folder, "raw_blocks", "raw_id", "source"), "raw_id")
+    return rows.select("raw_id", F.explode(U.token_counts("source")).alias("kind", "n"))
+
+
 def off_register(spark: SparkSession, folder: str) -> DataFrame:
     rows = spread(table(spark, folder, "segment_states", "feed_id", "source", "translation"), "feed_id").filter(r"translation is not null and source rlike '\\.\\s*$'")
     return rows.select("feed_id", F.explode(U.off_register("translation")).alias("ending"))
@@ -257,7 +277,7 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return B.table_groups(cells, ["raw_id", "table_no"])
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, adopted_states, adoption_summary, screened_terms, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, code_differences, heading_slugs, markup_tokens, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, adopted_states, adoption_summary, screened_terms, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -347,3 +367,11 @@ with t as (select feed_id, regexp_extract(unnest(string_split(translation, '.'))
 select feed_id, '…' || right(t, 6) || '.' as ending from t where t <> '' and (regexp_matches(t, '(세요|어요|아요|해요|예요|에요|네요|지요|죠)$')
   or (t like '%다' and not (t like '%니다' or t like '%읍시다' or (t like '%시다' and length(t) > 2 and (unicode(substr(t, -3, 1)) - 44032) % 28 = 17))))
 """
+ORACLE["code_differences"] = """
+with s as (select feed_id, regexp_extract_all(source, '`([^`]+)`', 1) as a, regexp_extract_all(translation, '`([^`]+)`', 1) as b from segment_states where translation is not null),
+d as (select feed_id,
+  list_transform(list_filter(range(1, len(a) + 1), lambda i: len(list_filter(a[1:i], lambda x: x = a[i])) > len(list_filter(b, lambda x: x = a[i]))), lambda i: a[i]) as lost,
+  list_transform(list_filter(range(1, len(b) + 1), lambda i: len(list_filter(b[1:i], lambda x: x = b[i])) > len(list_filter(a, lambda x: x = b[i]))), lambda i: b[i]) as new from s)
+select feed_id, array_to_string(lost, ' ') as lost, array_to_string(new, ' ') as new from d where len(lost) > 0 or len(new) > 0
+"""
+ORACLE["heading_slugs"] = "select feed_id, nullif(array_to_string(regexp_extract_all(lower(source), '[a-z0-9]+'), '-'), '') as slug from segment_states where split_part(seg_id, '/', 2) = 'block:0'"
