@@ -94,6 +94,7 @@ def _either(patterns: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
 _DECLINES, _TASKS, _DECLARED, _APOLOGY = map(_either, (DECLINES, TASKS, DECLARED, APOLOGIES))
 _SORRY = re.compile("|".join((*APOLOGIES, r"\bsorry\b", r"\bapolog\w+", r"\bregret")), re.IGNORECASE)
 #: Three words of Latin letters in a row: a text without them declines nothing in a language written so.
+_ACCENTED = re.compile("[Ḁ-ỿ]")
 _LATIN_PROSE = re.compile(r"[^\W\d_]['’]?[^\W\d_]*[ ,:]+[^\W\d_]['’]?[^\W\d_]*[ ,:]+[^\W\d_]")
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -219,7 +220,8 @@ def language(text: str, want: str = "") -> str | None:
     counts = script_counts(bare)
     latin = counts.pop("latin", 0)
     other = sum(counts.values())
-    hits = _hits(bare) if latin or "cyrillic" in counts else {}
+    # function words tell only where Latin letters prevail, or languages share the script
+    hits = _hits(bare) if latin > 2 * other or "cyrillic" in counts else {}
     in_latin = {k: n for k, n in hits.items() if k not in _SCRIPT_OF}
     best = max(in_latin, key=lambda k: (in_latin[k], k == want), default=None)
     if other:
@@ -242,7 +244,7 @@ def refused(response: str, source: str = "") -> bool:
     """A refusal outside quotes and code: it says so, it declines a task, or it apologises though the prompt does not."""
     bare = _QUOTED.sub(" ", response)
     kinds = [0] if bare.isascii() else [0, 1]
-    if len(kinds) == 2 and not _LATIN_PROSE.search(bare.encode("latin-1", "replace").decode("latin-1").replace("?", "")) and not any("Ḁ" <= c <= "ỿ" for c in bare):
+    if len(kinds) == 2 and not _LATIN_PROSE.search(bare.encode("latin-1", "replace").decode("latin-1").replace("?", "")) and not _ACCENTED.search(bare):
         kinds = [1]
     for k in kinds:
         if _DECLARED[k].search(bare) or any(_TASKS[k].search(bare, max(0, m.start() - NEAR), m.end() + NEAR) for m in _DECLINES[k].finditer(bare)):
@@ -261,7 +263,7 @@ def defect_of(source: str | None, response: str | None, target: str | None, marg
     if nothing(response):
         return "empty"
     source = source or ""
-    if untranslatable(source) and letters(source) == letters(response):
+    if letters(source) == letters(response) and untranslatable(source):
         return None
     want = _base(target)
     if refused(response, source) and not refused(source):
