@@ -7,6 +7,7 @@ bounded sample on the driver and then scores every row on the executors.
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -21,6 +22,7 @@ DIMENSIONS, WIDTH = 1 << 18, 32
 #: Signs of omission that may stand for a lost rest (fixed values).
 OMISSIONS = ("[...]", "[…]", "(...)", "(…)", "...", "…", "�")
 
+_OMITTING = frozenset(sign[-1] for sign in OMISSIONS)
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _ANCHOR = re.compile(r"`[^`\n]+`|https?://\S+|\d+")
@@ -35,6 +37,8 @@ def sentences(text: str) -> list[str]:
 def strip_omission(text: str) -> tuple[str, str]:
     """(text without a trailing sign of omission, that sign)."""
     bare = text.rstrip()
+    if bare[-1:] not in _OMITTING or (bare.endswith(".") and not bare.endswith("..")):
+        return bare, ""
     for sign in OMISSIONS:
         if bare.endswith(sign):
             return bare[: -len(sign)].rstrip(), sign
@@ -62,6 +66,21 @@ def kind_of(source: str | None, sign: str) -> str:
     return "o" if src_sign and sign else "h" if src and src[-1].isalnum() else "t"
 
 
+@functools.lru_cache(1 << 14)
+def _read(source: str) -> tuple[str, str, str, list[str], frozenset[str]]:
+    """(text, sign of omission, closing, sentences, anchors) of a source, which several examples share."""
+    src = source.rstrip()
+    bare, sign = strip_omission(src)
+    return src, sign, _closing(bare), sentences(src), frozenset(_anchors(src))
+
+
+@functools.lru_cache(1 << 14)
+def _halves(source: str, n: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Anchors of the first n sentences of a source, and of the rest."""
+    parts = _read(source)[3]
+    return frozenset(_anchors(" ".join(parts[:n]))), frozenset(_anchors(" ".join(parts[n:])))
+
+
 def features(source: str | None, text: str, limits: frozenset[int]) -> list[int]:
     """Hashed features of one text; source is what it renders, or None."""
     bare, sign = strip_omission(text)
@@ -69,21 +88,19 @@ def features(source: str | None, text: str, limits: frozenset[int]) -> list[int]
     tokens = _TOKEN.findall(bare[-160:])
     masked = [_DIGITS.sub("0", t) for t in tokens[-3:]]
     last = masked[-1] if masked else ""
-    src = (source or "").rstrip()
-    src_sign = strip_omission(src)[1]
-    close, src_close = _closing(bare), _closing(strip_omission(src)[0]) if source is not None else "-"
+    src, src_sign, src_close, theirs, known = _read(source) if source is not None else ("", "", "-", [], frozenset())
+    close = _closing(bare)
     ticks = bare.count("`") % 2
     out = [f"{kind}close {close} {src_close if not src_close.isalpha() else 'word'}", f"{kind}omit {sign} {src_sign}", f"{kind}last {last}", f"{kind}last2 {' '.join(masked[-2:])}", f"{kind}last3 {' '.join(masked)}"]
     out += [f"{kind}suffix{n} {last[-n:]}" for n in (1, 2, 3, 4)]
     out += [f"{kind}ticks {ticks}", f"{kind}quotes {bare.count(chr(34)) % 2}", f"{kind}open {min(2, max(0, bare.count('[') - bare.count(']')))} {min(2, max(0, bare.count('(') - bare.count(')')))} {min(2, max(0, bare.count('{') - bare.count('}')))}", f"{kind}tag {int(bare.rfind('<') > bare.rfind('>'))}"]
     out += [f"{kind}limit {int(len(text) in limits)} {close.isalpha()}", f"{kind}blank {int(text != text.rstrip())} {close}"]
     if source is not None:
-        ours, theirs = sentences(bare), sentences(src)
+        ours = sentences(bare)
         lack = len(theirs) - len(ours)
         own = _anchors(" ".join(tokens[:-1]) if len(ours) < 2 else bare[: max(0, len(bare) - len(tokens[-1]) if tokens else 0)])
-        first = _anchors(" ".join(theirs[: len(ours)]))
-        rest = _anchors(" ".join(theirs[len(ours) :]))
-        alien = "alien" if own - _anchors(src) else "known"
+        first, rest = _halves(source, len(ours))
+        alien = "alien" if own - known else "known"
         missing = len(first - own) / len(first) if first else -1
         front = "none" if missing < 0 else "full" if missing == 0 else "most" if missing < 0.5 else "few"
         tail = "none" if not rest else "lost" if not rest & own else "kept" if rest <= own else "part"
