@@ -84,3 +84,27 @@ def test_constructs_are_counted():
     assert X.constructs("\\begin{a} \\emph{b}", "latex") == {"visible argument": 1, "open environment": 1}
     assert X.constructs("<p>a</p>", "xhtml")["well formed"] == 1 and "well formed" not in X.constructs("<p>a", "xhtml")
     assert X.constructs("```{glossary}\na\n  b\n```\n<Card x={1} /> [[REF]]", "myst") == {"jsx tag": 1, "shorthand": 1, "glossary entry": 1}
+
+
+def test_indented_code():
+    assert texts("markdown", "Text.\n\n    code here\n\n    more code\n\nEnd.\n") == [("paragraph", "Text."), ("paragraph", "End.")]
+    # what belongs to a list item is prose
+    assert ("paragraph", "Second paragraph.") in texts("markdown", "- item\n\n    Second paragraph.\n")
+    assert texts("markdown", "Long\n    continued.\n") == [("paragraph", "Long continued.")]
+
+
+def test_admonitions_and_tabs():
+    text = '!!! note "A title"\n    Inside it.\n\n    Still inside.\n\n=== "Tab one"\n\n    In the tab.\n\n???+ tip\n    Open.\n\nOutside.\n\n    code\n'
+    got = [t for _, t in texts("mkdocs", text)]
+    assert got == ["A title", "Inside it.", "Still inside.", "Tab one", "In the tab.", "Open.", "Outside."]
+    assert P.reconstruct(text, P.segments(text, P.PARSERS["mkdocs"](text)), {}) == text
+
+
+def test_prose_directives():
+    text = "(target)=\n```{note} Mind this\n:class: x\nProse of the note.\n```\n\n```{code-block} python\nx = 1\n```\n\n:::{tip}\nA tip.\n:::\n"
+    assert [t for _, t in texts("myst", text)] == ["Prose of the note.", "A tip."]
+
+
+def test_components():
+    text = 'import X from "x"\n\n<Card\n  title="a > b"\n  on={{k: 1}}\n>\n\nInside the card.\n\n</Card>\n\n{value}\n\nUse <B>it</B> inline.\n'
+    assert [t for _, t in texts("mdx", text)] == ["Inside the card.", "Use <B>it</B> inline."]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_hash, normalize_inline, split_sentences
+from weftline.sources import details as D
 from weftline.sources import dialects as X
 
 # The parser of each file extension; anything else is Markdown.
@@ -72,8 +73,14 @@ _TABLE_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")
 _HTML_LITERAL = re.compile(r"<(pre|code|script|style|textarea|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<\?.*?(?:\?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.DOTALL | re.IGNORECASE)
 
 
-def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = None) -> list[Block]:
-    """CommonMark with tables, task lists, alerts and front matter; mask gives ranges that hold no prose."""
+_CONTAINER = re.compile(r"^[ \t]*(?:!!!|\?\?\?\+?|===)[ \t][^\n\"]*(?:\"(?P<title>[^\"\n]*)\")?")
+
+
+def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = None, containers: bool = False) -> list[Block]:
+    """CommonMark with tables, task lists, alerts and front matter; mask gives ranges that hold no prose.
+
+    Lines indented by four spaces after a blank one are code, but for what belongs to a list item or, with containers, to an admonition or tab.
+    """
     seen = blank(text, mask(text)) if mask else text
     blocks: list[Block] = []
     run: list[tuple[int, int, str]] = []
@@ -84,7 +91,7 @@ def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = No
             blocks.append(_paragraphs(kind, run))
             run.clear()
 
-    i, table = 0, False
+    i, table, inner = 0, False, False
     if lines and lines[0][2].strip() == "---":
         end = next((k for k in range(1, len(lines)) if lines[k][2].strip() in ("---", "...")), None)
         if end:
@@ -100,9 +107,27 @@ def markdown(text: str, mask: Callable[[str], list[tuple[int, int]]] | None = No
             i = last + 1
             continue
         bare = body.replace("\0", "")
+        deep = re.match(r"(?: {4}|\t)\s*\S", body) is not None
+        if bare.strip() and not deep:
+            inner = bool(_ITEM.match(body)) or bool(run and inner) or (body[:1] in " \t" and inner)
+        if containers and (opened := _CONTAINER.match(text[start:end])):
+            close()
+            if opened["title"]:
+                blocks.append(Block("paragraph", start + opened.start("title"), start + opened.end("title")))
+            i, inner = i + 1, True
+            continue
         if not bare.strip():
             close()
             table = False
+        elif deep and not run and not inner and not _ITEM.match(body):
+            last = i
+            while last + 1 < len(lines) and (not lines[last + 1][2].strip() or re.match(r"(?: {4}|\t)", lines[last + 1][2])):
+                last += 1
+            while not lines[last][2].strip():
+                last -= 1
+            blocks.append(Block("code", start, lines[last][1], offered=False))
+            i = last + 1
+            continue
         elif (head := _ATX.match(body)) and head[2].strip():
             close()
             blocks.append(Block("heading", start + head.start(2), start + head.end(2), len(head[1])))
@@ -167,11 +192,34 @@ def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
+_DIRECTIVE = re.compile(r"^[ \t]*(?P<f>`{3,}|~{3,}|:{3,})\{(?P<n>[\w-]+)\}[^\n]*\n(?P<o>(?:[ \t]*:[\w-]+:[^\n]*\n)*)", re.MULTILINE)
+
+
+def _myst(text: str) -> list[tuple[int, int]]:
+    """Targets, comments, options, and the first and last line of directives whose content is prose."""
+    spans = []
+    for m in _DIRECTIVE.finditer(text):
+        if m["n"] in _PROSE_DIRECTIVES:
+            close = re.compile(rf"^[ \t]*{re.escape(m['f'])}[ \t]*$", re.MULTILINE).search(text, m.end())
+            spans += [m.span(), *([close.span()] if close else [])]
+    return _disjoint(spans + [x.span() for p in (r"^\([\w-]+\)=[ \t]*$", r"^:{3,}[^\n]*$", r"^%[^\n]*$", r"^\+\+\+[^\n]*$") for x in re.finditer(p, text, re.MULTILINE)])
+
+
+def _mdx(text: str) -> list[tuple[int, int]]:
+    """Imports and exports, component tags that stand at the begin of a line, on however many lines, and expressions on a line of their own."""
+    spans = [m.span() for m in re.finditer(r"^(?:import|export)\s[^\n]*(?:\n(?!\s*\n)[^\n]*)*|^\{[^{}]*\}\s*$", text, re.MULTILINE)]
+    for m in re.finditer(r"^[ \t]*(?=</?[A-Z])", text, re.MULTILINE):
+        tag = D.jsx_tag(text, m.end())
+        if tag and not text[tag[0] : text.find("\n", tag[0]) if "\n" in text[tag[0] :] else len(text)].strip():
+            spans.append((m.start(), tag[0]))
+    return _disjoint(spans)
+
+
 #: What each dialect hides from the Markdown scan.
 MASKS: dict[str, Callable[[str], list[tuple[int, int]]]] = {
-    "mdx": _find(r"^(?:import|export)\s[^\n]*(?:\n(?!\s*\n)[^\n]*)*", r"^\s*</?[A-Z][\w.]*(?:\s[^<>]*)?/?>\s*$", r"^\{[^{}]*\}\s*$"),
-    "myst": _find(r"^\([\w-]+\)=[ \t]*$", r"^:{3,}[^\n]*$", r"^:[\w-]+:[^\n]*$", r"^%[^\n]*$", r"^\+\+\+[^\n]*$"),
-    "mkdocs": _find(r"^(?:!!!|\?\?\?\+?|===)[^\n]*$", r"^\$\$.+?\$\$", r"^\\\[.+?\\\]", r"^--8<--[^\n]*$"),
+    "mdx": _mdx,
+    "myst": _myst,
+    "mkdocs": _find(r"^\$\$.+?\$\$", r"^\\\[.+?\\\]", r"^--8<--[^\n]*$"),
     "rmarkdown": _find(r"^\$\$.+?\$\$", r"^\\begin\{(\w+)\}.+?\\end\{\1\}", r"^:::+[^\n]*$"),
     "bikeshed": _find(r"^<pre\b.+?</pre>", r"^(?:Title|Status|Shortname|Level|Group|URL|Editor|Abstract):[^\n]*$"),
     "markdeep": _find(r"^\*{5,}$.+?^\*{5,}$", r"<meta[^>]*>", r"<!--.*?-->"),
@@ -518,7 +566,7 @@ def latex_extended(text: str) -> list[Block]:
     return sorted(own + extra, key=lambda b: (b.start, b.end))
 
 
-PARSERS: dict[str, Callable[[str], list[Block]]] = {"markdown": markdown, "asciidoc": asciidoc, "rst": rst, "latex": latex, "csv": csv_fields, "xhtml": html_runs, "html": html_runs, "cnxml": vocabulary("cnxml"), "pretext": vocabulary("pretext"), "xhtml_strict": vocabulary("xhtml"), "pep": rst_without(X.pep_hidden), "pep_plaintext": rst_without(X.pep_plain_hidden), "pep_text": pep_text, "mathematics_in_lean": rst_without(X.lean_hidden), "latex_extended": latex_extended} | {name: (lambda t, m=mask: markdown(t, m)) for name, mask in MASKS.items()}
+PARSERS: dict[str, Callable[[str], list[Block]]] = {"markdown": markdown, "asciidoc": asciidoc, "rst": rst, "latex": latex, "csv": csv_fields, "xhtml": html_runs, "html": html_runs, "cnxml": vocabulary("cnxml"), "pretext": vocabulary("pretext"), "xhtml_strict": vocabulary("xhtml"), "pep": rst_without(X.pep_hidden), "pep_plaintext": rst_without(X.pep_plain_hidden), "pep_text": pep_text, "mathematics_in_lean": rst_without(X.lean_hidden), "latex_extended": latex_extended} | {name: (lambda t, m=mask, c=name == "mkdocs": markdown(t, m, c)) for name, mask in MASKS.items()}
 ALIASES = {"tex": "latex", "md": "markdown", "mil": "mathematics_in_lean", "adoc": "asciidoc", "commonmark": "markdown"}
 
 
