@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.pairs import flag_pairs
-from weftline.session import spread
+from weftline.session import checkpoint, spread
 from weftline.sources.tables import table
 
 
@@ -21,8 +21,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of each defect, and their share."""
-    counts = _flagged(spark, folder).groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("pairs"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("pairs").alias("_all")))).select("defect", "pairs", F.try_divide("pairs", "_all").alias("share"))
+    counts = checkpoint(_flagged(spark, folder).groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("pairs")))
+    total = counts.agg(F.sum("pairs")).first()[0]
+    return counts.select("defect", "pairs", F.try_divide("pairs", F.lit(total)).alias("share"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates}
