@@ -188,3 +188,17 @@ def test_neighbours_across_chunks(spark):
         for k, (p, _) in enumerate(own):
             assert got[f, p] == (own[k - 1][1] if k else None, own[k + 1][1] if k + 1 < len(own) else None)
     assert len(got) == len(rows)
+
+
+def test_agreement_equals_all_pairs(spark):
+    rng = random.Random(21)
+    rows = [(p, f"j{j}", "m", rng.choice(["baseline", "candidate", "tie"])) for p in range(60) for j in range(7) if rng.random() < 0.6]
+    want = {}
+    for p, a, _, x in rows:
+        for q, b, _, y in rows:
+            if p == q and a < b:
+                n, m = want.get((f"{a}/m", f"{b}/m"), (0, 0))
+                want[f"{a}/m", f"{b}/m"] = n + 1, m + (x == y)
+    df = spark.createDataFrame(rows, "pick int, judge string, model string, side string")
+    assert {(r.judge_a, r.judge_b): (r.picks, r.agreed) for r in E.agreement(df).collect()} == want
+    assert E.agreement(df.limit(0)).count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +50,50 @@ def tally(folded: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumn("rate", F.try_divide(F.col("wins"), decided)).withColumn("low", low).withColumn("high", high)
 
 
+#: Judges whose counts of agreement are kept as a table of their own in each task.
+MOST_JUDGES = 2000
+
+
 def agreement(folded: DataFrame) -> DataFrame:
-    """(judge_a, judge_b, picks, agreed): how often two judges gave one side. Counted over sides a pick, so that no pick with many judges is paired by hand: judges are a bounded dimension."""
-    name = F.concat_ws("/", "judge", "model")
-    votes = folded.select("pick", name.alias("judge"), "side")
-    a, b = votes.withColumnRenamed("judge", "judge_a").withColumnRenamed("side", "sa"), votes.withColumnRenamed("judge", "judge_b").withColumnRenamed("side", "sb")
-    return a.join(b, "pick").filter("judge_a < judge_b").groupBy("judge_a", "judge_b").agg(F.count("*").alias("picks"), F.count_if(F.col("sa") == F.col("sb")).alias("agreed"))
+    """(judge_a, judge_b, picks, agreed): how often two judges judged one pick and gave one side, judge_a before judge_b by name.
+
+    The sides of a pick are one row, of at most one entry a judge. A task adds up products of such rows to tables of judges by judges, so no pair of judges is
+    emitted for a pick; the tables are summed. More than MOST_JUDGES judges are an error.
+    """
+    sides = ("baseline", "candidate", "tie")
+    place = F.array_position(F.array(*(F.lit(x) for x in sides)), F.col("side")).cast("int")
+    entry = F.struct(F.concat_ws("/", "judge", "model").alias("judge"), place.alias("s"))
+    held = folded.filter("side is not null").groupBy("pick").agg(F.collect_list(entry).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[str, int] = {}
+        met = same = np.zeros((0, 0), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                column = batch.column(0).slice(start, 4096)
+                entries = column.flatten()
+                coded = entries.field("judge").dictionary_encode()
+                local = np.array([at.setdefault(n, len(at)) for n in coded.dictionary.to_pylist()], np.int64)
+                if len(at) > MOST_JUDGES:
+                    raise ValueError(f"more than {MOST_JUDGES} judges")
+                more = len(at) - len(met)
+                met, same = np.pad(met, ((0, more), (0, more))), np.pad(same, ((0, more), (0, more)))
+                a, s = local[np.asarray(coded.indices)], np.asarray(entries.field("s"))
+                row = np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+                there = np.zeros((len(column), len(at)), np.float32)
+                for k in range(1, len(sides) + 1):
+                    own = np.zeros_like(there)
+                    own[row[s == k], a[s == k]] = 1
+                    same = same + (own.T @ own).astype(np.int64)
+                    there += own
+                met = met + (there.T @ there).astype(np.int64)
+        names = list(at)
+        found = [(names[i], names[j], int(met[i, j]), int(same[i, j])) for i, j in zip(*np.nonzero(met)) if names[i] < names[j]]
+        columns = list(zip(*found)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["judge_a", "judge_b", "picks", "agreed"])
+
+    counted = held.select("held").mapInArrow(run, "judge_a string, judge_b string, picks bigint, agreed bigint")
+    return counted.groupBy("judge_a", "judge_b").agg(F.sum("picks").alias("picks"), F.sum("agreed").alias("agreed"))
 
 
 def nearest_rank(values: DataFrame, value: str, percents: list[float]) -> DataFrame:
