@@ -23,7 +23,6 @@ DIMENSIONS, WIDTH = 1 << 18, 32
 OMISSIONS = ("[...]", "[…]", "(...)", "(…)", "...", "…", "�")
 
 _OMITTING = frozenset(sign[-1] for sign in OMISSIONS)
-_TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"\d+")
 _ANCHOR = re.compile(r"`[^`\n]+`|https?://\S+|\d+")
 _SENTENCE = re.compile(r"(?<=[.!?:。])\s+|(?<=。)(?=\S)")
@@ -31,7 +30,11 @@ _SENTENCE = re.compile(r"(?<=[.!?:。])\s+|(?<=。)(?=\S)")
 
 def sentences(text: str) -> list[str]:
     """Coarse sentences: split after closing punctuation followed by white space, and after an ideographic full stop."""
-    return [s for s in _SENTENCE.split(text.strip()) if s]
+    text = text.strip()
+    # most texts are one sentence: nothing closes before the last place
+    if not any(c in text[:-1] for c in ".!?:。"):
+        return [text] if text else []
+    return [s for s in _SENTENCE.split(text) if s]
 
 
 def strip_omission(text: str) -> tuple[str, str]:
@@ -55,7 +58,8 @@ def _closing(text: str) -> str:
 
 
 def _anchors(text: str) -> set[str]:
-    return {a.strip("`").rstrip("()") for a in _ANCHOR.findall(text)}
+    found = _ANCHOR.findall(text)
+    return {a.strip("`").rstrip("()") for a in found} if found else set()
 
 
 def kind_of(source: str | None, sign: str) -> str:
@@ -85,8 +89,8 @@ def features(source: str | None, text: str, limits: frozenset[int]) -> list[int]
     """Hashed features of one text; source is what it renders, or None."""
     bare, sign = strip_omission(text)
     kind = kind_of(source, sign)
-    tokens = _TOKEN.findall(bare[-160:])
-    masked = [_DIGITS.sub("0", t) for t in tokens[-3:]]
+    tokens = bare[-160:].split()
+    masked = [t if t.isalpha() else _DIGITS.sub("0", t) for t in tokens[-3:]]
     last = masked[-1] if masked else ""
     src, src_sign, src_close, theirs, known = _read(source) if source is not None else ("", "", "-", [], frozenset())
     close = _closing(bare)
