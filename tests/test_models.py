@@ -165,3 +165,29 @@ def test_patches_and_json_lines(spark, tmp_path):
     scan.write_json_lines(rows, f"file://{tmp_path}/rows")
     assert {tuple(r) for r in scan.json_lines(spark, f"file://{tmp_path}/rows", "n int, t string").select("n", "t").collect()} == {(1, "가"), (2, None)}
     assert "wait for the heap" in M.decide_prompt(["heap"], [[]], examples={"heap": "They wait for the heap now."})
+
+
+def test_providers_and_style():
+    class Critic:
+        def complete(self, prompt):
+            return "ACCEPTABLE\nstiff"
+
+    assert M.style_issues(Critic(), "a", "b") == [("warning", "stiff")]
+    assert M.make_provider("echo", fails="x").fails == "x"
+    with pytest.raises(ValueError):
+        M.make_provider("network")
+
+
+def test_titles_names_and_constructs():
+    from weftline.functions import quality as Q
+    from weftline.operators import alignment as A
+    from weftline.sources import parsers as P
+
+    text = "The Heap\n========\n\nSee `the heap`_ and ``x``.\n\nNothing here.\n"
+    found = P.segments(text, P.rst(text))
+    out = P.reconstruct(text, found, {found[0].id: "힙 구조"}, "rst")
+    assert "`힙 구조`_" in out and out.startswith("힙 구조\n=======\n") and "Nothing here." in out
+    assert A.restates_a_name({"argument", "clinic"}, "이 Argument Clinic은 좋습니다.") and not A.restates_a_name({"argument"}, "`argument`를 봅니다.")
+    assert A.misaligned([("It is good.", "Argument Clinic은 좋습니다."), ("Argument Clinic is here.", "여기 있습니다.")]) == {}
+    assert Q.constructs("*a* **b** [c](d) ![e](f) [^1] <https://x> <b>g</b> ~~h~~ `*i*`") == {"italic": 1, "bold": 1, "link": 1, "image": 1, "footnote reference": 1, "autolink": 1, "inline HTML": 2, "strikethrough": 1}
+    assert Q.construct_issues("See [a](b).", "보세요.", "markdown") == ["link 0 of 1"]

@@ -90,3 +90,14 @@ def full_references(source: str, rendering: str, labels: set[str]) -> str:
         out.append(m[0] if known else f"[{m[1]}][{left.pop(0)}]")
         at = m.end()
     return "".join(out) + rendering[at:]
+
+
+_TITLE_REFERENCE = re.compile(r"(?<![`:\w])`([^`<>\n]+?)`(_(?![_\w]))")
+
+
+def follow_titles(text: str, titles: dict[str, str]) -> str:
+    """reStructuredText with its references to section titles, `Title`_, renamed as the titles are; titles in any case and spacing."""
+    if not titles or "`_" not in text:
+        return text
+    known = {" ".join(k.split()).casefold(): v for k, v in titles.items()}
+    return _TITLE_REFERENCE.sub(lambda m: f"`{known.get(' '.join(m[1].split()).casefold(), m[1])}`{m[2]}", text)

@@ -255,9 +255,28 @@ def repair(markup: str, source: str, rendering: str) -> str:
     return repair_emphasis(source, rendering) if markup not in ("latex", "xhtml") else rendering
 
 
+def constructs(text: str) -> Counter:
+    """How many of each inline construct of Markdown a text holds; code is left to its own rules."""
+    bare = text
+    for a, b, _ in code_spans(text):
+        bare = bare[:a] + "x" * (b - a) + bare[b:]
+    found = Counter({1: "italic", 2: "bold"}[n] for *_, n in emphasis(text)[0])
+    found["image"] = len(re.findall(r"!\[[^\[\]\n]*\](?:\(|\[)", bare))
+    found["link"] = len(re.findall(r"(?<!!)\[(?!\^)[^\[\]\n]+\](?:\([^()\n]*\)|\[[^\[\]\n]*\])", bare))
+    found["footnote reference"] = len(re.findall(r"\[\^[^\[\]\s]+\](?!:)", bare))
+    found["autolink"] = len(re.findall(r"<https?://[^<>\s]+>", bare))
+    found["inline HTML"] = len(re.findall(r"</?[A-Za-z][^<>\n:]*>", bare))
+    found["strikethrough"] = len(re.findall(r"(?<!~)~~(?!~)[^~\n]+~~(?!~)", bare))
+    return +found
+
+
 def construct_issues(source: str, rendering: str, markup: str = "markdown") -> list[str]:
-    """Only what concerns inline markup: code, formulas, emphasis and the markup's own pairs."""
-    return format_issues(source, rendering, markup)
+    """Only what concerns inline markup: code, formulas, emphasis and the markup's own pairs; and of Markdown every construct that the rendering has fewer of."""
+    issues = format_issues(source, rendering, markup)
+    if markup in ("markdown", "mdx", "myst", "mkdocs", "rmarkdown", "markdeep"):
+        want, got = constructs(source), constructs(rendering)
+        issues += [f"{name} {got[name]} of {n}" for name, n in sorted(want.items()) if got[name] < n and name not in ("italic", "bold")]
+    return issues
 
 
 # --- inline tags

@@ -53,6 +53,14 @@ def is_strong(anchor: str) -> bool:
     return "://" in anchor or bool(re.search(r"[a-z]", anchor) and re.search(r"\d", anchor))
 
 
+def restates_a_name(shared: set[str], translation: str) -> bool:
+    """Whether the anchors are capitalised words and short ones of one phrase in Latin letters: a translation may name what its source left implicit, which is no content from elsewhere."""
+    names = {_fold(w.replace("-", "")) for w in re.findall(r"(?<![\w`])[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*", translation)}
+    if not all(a in names or (len(a) <= 3 and a.isascii() and a.isalpha()) for a in shared):
+        return False
+    return any(shared <= written_anchors(run) for run in re.findall(r"[\x00-\x7f]+", translation))
+
+
 def misaligned(rows: list[tuple[str | None, str | None]]) -> dict[int, tuple[int, list[str]]]:
     """Rows whose translation holds anchors foreign to its own source and found in another's, with that row and the anchors: one strong anchor or two others are evidence; of several rows the last with most anchors counts."""
     read = [(source_anchors(s or ""), written_anchors(t or "")) for s, t in rows]
@@ -68,7 +76,7 @@ def _moved(rows: list[tuple[str | None, str | None]], read: list[tuple[set[str],
     for j in among if foreign else ():
         shared = foreign & read[j][0] if j != i else set()
         # anchors that the other row still writes itself were not moved
-        if shared and (any(map(is_strong, shared)) or len(shared) >= 2) and not shared <= read[j][1] and (best is None or len(shared) >= best[0]):
+        if shared and (any(map(is_strong, shared)) or len(shared) >= 2) and not shared <= read[j][1] and not restates_a_name(shared, rows[i][1]) and (best is None or len(shared) >= best[0]):
             best = len(shared), j
     return (best[1], sorted(foreign & read[best[1]][0])) if best else None
 

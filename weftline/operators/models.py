@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_hash, rotate_drafts, snippet
-from weftline.operators.requests import Provider, build_prompt, parse_reply
+from weftline.operators.requests import EchoProvider, Provider, build_prompt, parse_reply
 
 # The company behind each type of provider.
 COMPANIES = {"claude_code": "anthropic", "claude-code": "anthropic", "anthropic": "anthropic", "codex": "openai", "openai": "openai", "openai_compatible": "openai", "gemini": "google"}
@@ -133,6 +133,13 @@ def parse_style(reply: str) -> tuple[bool, str | None, str | None]:
     return False, "error", why or "the style is poor"
 
 
+def style_issues(provider: Provider, source: str, text: str, target_lang: str = "ko") -> list[tuple[str, str]]:
+    """(severity, message) of a model's opinion on the style; a warning never makes a text fail."""
+    reply = provider.complete(f"Is this natural {target_lang}? Answer GOOD, ACCEPTABLE or POOR, and why on a second line.\n\nSource:\n{source}\n\nText:\n{text}")
+    _, severity, message = parse_style(reply)
+    return [(severity, message or "")] if severity else []
+
+
 # --- judging
 
 
@@ -248,3 +255,15 @@ def run_items(items: DataFrame, done: DataFrame, candidate: str, make: Callable[
 
     rows = left.select("item", texts.alias("texts")).mapInPandas(run, f"item {kind}, calls array<struct<requested:int,error:string>>, finals map<int,string>, error string")
     return rows.select("item", F.lit(candidate).alias("candidate"), F.lit(repeat_no).alias("repeat_no"), "calls", "finals", "error")
+
+
+# --- making providers
+
+PROVIDERS: dict[str, Callable[..., Provider]] = {"echo": EchoProvider, "hash": HashJudge, "screening": ScreeningProvider}
+
+
+def make_provider(kind: str, **settings) -> Provider:
+    """The provider of a type, with its settings; types of a network are registered in PROVIDERS by those who have them. An unknown type is an error."""
+    if kind not in PROVIDERS:
+        raise ValueError(f"no provider of type {kind}")
+    return PROVIDERS[kind](**settings)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.includes import follow_titles
 from weftline.functions.text import content_hash, normalize_inline, split_sentences
 from weftline.sources import details as D
 from weftline.sources import dialects as X
@@ -626,16 +627,19 @@ def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
 def reconstruct(text: str, found: list[Segment], translations: dict[str, str], parser: str = "markdown") -> str:
     """The document with its translated blocks; an untranslated sentence of such a block falls back to its source.
 
-    Title underlines of reStructuredText and AsciiDoc are redrawn to the width of the new title, attributes of XML are escaped.
+    Title underlines of reStructuredText and AsciiDoc are redrawn to the width of the new title, and references to titles follow them; attributes of XML are escaped.
     """
     by: dict[tuple[int, int], list[Segment]] = {}
     for s in found:
         by.setdefault((s.start, s.end), []).append(s)
     edits = []
+    joined = lambda group: " ".join(translations.get(s.id, s.source) for s in group)
+    titles = {text[a:b]: joined(g) for (a, b), g in by.items() if g[0].kind == "heading" and any(s.id in translations for s in g)} if parser in ("rst", "pep") else {}
     for (a, b), group in by.items():
-        if not any(s.id in translations for s in group):
+        new = follow_titles(joined(group), titles)
+        # an untranslated block is touched only if it refers to a title that was
+        if not any(s.id in translations for s in group) and (not titles or follow_titles(text[a:b], titles) == text[a:b]):
             continue
-        new = " ".join(translations.get(s.id, s.source) for s in group)
         if group[0].kind == "attribute":
             new = X.escape_attribute(new)
         elif group[0].kind == "heading" and parser in ("rst", "asciidoc", "pep"):
