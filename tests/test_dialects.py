@@ -108,3 +108,16 @@ def test_prose_directives():
 def test_components():
     text = 'import X from "x"\n\n<Card\n  title="a > b"\n  on={{k: 1}}\n>\n\nInside the card.\n\n</Card>\n\n{value}\n\nUse <B>it</B> inline.\n'
     assert [t for _, t in texts("mdx", text)] == ["Inside the card.", "Use <B>it</B> inline."]
+
+
+def test_cells_of_several_lines_are_drawn_anew():
+    text = "Before.\n\n  +-------+---------+\n  | Name  | What it |\n  |       | does    |\n  +=======+=========+\n  | ``x`` | Reads a |\n  |       | line.   |\n  +-------+---------+\n\nAfter.\n"
+    found = P.segments(text, P.rst(text))
+    assert [(s.kind, s.source) for s in found] == [("paragraph", "Before."), ("cell", "Name"), ("cell", "What it does"), ("cell", "Reads a line."), ("paragraph", "After.")]
+    assert P.reconstruct(text, found, {}, "rst") == text
+    out = P.reconstruct(text, found, {found[3].id: "줄을 읽습니다."}, "rst")
+    assert out.startswith("Before.\n\n  +-------+") and "| ``x`` | 줄을 읽습니다. |" in out and out.count("=") > 4 and out.endswith("\n\nAfter.\n")
+    again = P.segments(out, P.rst(out))
+    assert [s.source for s in again] == ["Before.", "Name", "What it does", "줄을 읽습니다.", "After."]
+    # a cell that spans columns is left to the plain reading
+    assert not X.is_plain_grid(["+--+--+", "| a   |", "+--+--+"]) and not X.is_plain_grid([])

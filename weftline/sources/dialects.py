@@ -214,7 +214,7 @@ def cell_has_prose(cell: str) -> bool:
 # --- tables as grids
 
 
-def _rst_grid(lines: list[str]) -> list[list[str]]:
+def rst_grid(lines: list[str]) -> list[list[str]]:
     """Cells of a grid table by the columns of its border; a cell that spans columns fills the first of them."""
     edges = [m.start() for m in re.finditer(r"\+", lines[0])]
     rows: list[list[list[str]]] = []
@@ -234,6 +234,30 @@ def _rst_grid(lines: list[str]) -> list[list[str]]:
     return [[" ".join(x for x in cell if x) for cell in row] for row in rows]
 
 
+def is_plain_grid(lines: list[str]) -> bool:
+    """Whether a grid table has no cell that spans: every line has a mark at each edge of the first border."""
+    if not lines or not re.match(r"^\+[-=+]+\+$", lines[0]) or not re.match(r"^\+[-=+]+\+$", lines[-1]):
+        return False
+    edges = [m.start() for m in re.finditer(r"\+", lines[0])]
+    return all(len(line) == len(lines[0]) and all(line[e] in ("+" if line.startswith("+") else "|") for e in edges) for line in lines)
+
+
+def redrawn(table: str, indent: str, texts: dict[int, str]) -> str:
+    """A grid table with new texts in some of its cells, counted row by row, drawn at display widths; the header's rule stays where it was."""
+    from weftline.functions.quality import grid_table
+
+    lines = [line.strip() for line in table.split("\n")]
+    grid = rst_grid(lines)
+    columns = len(grid[0])
+    rows = [[texts.get(r * columns + c, cell) for c, cell in enumerate(row)] for r, row in enumerate(grid)]
+    drawn = grid_table(rows, header=False).split("\n")
+    borders = [line for line in lines if line.startswith("+")]
+    for k, border in enumerate(borders):
+        if "=" in border:
+            drawn[2 * k] = drawn[2 * k].replace("-", "=")
+    return ("\n" + indent).join(drawn)
+
+
 def _rst_simple(lines: list[str]) -> list[list[str]]:
     """Cells of a simple table by the columns of its rule; a row with an empty first cell goes on with the one before."""
     spans = [m.span() for m in re.finditer("=+", lines[0])]
@@ -253,7 +277,7 @@ def rst_tables(text: str) -> list[list[list[str]]]:
     """Grid and simple tables, list-table and csv-table directives, in the order of the text."""
     found: list[tuple[int, list[list[str]]]] = []
     for m in re.finditer(r"^[ \t]*\+[-=+]+\+[ \t]*\n(?:[ \t]*[+|][^\n]*(?:\n|\Z))+", text, re.MULTILINE):
-        found.append((m.start(), _rst_grid([line.strip() for line in m[0].strip("\n").split("\n")])))
+        found.append((m.start(), rst_grid([line.strip() for line in m[0].strip("\n").split("\n")])))
     for m in re.finditer(r"^=+(?:[ ]+=+)+[ ]*\n(?:(?!\n)[^\n]*\n)*?=+(?:[ ]+=+)+[ ]*\n(?:(?:(?!\n)[^\n]+\n)+?=+(?:[ ]+=+)+[ ]*$)?", text + "\n", re.MULTILINE):
         found.append((m.start(), _rst_simple(m[0].strip("\n").split("\n"))))
     for m in re.finditer(r"^(?P<i>[ \t]*)\.\. (?P<k>list-table|csv-table)::[^\n]*\n(?P<b>(?:[ \t]*\n|(?P=i)[ \t]+[^\n]*(?:\n|\Z))*)", text, re.MULTILINE):

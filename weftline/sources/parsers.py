@@ -36,6 +36,8 @@ class Block:
     end: int
     level: int = 0
     offered: bool = True
+    #: Texts of a grid's cells, where they are read apart from the lines they stand on.
+    cells: tuple[str, ...] = ()
 
 
 def _lines(text: str) -> list[tuple[int, int, str]]:
@@ -428,10 +430,17 @@ def rst(text: str) -> list[Block]:
             last = i
             while last < n and re.match(r"^\s*[+|]", lines[last][2]):
                 last += 1
+            drawn = [lines[k][2].strip() for k in range(i, last)]
+            grid = X.rst_grid(drawn) if X.is_plain_grid(drawn) else []
+            if grid and len(grid) < sum(d.startswith("|") for d in drawn):
+                # cells of several lines: offered as a whole, and drawn anew
+                blocks.append(Block("grid", lines[i][0] + indent(i), lines[last - 1][1], cells=tuple(c for row in grid for c in row)))
+                i = last
+                continue
             for k in range(i, last):
                 if "|" in lines[k][2] and re.match(r"^\s*[+|][-=+]*[+|]", lines[k - 1][2]) and k + 1 < n and re.match(r"^\s*\+[-=+]+\+", lines[k + 1][2]):
                     for m in re.finditer(r"[^|]+", lines[k][2]):
-                        if cell := m.group().strip():
+                        if X.cell_has_prose(cell := m.group().strip()):
                             a = lines[k][0] + m.start() + len(m.group()) - len(m.group().lstrip())
                             blocks.append(Block("cell", a, a + len(cell)))
             i = last
@@ -442,7 +451,7 @@ def rst(text: str) -> list[Block]:
                 if not re.match(r"^[\s=\-]+$", lines[i][2]):
                     for k, (a, _) in enumerate(edges):
                         b = edges[k + 1][0] if k + 1 < len(edges) else len(lines[i][2])
-                        if cell := lines[i][2][a:b].strip():
+                        if X.cell_has_prose(cell := lines[i][2][a:b].strip()):
                             p = lines[i][0] + a + len(lines[i][2][a:b]) - len(lines[i][2][a:b].lstrip())
                             blocks.append(Block("cell", p, p + len(cell)))
                 i += 1
@@ -595,6 +604,7 @@ class Segment:
     source: str
     start: int
     end: int
+    cell: int = -1
 
     @property
     def id(self) -> str:
@@ -607,7 +617,10 @@ def segments(text: str, blocks: list[Block]) -> list[Segment]:
     for b in sorted(blocks, key=lambda b: (b.start, b.end)):
         if b.kind == "heading" and b.level <= 2 and block:
             section, block = section + 1, 0
-        if b.offered and b.kind not in OPAQUE:
+        if b.cells:
+            parts = [(c, s) for c, cell in enumerate(b.cells) if X.cell_has_prose(cell) for s in split_sentences(normalize_inline(cell))]
+            found += [Segment(section, block, k, "cell", s, b.start, b.end, c) for k, (c, s) in enumerate(parts)]
+        elif b.offered and b.kind not in OPAQUE:
             for k, s in enumerate(split_sentences(normalize_inline(text[b.start : b.end]))):
                 found.append(Segment(section, block, k, b.kind, s, b.start, b.end))
         block += 1
@@ -636,6 +649,13 @@ def reconstruct(text: str, found: list[Segment], translations: dict[str, str], p
     joined = lambda group: " ".join(translations.get(s.id, s.source) for s in group)
     titles = {text[a:b]: joined(g) for (a, b), g in by.items() if g[0].kind == "heading" and any(s.id in translations for s in g)} if parser in ("rst", "pep") else {}
     for (a, b), group in by.items():
+        if group[0].cell >= 0:
+            if any(s.id in translations for s in group):
+                texts: dict[int, list[Segment]] = {}
+                for s in group:
+                    texts.setdefault(s.cell, []).append(s)
+                edits.append((a, b, X.redrawn(text[a:b], text[text.rfind("\n", 0, a) + 1 : a], {c: follow_titles(joined(g), titles) for c, g in texts.items()})))
+            continue
         new = follow_titles(joined(group), titles)
         # an untranslated block is touched only if it refers to a title that was
         if not any(s.id in translations for s in group) and (not titles or follow_titles(text[a:b], titles) == text[a:b]):
@@ -694,7 +714,7 @@ def round_trips(documents: DataFrame, key: str, text: str, parser: Column) -> Da
                 found = segments(t, parse(t)) if parse else []
                 same = reconstruct(t, found, {}) == t
                 by: dict[tuple[int, int], list[str]] = {}
-                for s in found:
+                for s in (s for s in found if s.cell < 0):
                     by.setdefault((s.start, s.end), []).append(s.source)
                 rows.append((k, same, all(" ".join(v).split() == normalize_inline(t[a:b]).split() for (a, b), v in by.items())))
             yield pd.DataFrame(rows, columns=[key, "same", "spans_hold"])
