@@ -453,6 +453,15 @@ def test_scores_of_a_table_equal_those_in_parts(monkeypatch):
     assert [bitext.align(s, t, lexicon) for s, t, _ in docs] == whole
 
 
+def test_words_that_the_sample_lacks_bring_documents(spark):
+    rows = [(k, [(0, f"The cursor waits {k}.")], [(0, f"커서 {k}.")]) for k in range(200)] + [(500 + k, [(0, f"A rare gazebo waits {k}.")], [(0, f"정자 {k}.")]) for k in range(4)] + [(900, [(0, "Once only hapax.")], [(0, "한번.")])]
+    named = spark.createDataFrame(rows, "doc bigint, source array<struct<idx:int,text:string>>, target array<struct<idx:int,text:string>>")
+    got = bitext.sample(named, bound=20)
+    held = sum("gazebo" in s[0] for s, _ in got)
+    assert held >= 2 and len(got) < 60
+    assert len(bitext.sample(named, bound=20, more=1)) == 21 and len(bitext.sample(named)) == 205
+
+
 def test_long_gaps_are_aligned_whole():
     rng = np.random.default_rng(5)
     lexicon = bitext.Lexicon()
