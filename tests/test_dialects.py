@@ -121,3 +121,17 @@ def test_cells_of_several_lines_are_drawn_anew():
     assert [s.source for s in again] == ["Before.", "Name", "What it does", "줄을 읽습니다.", "After."]
     # a cell that spans columns is left to the plain reading
     assert not X.is_plain_grid(["+--+--+", "| a   |", "+--+--+"]) and not X.is_plain_grid([])
+
+
+def test_manifests():
+    import pytest
+
+    text = "#doc\n가나 첫 문장.\nEnd."
+    raw = text.encode()
+    spans = [(raw.index("가".encode()), raw.index(b"\nEnd"), "paragraph"), (raw.index(b"End"), len(raw), "paragraph")]
+    found = P.segments(text, P.manifest(text, spans))
+    assert [s.source for s in found] == ["가나 첫 문장.", "End."]
+    assert P.reconstruct(text, found, {found[1].id: "끝."}) == "#doc\n가나 첫 문장.\n끝."
+    with pytest.raises(ValueError):
+        P.manifest(text, [(spans[0][0] + 1, spans[0][1], "paragraph")])
+    assert P.manifest("", []) == []

@@ -227,7 +227,36 @@ def state_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _states(spark, folder, "path").distinct().select("path", scan.state_path("path").alias("state_path"))
 
 
-QUERIES = {f.__name__: f for f in (content_hash, segment_position, latest_segments, segment_neighbours, context_hash, segment_status, status_rollup, pending_segments, reconcile, reconcile_report, rename_overlap, rename_claims, request_batches, batch_sizes, block_texts, heading_neighbours, restored_translations, source_rules, layer_overlay, orphan_states, segment_headings, surroundings, request_plan, glossary_upserts, glossary_removals, saved_states, state_paths)}
+def reconciled_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Statuses of each file's new segments after they were matched with the saved ones by hash and place; a segment without a match is pending."""
+    rows = _states(spark, folder, "feed_id", "path", "seg_id", "source_hash", "context_hash", "translation")
+    new = S.latest(rows.drop("translation"), ["path", "seg_id"], "feed_id").select(F.col("path").alias("file"), F.col("seg_id").alias("id"), F.col("source_hash").alias("now"), F.col("context_hash").alias("around"))
+    old = rows.groupBy(F.col("path").alias("file"), F.col("seg_id").alias("saved_id")).agg(F.min_by(F.struct("source_hash", "context_hash", "translation"), "feed_id").alias("saved"))
+    matched = S.reconcile(*_halves(spark, folder)).select("file", "id", "saved_id").join(new, ["file", "id"]).join(old, ["file", "saved_id"], "left")
+    state = S.status(F.col("saved.translation"), F.col("saved.source_hash"), F.col("now"), F.col("saved.context_hash"), F.col("around"))
+    return matched.groupBy("file", state.alias("status")).agg(F.count("*").alias("segments"))
+
+
+def states_by_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of a file that hold one source: how many, and the first and last of them in the document."""
+    rows = _latest(spark, folder, "source_hash").withColumn("at", C.flat_index("seg_id")).filter("source_hash is not null")
+    return rows.groupBy("path", "source_hash").agg(F.count("*").alias("segments"), F.min_by("seg_id", "at").alias("first"), F.max_by("seg_id", "at").alias("last")).filter("segments > 1")
+
+
+def adopted_renames(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved translations under the file that claims their orphaned state."""
+    rows = _states(spark, folder, "feed_id", "path", "seg_id", "translation")
+    old = rows.groupBy(F.col("path").alias("orphan"), "seg_id").agg(F.min_by("translation", "feed_id").alias("translation"))
+    return old.filter("translation is not null").join(rename_claims(spark, folder).select("file", "orphan"), "orphan").select("file", "orphan", "seg_id", "translation")
+
+
+def decided_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms that need no decision any more: those with a note stand for accepted ones, the others for rejected ones."""
+    rows = table(spark, folder, "glossary", "term", "note")
+    return M.decided(rows.filter("note is not null"), rows.filter("note is null"))
+
+
+QUERIES = {f.__name__: f for f in (content_hash, segment_position, latest_segments, segment_neighbours, context_hash, segment_status, status_rollup, pending_segments, reconcile, reconcile_report, rename_overlap, rename_claims, request_batches, batch_sizes, block_texts, heading_neighbours, restored_translations, source_rules, layer_overlay, orphan_states, segment_headings, surroundings, request_plan, glossary_upserts, glossary_removals, saved_states, state_paths, reconciled_status, states_by_hash, adopted_renames, decided_terms)}
 
 _LATEST = "(select * from segment_states qualify row_number() over (partition by path, seg_id order by feed_id desc) = 1)"
 _AT = "(split_part(split_part(seg_id, '/', 1), ':', 2)::bigint * 1000000 + split_part(split_part(seg_id, '/', 2), ':', 2)::bigint * 1000 + split_part(split_part(seg_id, '/', 3), ':', 2)::bigint)"
@@ -335,3 +364,14 @@ select path, seg_id, before_shown, after_shown, headings from n join {_HEADINGS}
     "saved_states": f"select path, count(*) as segments, count(translation) as translated, arg_min(seg_id, {_AT}) as first, arg_max(seg_id, {_AT}) as last from {_LATEST} group by path",
     "state_paths": "select distinct path, path || '.state.json' as state_path from segment_states",
 }
+ORACLE |= {
+    "reconciled_status": f"""
+with m as ({ORACLE["reconcile"]}), n as (select path as file, seg_id as id, source_hash as now, context_hash as around from {_LATEST}), o as (select path as file, seg_id as saved_id, source_hash as h, context_hash as c, translation as t from {_OLD}),
+s as (select m.file, case when o.t is null then 'Pending' when o.h is distinct from n.now then 'Stale' when o.c is distinct from n.around then 'ContextChanged' else 'Translated' end as status
+  from m join n using (file, id) left join o on o.file = m.file and o.saved_id = m.saved_id)
+select file, status, count(*) as segments from s group by 1, 2
+""",
+    "states_by_hash": f"select path, source_hash, count(*) as segments, arg_min(seg_id, {_AT}) as first, arg_max(seg_id, {_AT}) as last from {_LATEST} where source_hash is not null group by 1, 2 having count(*) > 1",
+    "adopted_renames": f"with c as ({ORACLE['rename_claims']}) select c.file, c.orphan, o.seg_id, o.translation from c join {_OLD} o on o.path = c.orphan where o.translation is not null",
+    "decided_terms": "select distinct lower(term) as term from glossary where term is not null",
+}

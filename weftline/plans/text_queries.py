@@ -48,6 +48,19 @@ def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return V.gaps(_fenced(spark, folder), "doc_id", "offered")
 
 
+def largest_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest run of lines that no parser offers in each document, the first of equals."""
+    gaps = coverage_gaps(spark, folder)
+    return gaps.groupBy("doc_id").agg(F.min_by(F.struct("first_line", "lines"), F.struct(-F.col("lines"), F.col("first_line"))).alias("g")).select("doc_id", "g.first_line", "g.lines")
+
+
+def coverage_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage of all documents of a parser together, and how many of them are covered whole."""
+    parsers = table(spark, folder, "documents", "doc_id", "parser")
+    rows = coverage_ratio(spark, folder).join(parsers, "doc_id").groupBy("parser").agg(F.count("*").alias("documents"), F.count_if(F.col("ratio") == 1.0).alias("whole"), F.sum("word_lines").alias("word_lines"), F.sum("offered_lines").alias("offered_lines"))
+    return rows.withColumn("ratio", F.round(F.coalesce(F.try_divide("offered_lines", "word_lines"), F.lit(1.0)), 9))
+
+
 def links(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "translation_pairs", "pair_id", "source", "translation")
     return rows.select("pair_id", C.urls("source").alias("urls"), F.size(F.array_except(C.urls("source"), F.coalesce(C.urls("translation"), F.array()))).alias("lost")).filter(F.size("urls") > 0)
@@ -277,7 +290,7 @@ def table_headers(spark: SparkSession, folder: str) -> DataFrame:
     return B.table_groups(cells, ["raw_id", "table_no"])
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, code_differences, heading_slugs, markup_tokens, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, adopted_states, adoption_summary, screened_terms, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
+QUERIES = {f.__name__: f for f in (segment_lines, sentences, sentence_counts, coverage_ratio, coverage_gaps, largest_gaps, coverage_report, links, alert_markers, truncation_gate, trivial_segments, display_widths, code_spans, code_differences, heading_slugs, markup_tokens, off_register, glossary_entries, glossary_merge, glossary_usage, glossary_unmet, glossary_stale, adopted_states, adoption_summary, screened_terms, ngram_top, ngram_spellings, word_counts, bigram_counts, whole_variants, known_projects, quality_issues, quality_rates, repaired_translations, inline_audits, xml_round_trip, inline_tags, inline_round_trip, table_cells, table_headers)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null)"
 _FENCED = f"""
@@ -375,3 +388,8 @@ d as (select feed_id,
 select feed_id, array_to_string(lost, ' ') as lost, array_to_string(new, ' ') as new from d where len(lost) > 0 or len(new) > 0
 """
 ORACLE["heading_slugs"] = "select feed_id, nullif(array_to_string(regexp_extract_all(lower(source), '[a-z0-9]+'), '-'), '') as slug from segment_states where split_part(seg_id, '/', 2) = 'block:0'"
+ORACLE["largest_gaps"] = f"select doc_id, first_line, lines from ({ORACLE['coverage_gaps']}) qualify row_number() over (partition by doc_id order by lines desc, first_line) = 1"
+ORACLE["coverage_report"] = f"""
+select parser, count(*) as documents, count(*) filter (where ratio = 1.0) as whole, sum(word_lines)::bigint as word_lines, sum(offered_lines)::bigint as offered_lines, round(case when sum(word_lines) = 0 then 1.0 else sum(offered_lines) / sum(word_lines) end, 9) as ratio
+from ({ORACLE["coverage_ratio"]}) join documents using (doc_id) group by parser
+"""

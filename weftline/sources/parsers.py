@@ -576,6 +576,14 @@ def latex_extended(text: str) -> list[Block]:
     return sorted(own + extra, key=lambda b: (b.start, b.end))
 
 
+def manifest(text: str, spans: list[tuple[int, int, str]]) -> list[Block]:
+    """Blocks that a manifest names by their UTF-8 bytes, (start, end, kind), for documents that only their own tool can read. Spans out of order, out of bounds or inside a character are an error."""
+    raw = text.encode("utf-8", "surrogatepass")
+    D.validate_spans(raw, [(a, b) for a, b, _ in spans])
+    at = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
+    return [Block(kind, at(a), at(b), 1 if kind == "heading" else 0) for a, b, kind in spans if b > a]
+
+
 PARSERS: dict[str, Callable[[str], list[Block]]] = {"markdown": markdown, "asciidoc": asciidoc, "rst": rst, "latex": latex, "csv": csv_fields, "xhtml": html_runs, "html": html_runs, "cnxml": vocabulary("cnxml"), "pretext": vocabulary("pretext"), "xhtml_strict": vocabulary("xhtml"), "pep": rst_without(X.pep_hidden), "pep_plaintext": rst_without(X.pep_plain_hidden), "pep_text": pep_text, "mathematics_in_lean": rst_without(X.lean_hidden), "latex_extended": latex_extended} | {name: (lambda t, m=mask, c=name == "mkdocs": markdown(t, m, c)) for name, mask in MASKS.items()}
 ALIASES = {"tex": "latex", "md": "markdown", "mil": "mathematics_in_lean", "adoc": "asciidoc", "commonmark": "markdown"}
 
