@@ -462,6 +462,48 @@ def test_words_that_the_sample_lacks_bring_documents(spark):
     assert len(bitext.sample(named, bound=20, more=1)) == 21 and len(bitext.sample(named)) == 205
 
 
+def _same_lexicon(got, want):
+    for a, b in ((got.forward, want.forward), (got.backward, want.backward)):
+        assert b and {w: set(x) for w, x in a.items()} == {w: set(x) for w, x in b.items()}
+        assert all(abs(a[w][f] - odds) < 1e-9 for w, x in b.items() for f, odds in x.items())
+
+
+def test_the_lexicon_is_that_of_all_documents(spark, monkeypatch):
+    """Broadcast or, with too many words or links, by joins: each equals the fit of all documents at once, and gives the same links."""
+    rng = random.Random(12)
+    docs = [(s, t) for s, t, _ in _bitexts(rng, 20)]
+    sides = "source array<struct<idx:int,text:string>>, target array<struct<idx:int,text:string>>"
+    rows = [(k, list(enumerate(s)), list(enumerate(t))) for k, (s, t) in enumerate(2 * docs)] + [(900, None, [(0, "x")]), (901, [], [])]
+    named = spark.createDataFrame(rows, "doc bigint, " + sides)
+    want = bitext.fit_lexicon(2 * docs)
+    links = sorted((k, i, j) for k, (s, t) in enumerate(2 * docs) for i, j in bitext.align(s, t, want))
+    broadcast = bitext.fit_documents(named)
+    _same_lexicon(broadcast, want)
+    joined = bitext.fit_documents(named, most=3)
+    _same_lexicon(bitext._lexicon_of([r.asDict(recursive=True) for r in joined.collect()]), want)
+    for lexicon in (broadcast, joined):
+        monkeypatch.setattr(bitext, "fit_documents", lambda *_, lexicon=lexicon: lexicon)
+        assert sorted(map(tuple, bitext.align_documents(named, "doc", target="target").collect())) == links
+    pairs = bitext.checkpoint(bitext.sentence_pairs(named, None))
+    seen = pairs.selectExpr("0 side", "explode(a) w").unionAll(pairs.selectExpr("1 side", "explode(b) w")).groupBy("side", "w").count().withColumnRenamed("count", "n").collect()
+    assert bitext._fit_broadcast(pairs, seen, 3) is None
+    whole = bitext._fit_broadcast(pairs, seen, bitext.LINKS)
+    for name, value in (("CELLS", 1), ("LINKS", 2), ("_TABLE", 0)):
+        monkeypatch.setattr(bitext, name, value)
+        _same_lexicon(bitext._fit_broadcast(pairs, seen, 10**6), whole)
+
+
+def test_a_renderings_count_does_not_depend_on_a_sample(spark):
+    """1,050 documents render a word one way and as many another: both renderings get the odds of all of them, which 800 documents don't give."""
+    docs = [([f"The gazebo waits {1000 + k} days."], [f"{'정자' if k % 2 else '누각'} {1000 + k}일."]) for k in range(2100)]
+    rows = [(k, list(enumerate(s)), list(enumerate(t))) for k, (s, t) in enumerate(docs)]
+    named = spark.createDataFrame(rows, "doc bigint, source array<struct<idx:int,text:string>>, target array<struct<idx:int,text:string>>")
+    want = bitext.fit_lexicon(docs)
+    _same_lexicon(bitext.fit_documents(named), want)
+    part = bitext.fit_lexicon(bitext.sample(named))
+    assert part.backward != want.backward
+
+
 def test_long_gaps_are_aligned_whole():
     rng = np.random.default_rng(5)
     lexicon = bitext.Lexicon()

@@ -3,10 +3,9 @@
 Numbers, code, addresses, names and cognates that both sides share are anchors. Pairs of sentences that hold an anchor
 found nowhere else are chained by a longest increasing subsequence; the gaps between the links of
 the chain are aligned by local dynamic programming with one-to-one, merge, split and skip moves,
-scored by shared anchors and by a word lexicon. The lexicon is fitted (IBM model 1, both ways) on a
-bounded sample of documents that align themselves by their anchors; words are counted over all documents, and those
-that the sample lacks bring documents of theirs into it. What is left on both sides is
-paired by score alone, for sentences that moved.
+scored by shared anchors and by a word lexicon. The lexicon is fitted (IBM model 1, both ways) on all
+documents: first on sentences that share anchors, then on the links that the lexicon so far gives. What is left on both
+sides is paired by score alone, for sentences that moved.
 """
 
 from __future__ import annotations
@@ -17,15 +16,23 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents at most that the lexicon is fitted on at random, and more that words the random ones lack bring in (documented bounds; every document is aligned).
+from weftline.session import checkpoint
+
+#: Documents at most that `sample` takes at random, and more that words the random ones lack bring in. No query uses it: lexicons are fitted on all documents.
 SAMPLE, MORE = 800, 1200
+#: Words of both languages, and pairs of words met in one pair of sentences, up to which a lexicon is broadcast; with more it is fitted and used by joins.
+WORDS, LINKS = 200_000, 2_000_000
+#: Rounds of model 1 in a fit, and fits.
+ROUNDS, FITS = 6, 3
 #: Documents a word must be in to be learned.
 SEEN = 3
 #: Renderings kept of a word, with at least this probability.
@@ -103,7 +110,7 @@ class Lexicon:
         self.backward: dict[str, dict[str, float]] = {}
 
     @staticmethod
-    def _model1(pairs: list[tuple[list[str], list[str]]], rounds: int = 6) -> dict[str, dict[str, float]]:
+    def _model1(pairs: list[tuple[list[str], list[str]]], rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
         """Log odds of t(e|f) against p(e), by e then f."""
         es, fs = {}, {}
         ei, fi, si = [], [], []
@@ -127,10 +134,13 @@ class Lexicon:
             count = np.bincount(inverse, p, len(link))
             t = count / (np.bincount(of_f, count, len(fs))[of_f] + 1.0)
         seen = np.bincount((slot // len(pairs)).astype(np.int64), minlength=len(es))
+        return Lexicon._known(list(es), list(fs), (link // len(fs)).astype(np.int64), of_f, t, seen)
+
+    @staticmethod
+    def _known(names_e: list[str], names_f: list[str], of_e: np.ndarray, of_f: np.ndarray, t: np.ndarray, seen: np.ndarray) -> dict[str, dict[str, float]]:
+        """The renderings kept, from t(e|f) of the links and the sentences that each e was seen in."""
         prior = seen / seen.sum()
-        names_e, names_f = list(es), list(fs)
         found: dict[str, dict[str, float]] = {}
-        of_e = (link // len(fs)).astype(np.int64)
         for k in np.flatnonzero(t > LEAST):
             if seen[of_e[k]] >= 3:
                 found.setdefault(names_e[of_e[k]], {})[names_f[of_f[k]]] = float(min(4.0, math.log(t[k] / (prior[of_e[k]] + 1e-6))))
@@ -441,7 +451,7 @@ def _needed(doc: Document, lexicon: Lexicon, source: list[str], target: list[str
     return sorted(links - drop)
 
 
-def fit_lexicon(documents: list[tuple[list[str], list[str]]], rounds: int = 3) -> Lexicon:
+def fit_lexicon(documents: list[tuple[list[str], list[str]]], rounds: int = FITS) -> Lexicon:
     """First from sentences that share anchors, then from the links that the lexicon so far gives."""
     lexicon = Lexicon()
     pairs = []
@@ -482,29 +492,254 @@ def sample(named: DataFrame, bound: int = SAMPLE, more: int = MORE) -> list[tupl
     return [(_side(r["source"])[1], _side(r["target"])[1]) for r in known]
 
 
-def align_documents(documents: DataFrame, key: str, source: str = "source", target: str = "translation", bound: int = SAMPLE) -> DataFrame:
+def _documents(batches: Iterable[pa.RecordBatch], lexicon: Lexicon | None) -> Iterator[list[tuple]]:
+    """(key, idx and texts of both sides, lexicon) of each document, 256 at a time; without a lexicon for all, a fourth column holds that of each document."""
+    for whole in batches:
+        for at in range(0, max(1, whole.num_rows), 256):
+            batch = whole.slice(at, 256)
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            own = [lexicon] * batch.num_rows if batch.num_columns == 3 else [_lexicon_of(x) for x in batch.column(3).to_pylist()]
+            yield [(doc, _side(s), _side(t), x) for doc, s, t, x in zip(*columns, own)]
+
+
+def _lexicon_of(rows: list[dict] | None) -> Lexicon:
+    lexicon = Lexicon()
+    for r in rows or []:
+        (lexicon.backward if r["side"] else lexicon.forward)[r["w"]] = {x["f"]: x["odds"] for x in r["renderings"]}
+    return lexicon
+
+
+def _supplied(named: DataFrame, lexicon: Lexicon | DataFrame | None) -> tuple[DataFrame, Callable[[], Lexicon | None]]:
+    """The documents and how a task gets their lexicon: broadcast, or joined to each document as the entries of its words."""
+    if not isinstance(lexicon, DataFrame):
+        shared = named.sparkSession.sparkContext.broadcast(lexicon)
+        return named, lambda: shared.value
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, *sides in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for k, side in enumerate(sides):
+                    ws = sorted({w for t in _side(side)[1] for w in words(t)})
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(ws), pa.int64()), pa.array([k] * len(ws), pa.int32()), pa.array(ws, pa.string())], names=["_h", "side", "w"])
+
+    # documents whose hashes clash get the entries of both, which are true for both
+    hashed = named.withColumn("_h", F.xxhash64("source", "target"))
+    entries = hashed.select("_h", "source", "target").mapInArrow(held, "_h long, side int, w string").distinct().join(lexicon, ["side", "w"])
+    entries = entries.groupBy("_h").agg(F.collect_list(F.struct("side", "w", "renderings")).alias("lexicon"))
+    return hashed.join(entries, "_h", "left").select("doc", "source", "target", "lexicon"), lambda: None
+
+
+def sentence_pairs(named: DataFrame, lexicon: Lexicon | DataFrame | None) -> DataFrame:
+    """(a, b): words of each pair of sentences to fit on, by the lexicon so far or, without one, by shared anchors."""
+    supplied, get = _supplied(named, lexicon)
+    first = lexicon is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for documents in _documents(batches, get()):
+            a, b = [], []
+            for _, (_, source), (_, target), own in documents:
+                for i, j, *_ in Document(source, target).points() if first else align(source, target, own, LEARNING):
+                    x, y = words(source[i]), words(target[j])
+                    if x and y:
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.list_(pa.string())), pa.array(b, pa.list_(pa.string()))], names=["a", "b"])
+
+    return supplied.mapInArrow(run, "a array<string>, b array<string>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets of the lists, from 0 on, and their items."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64), column.flatten()
+
+
+def _expected(batch: pa.RecordBatch, width: int, known: tuple[np.ndarray, ...] | None, place: Callable[[np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (e * width + f) or places of links, and their expected counts in these pairs both ways, by t(e|f) and t(f|e) known so far (even at first)."""
+    (a_at, a), (b_at, b) = _flat(batch.column(0)), _flat(batch.column(1))
+    a, b = a.to_numpy().astype(np.int64), b.to_numpy().astype(np.int64)
+    pair = np.repeat(np.arange(batch.num_rows), np.diff(a_at))
+    many = np.diff(b_at)[pair]
+    start = np.cumsum(many) - many
+    at_b = np.arange(int(many.sum())) + np.repeat(b_at[pair] - start, many)
+    key = np.repeat(a * width, many) + b[at_b]
+    if known is None:
+        link, at = np.unique(key, return_inverse=True)
+        p = q = np.ones(len(key))
+    else:
+        link = at = place(key)
+        p, q = known[1][at], known[2][at]
+    p = p / np.repeat(np.add.reduceat(p, start), many)
+    q = q / np.bincount(at_b, q, len(b))[at_b]
+    size = len(link) if known is None else len(known[0])
+    return link, np.bincount(at, p, size), np.bincount(at, q, size)
+
+
+def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` pairs of words."""
+    cells = np.cumsum(pc.list_value_length(batch.column(0)).to_numpy().astype(np.int64) * pc.list_value_length(batch.column(1)).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        done = cells[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(cells, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([x[1] for x in parts])), np.bincount(at, np.concatenate([x[2] for x in parts]))
+
+
+#: Possible links up to which a table by key finds a link's place.
+_TABLE = 1 << 22
+
+
+def _counted(pairs: DataFrame, width: int, height: int, shared: Broadcast) -> DataFrame:
+    """(key, c, d): expected counts of each link both ways over all pairs, added up in each task first; shared: keys and probabilities so far, None at first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, c: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(d)], names=["key", "c", "d"])
+
+        table = shared.value
+        if table is None:
+            held, pending = [], 0
+            for batch in batches:
+                for part in _portions(batch, CELLS):
+                    held.append(_expected(part, width, None, None))
+                    pending += len(held[-1][0])
+                    if pending > max(CELLS, len(held[0][0])):
+                        held, pending = [_merged(held)], 0
+                        if len(held[0][0]) > LINKS:
+                            yield rows(*held.pop())
+            if held:
+                yield rows(*_merged(held))
+            return
+        if width * height <= _TABLE:
+            places = np.zeros(width * height, np.int32)
+            places[table[0]] = np.arange(len(table[0]))
+            place = places.__getitem__
+        else:
+            place = functools.partial(np.searchsorted, table[0])
+        c, d = np.zeros(len(table[0])), np.zeros(len(table[0]))
+        for batch in batches:
+            for part in _portions(batch, CELLS):
+                _, x, y = _expected(part, width, table, place)
+                c += x
+                d += y
+        kept = np.flatnonzero((c > 0) | (d > 0))
+        for at in range(0, len(kept), 1 << 16):
+            yield rows(*(x[kept[at : at + (1 << 16)]] for x in (table[0], c, d)))
+
+    # a task a core: each sends every link it met, so more tasks would shuffle more
+    few = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(run, "key long, c double, d double").groupBy("key").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+
+
+def _fit_broadcast(pairs: DataFrame, seen: list, links: int) -> Lexicon | None:
+    """Model 1 both ways: pairs stay where they are, the links' probabilities are sent to them; None if there are more than `links` links."""
+    names = [sorted(r["w"] for r in seen if r["side"] == k) for k in (0, 1)]
+    counts = [{r["w"]: r["n"] for r in seen if r["side"] == k} for k in (0, 1)]
+    height, width = map(len, names)
+    if not width:
+        return Lexicon()
+    vocabulary = pairs.sparkSession.sparkContext.broadcast(names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = [pa.array(x, pa.string()) for x in vocabulary.value]
+        for batch in batches:
+            columns = []
+            for k in (0, 1):
+                at, flat = _flat(batch.column(k))
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pc.index_in(flat.cast(pa.string()), value_set=values[k])))
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    coded = checkpoint(pairs.select("a", "b").mapInArrow(encode, "a array<int>, b array<int>"))
+    known = None
+    for _ in range(ROUNDS):
+        shared = coded.sparkSession.sparkContext.broadcast(known)
+        counted = _counted(coded, width, height, shared)
+        if known is None:
+            counted = checkpoint(counted)
+            if counted.count() > links:
+                return None
+        got = counted.toArrow()
+        shared.unpersist()
+        key, c, d = (got.column(k).to_numpy() for k in ("key", "c", "d"))
+        if known is None:
+            order = np.argsort(key)
+            key, c, d = key[order], c[order], d[order]
+        else:
+            at = np.searchsorted(known[0], key)
+            c, d = np.bincount(at, c, len(known[0])), np.bincount(at, d, len(known[0]))
+            key = known[0]
+        e, f = key // width, key % width
+        known = key, c / (np.bincount(f, c, width)[f] + 1.0), d / (np.bincount(e, d, height)[e] + 1.0)
+    lexicon = Lexicon()
+    n, m = (np.array([counts[k][w] for w in names[k]]) for k in (0, 1))
+    lexicon.forward = Lexicon._known(names[0], names[1], e, f, known[1], n)
+    lexicon.backward = Lexicon._known(names[1], names[0], f, e, known[2], m)
+    return lexicon
+
+
+def _fit_joined(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """The same by joins, whatever the number of words and links: (side, w, renderings)."""
+    numbered = checkpoint(pairs.select(F.monotonically_increasing_id().alias("s"), "a", "b"))
+    found = []
+    for side, (a, b) in enumerate((("a", "b"), ("b", "a"))):
+        cells = checkpoint(numbered.select("s", F.explode(a).alias("w"), b).select("s", "w", F.explode(b).alias("f")))
+        t = None
+        for _ in range(ROUNDS):
+            held = cells.withColumn("t", F.lit(1.0)) if t is None else cells.join(t, ["w", "f"])
+            share = F.col("t") / F.sum("t").over(Window.partitionBy("s", "w"))
+            count = checkpoint(held.select("w", "f", share.alias("c")).groupBy("w", "f").agg(F.sum("c").alias("c")))
+            total = count.groupBy("f").agg(F.sum("c").alias("total"))
+            t = checkpoint(count.join(total, "f").select("w", "f", (F.col("c") / (F.col("total") + 1.0)).alias("t")))
+        ours = seen.filter(F.col("side") == side).select("w", "n")
+        whole = ours.agg(F.sum("n")).first()[0]
+        odds = F.least(F.lit(4.0), F.log(F.col("t") / (F.col("n") / F.lit(whole) + 1e-6)))
+        place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("odds"), "f"))
+        kept = t.filter(F.col("t") > LEAST).join(ours.filter("n >= 3"), "w").select("w", "f", odds.alias("odds")).withColumn("_p", place).filter(F.col("_p") <= RENDERINGS)
+        kept = kept.groupBy("w").agg(F.collect_list(F.struct("f", "odds")).alias("renderings"))
+        known = ours.join(kept, "w", "left").filter("renderings is not null or n >= 8")
+        found.append(known.select(F.lit(side).alias("side"), "w", F.coalesce("renderings", F.expr("cast(array() as array<struct<f:string,odds:double>>)")).alias("renderings")))
+    return checkpoint(found[0].unionByName(found[1]))
+
+
+def fit_documents(named: DataFrame, most: int = WORDS, links: int = LINKS) -> Lexicon | DataFrame:
+    """The lexicon that `fit_lexicon` gives, of all documents (doc, source, target); rows (side, w, renderings) with more than `most` words or `links` links."""
+    lexicon: Lexicon | DataFrame | None = None
+    for _ in range(FITS):
+        pairs = checkpoint(sentence_pairs(named, lexicon))
+        sides = (pairs.select(F.lit(k).alias("side"), F.explode(x).alias("w")) for k, x in enumerate("ab"))
+        seen = checkpoint(functools.reduce(DataFrame.unionByName, sides).groupBy("side", "w").agg(F.count("*").alias("n")))
+        few = seen.limit(most + 1).collect()
+        lexicon = _fit_broadcast(pairs, few, links) if len(few) <= most else None
+        if lexicon is None:
+            lexicon = _fit_joined(pairs, seen)
+    return lexicon
+
+
+def align_documents(documents: DataFrame, key: str, source: str = "source", target: str = "translation", most: int = WORDS, links: int = LINKS) -> DataFrame:
     """(key, source_idx, translation_idx): one row for each pair of sentences that translate each other, wholly or in part.
 
     Null or empty sides, null sentences and blank texts give no rows; sentences are read in the order of idx.
     Repeated rows give repeated rows. Other columns are dropped, so theirs can't clash.
+    The lexicon is fitted on all documents; most, links: bounds up to which it is broadcast, not joined.
     """
     named = documents.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(target).alias("target"))
-    lexicon = fit_lexicon(sample(named, bound))
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
+    supplied, get = _supplied(named, fit_documents(named, most, links))
     kind = documents.schema[key].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(at, 256)
-                keys, a, b = [], [], []
-                for doc, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    (si, st), (ti, tt) = _side(s), _side(t)
-                    for i, j in align(st, tt, shared.value):
-                        keys.append(doc)
-                        a.append(si[i])
-                        b.append(ti[j])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[key, "source_idx", "translation_idx"])
-
-    return named.mapInArrow(run, f"`{key}` {kind}, source_idx int, translation_idx int")
+        for part in _documents(batches, get()):
+            keys, a, b = [], [], []
+            for doc, (si, st), (ti, tt), lexicon in part:
+                for i, j in align(st, tt, lexicon):
+                    keys.append(doc)
+                    a.append(si[i])
+                    b.append(ti[j])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[key, "source_idx", "translation_idx"])
+
+    return supplied.mapInArrow(run, f"`{key}` {kind}, source_idx int, translation_idx int")
